@@ -67,12 +67,14 @@ def holiday_calendar(dates: DataFrame, date_col: str = S.DATE) -> DataFrame:
 
 def with_holiday_flag(df: DataFrame, date_col: str = S.DATE,
                       extra_holidays: DataFrame | None = None,
-                      max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                      max_broadcast_rows: int = 1_000_000,
+                      extra_is_bounded: bool = False) -> DataFrame:
     """``is_holiday`` = fixed-date holiday or a date of ``extra_holidays``.
 
     ``extra_holidays`` (date column ``date``) is deduplicated and joined left;
     it is broadcast only when its row count is under ``max_broadcast_rows``,
-    otherwise Spark plans a shuffle join.
+    otherwise Spark plans a shuffle join. ``extra_is_bounded=True`` skips the
+    count for tables bounded by construction (e.g. :func:`holiday_calendar`).
     """
     flag = fixed_holiday_expr(date_col)
     if extra_holidays is None:
@@ -80,7 +82,8 @@ def with_holiday_flag(df: DataFrame, date_col: str = S.DATE,
     marks = (extra_holidays.select(F.col(S.DATE).cast("date").alias("_hday"))
              .where("_hday is not null").distinct()
              .withColumn("_hmark", F.lit(1)))
-    marks = broadcast_if_small(marks, max_broadcast_rows)
+    marks = F.broadcast(marks) if extra_is_bounded else broadcast_if_small(
+        marks, max_broadcast_rows)
     joined = df.join(marks, F.col(date_col) == F.col("_hday"), "left")
     return (joined
             .withColumn(S.IS_HOLIDAY,

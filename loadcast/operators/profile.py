@@ -3,7 +3,7 @@
 ``describe`` needs exact quartiles. Spark's ``percentile`` aggregate merges
 every distinct value of a column into one task, which does not survive a
 column of billions of values, so quartiles here come from a distributed
-rank: values are range-partitioned and sorted by (column, value), each row's
+rank: values are range-partitioned and sorted by (column_name, value), each row's
 global rank is its partition's offset plus its position, and only the rows at
 the wanted ranks (at most 2 per column and quantile) are joined back.
 """
@@ -37,25 +37,25 @@ def string_columns(df: DataFrame) -> list[str]:
 
 
 def unpivot(df: DataFrame, cols: list[str], cast: str = "double") -> DataFrame:
-    """Long form ``(column, value)`` of the listed columns."""
+    """Long form ``(column_name, value)`` of the listed columns."""
     return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast(cast).alias("value"))
-        for c in cols])).alias("_kv")).select("_kv.column", "_kv.value")
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast(cast).alias("value"))
+        for c in cols])).alias("_kv")).select("_kv.column_name", "_kv.value")
 
 
 def exact_quantiles(long: DataFrame, probs: list[float],
                     num_partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``column``.
 
-    Returns ``(column, q, value)``. Nulls and NaN are ignored. Work is a range
+    Returns ``(column_name, q, value)``. Nulls and NaN are ignored. Work is a range
     shuffle + sort of the values; no group is gathered in one task.
     """
     spark = long.sparkSession
     vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    srt = (vals.repartitionByRange(parts, "column", "value")
-           .sortWithinPartitions("column", "value")
-           .select("column", "value", F.spark_partition_id().alias("_pid"),
+    srt = (vals.repartitionByRange(parts, "column_name", "value")
+           .sortWithinPartitions("column_name", "value")
+           .select("column_name", "value", F.spark_partition_id().alias("_pid"),
                    F.monotonically_increasing_id().alias("_mid")))
     # One row per non-empty partition: bounded by the partition count.
     per_part = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
@@ -63,27 +63,27 @@ def exact_quantiles(long: DataFrame, probs: list[float],
         "_off", F.sum("_c").over(Window.orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1))).fillna(0, subset=["_off"])
     ranked = srt.join(F.broadcast(offs.select("_pid", "_off", "_m0")), "_pid").select(
-        "column", "value", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias("_rank"))
+        "column_name", "value", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias("_rank"))
     # One row per column: bounded by the column count.
-    counts = vals.groupBy("column").agg(F.count(F.lit(1)).alias("_n"))
+    counts = vals.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(
-        Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        Window.orderBy("column_name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     qs = F.array(*[F.lit(float(p)) for p in probs])
     need = (counts.withColumn("q", F.explode(qs))
             .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
             .withColumn("_lo", F.floor("_pos"))
             .withColumn("_hi", F.ceil("_pos"))
             .withColumn("_frac", F.col("_pos") - F.col("_lo")))
-    picks = need.select("column", "q", "_frac", F.explode(F.array(
+    picks = need.select("column_name", "q", "_frac", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), (F.col("_start") + F.col("_lo")).alias("_rank")),
         F.struct(F.lit(1).alias("side"), (F.col("_start") + F.col("_hi")).alias("_rank")),
-    )).alias("_s")).select("column", "q", "_frac", "_s.side", "_s._rank")
-    got = ranked.join(F.broadcast(picks), ["column", "_rank"])
-    return got.groupBy("column", "q").agg(
+    )).alias("_s")).select("column_name", "q", "_frac", "_s.side", "_s._rank")
+    got = ranked.join(F.broadcast(picks), ["column_name", "_rank"])
+    return got.groupBy("column_name", "q").agg(
         F.max(F.when(F.col("side") == 0, F.col("value"))).alias("_a"),
         F.max(F.when(F.col("side") == 1, F.col("value"))).alias("_b"),
         F.first("_frac").alias("_f"),
-    ).select("column", "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value"))
+    ).select("column_name", "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value"))
 
 
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -91,29 +91,29 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or numeric_columns(df)
     long = unpivot(df, cols)
     ok = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    stats = ok.groupBy("column").agg(
+    stats = ok.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
     q = exact_quantiles(long, [0.25, 0.5, 0.75])
-    piv = q.groupBy("column").agg(*[
+    piv = q.groupBy("column_name").agg(*[
         F.max(F.when(F.col("q") == p, F.col("value"))).alias(name)
         for p, name in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]])
-    return stats.join(piv, "column", "left")
+    return stats.join(piv, "column_name", "left")
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """``(column, value, count)`` of non-null values, most frequent first."""
+    """``(column_name, value, count)`` of non-null values, most frequent first."""
     cols = cols or string_columns(df)
     long = unpivot(df, cols, cast="string").where(F.col("value").isNotNull())
-    return (long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy("column", F.col("count").desc(), "value"))
+    return (long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+            .orderBy("column_name", F.col("count").desc(), "value"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """``(column, n_null)`` for columns with at least one null (one pass)."""
+    """``(column_name, n_null)`` for columns with at least one null (one pass)."""
     sums = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in df.columns])
     long = sums.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("n_null")) for c in df.columns
-    ])).alias("_kv")).select("_kv.column", "_kv.n_null")
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_null")) for c in df.columns
+    ])).alias("_kv")).select("_kv.column_name", "_kv.n_null")
     return long.where(F.col("n_null") > 0)
