@@ -52,13 +52,13 @@ FOREST_GRID = {
 
 def forest(num_trees: int = 100, max_depth: int | None = None, min_rows: int = 1,
            features_col: str = "features", label: str = S.MAX_DEMAND,
-           max_bins: int = 32, max_memory_mb: int = 1024) -> RandomForestRegressor:
+           max_bins: int = 32, max_memory_mb: int = 256) -> RandomForestRegressor:
     """forest with every feature considered at each split and bootstrap rows.
 
     Fully grown trees (depth "none" -> 30) have thousands of nodes per tree;
     ``cacheNodeIds`` keeps each row's node id between levels instead of
-    re-walking the trees, and a larger ``maxMemoryInMB`` lets one pass over
-    the data serve more nodes of a level.
+    re-walking the trees. ``maxMemoryInMB`` is the per-task histogram budget,
+    so it stays at Spark's default: every concurrent task allocates it.
     """
     return RandomForestRegressor(
         featuresCol=features_col, labelCol=label, predictionCol="prediction",

@@ -19,6 +19,10 @@ def build_session(master: str | None = None, app_name: str = "loadcast",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if (master or "").startswith("local"):
+        # Local mode: the driver JVM is the only executor.
+        builder = builder.config("spark.driver.memory",
+                                 os.environ.get("LOADCAST_DRIVER_MEMORY", "12g"))
     cores = os.cpu_count() or 8
     parts = shuffle_partitions or max(8, cores)
     builder = (
