@@ -75,13 +75,15 @@ def f4_monotone_map(spark, sf):
     signs = md.monotone_signs(t.features)
     model = t.model
     signed = [(f, s) for f, s in zip(t.features, signs) if s != 0]
-    base = model.predict_expr()
-    cols = []
-    for f, sign in signed:
-        up = model.predict_expr({f: F.col(f) + F.abs(F.col(f)) * 0.1 + 1.0})
-        cols.append(F.struct(F.lit(f).alias("feature"), F.lit(sign).alias("sign"),
-                             ((up - base) * sign < -1e-9).cast("int").alias("bad")))
-    long = test.select(F.explode(F.array(*cols)).alias("_r")).select("_r.*")
+    scored = model.transform(test, out="_base")
+    checks = []
+    for i, (f, sign) in enumerate(signed):
+        raised = F.col(f) + F.abs(F.col(f)) * 0.1 + 1.0
+        scored = model.transform(scored, out=f"_up{i}", overrides={f: raised}, prefix=f"_u{i}_")
+        checks.append(F.struct(F.lit(f).alias("feature"), F.lit(sign).alias("sign"),
+                               ((F.col(f"_up{i}") - F.col("_base")) * sign < -1e-9)
+                               .cast("int").alias("bad")))
+    long = scored.select(F.explode(F.array(*checks)).alias("_r")).select("_r.*")
     return long.groupBy("feature", "sign").agg(F.count(F.lit(1)).alias("n_rows"),
                                                F.sum("bad").alias("n_violations"))
 

@@ -272,6 +272,26 @@ FROM a
 """
 
 
+def b28_confidence_score(spark, sf):
+    """Confidence of the 7-rows-back baseline per series from its hold-out R2."""
+    from loadcast.functions import scalars as sc
+    m = me.exact_money_metrics(_holdout(spark, sf), S.MAX_DEMAND, S.DEMAND_LAG7)
+    return m.select(S.SERIES, r6(sc.confidence_score(F.col("r2"))).alias("confidence"))
+
+
+B28_SQL = _HOLDOUT_SQL + """
+, a AS (SELECT series_id, COUNT(*) AS n,
+          CAST(SUM((CAST(max_demand AS DECIMAL(18,2)) - CAST(demand_lag7 AS DECIMAL(18,2)))
+                 * (CAST(max_demand AS DECIMAL(18,2)) - CAST(demand_lag7 AS DECIMAL(18,2)))) AS DOUBLE) AS ssr,
+          CAST(SUM(CAST(max_demand AS DECIMAL(18,2))) AS DOUBLE) AS sy,
+          CAST(SUM(CAST(max_demand AS DECIMAL(18,2)) * CAST(max_demand AS DECIMAL(18,2))) AS DOUBLE) AS syy
+        FROM ho GROUP BY 1)
+, r AS (SELECT series_id, CASE WHEN syy - sy * sy / n > 0 THEN 1.0 - ssr / (syy - sy * sy / n)
+                               WHEN ssr = 0 THEN 1.0 ELSE 0.0 END AS r2 FROM a)
+SELECT series_id, ROUND(LEAST(95.0, GREATEST(60.0, r2 * 100.0)), 6) AS confidence FROM r
+"""
+
+
 def b20_cutoff_filter(spark, sf):
     return sp.cutoff_filter(demand(spark, sf), "1999-06-01").select(*KEYS, S.GAS_DEMAND)
 
@@ -314,5 +334,6 @@ QUERIES = {
     "d6_mae": (d6_mae, D6_SQL),
     "d7_r2": (d7_r2, D7_SQL),
     "b20_cutoff_filter": (b20_cutoff_filter, B20_SQL),
+    "b28_confidence_score": (b28_confidence_score, B28_SQL),
     "b21_split_by_day_kind": (b21_split_by_day_kind, B21_SQL),
 }

@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,27 +204,34 @@ class MonotoneBoostModel:
     gains: list[float]
     label: str = S.GAS_DEMAND
 
-    def bin_expr(self, j: int, value: Column | None = None) -> Column:
-        """Bin index of feature j: number of edges below the value; missing -> last."""
-        x = (value if value is not None else F.col(self.features[j])).cast("double")
-        e = self.edges[j]
-        idx = F.lit(0)
-        for v in e:
-            idx = idx + F.when(x > F.lit(float(v)), 1).otherwise(0)
-        missing = x.isNull() | F.isnan(x)
-        return F.when(missing, F.lit(len(e) + 1)).otherwise(idx)
-
-    def predict_expr(self, overrides: dict[str, Column] | None = None) -> Column:
-        """Prediction as one Catalyst expression; ``overrides`` replaces inputs."""
+    def with_bins(self, df: DataFrame, overrides: dict[str, Column] | None = None,
+                  prefix: str = "_b") -> DataFrame:
+        """Adds bin columns ``{prefix}{j}``: Spark ML ``Bucketizer`` (binary search
+        over the cut points, JVM-side); missing values (null, NaN) land in the
+        extra last bin. ``overrides`` replaces feature inputs (what-if scoring)."""
         overrides = overrides or {}
+        nan = F.lit(float("nan"))
+        xs = {f"{prefix}x{j}": F.coalesce(overrides.get(f, F.col(f)).cast("double"), nan)
+              for j, f in enumerate(self.features)}
+        splits = [[float("-inf")] + [float(v) for v in e] + [float("inf")] for e in self.edges]
+        bk = Bucketizer(splitsArray=splits, inputCols=list(xs),
+                        outputCols=[f"{prefix}{j}" for j in range(len(self.features))],
+                        handleInvalid="keep")
+        return bk.transform(df.withColumns(xs)).drop(*xs)
+
+    def score_expr(self, prefix: str = "_b") -> Column:
+        """base + sum_j table_j[bin_j]: one array lookup per feature."""
         out = F.lit(float(self.base))
         for j in range(len(self.features)):
             arr = F.array(*[F.lit(float(v)) for v in self.tables[j]])
-            out = out + F.element_at(arr, self.bin_expr(j, overrides.get(self.features[j])) + 1)
+            out = out + F.element_at(arr, F.col(f"{prefix}{j}").cast("int") + 1)
         return out
 
-    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        return df.withColumn(out, self.predict_expr())
+    def transform(self, df: DataFrame, out: str = "prediction",
+                  overrides: dict[str, Column] | None = None, prefix: str = "_b") -> DataFrame:
+        binned = self.with_bins(df, overrides, prefix)
+        bins = [f"{prefix}{j}" for j in range(len(self.features))]
+        return binned.withColumn(out, self.score_expr(prefix)).drop(*bins)
 
     def importances(self) -> list[tuple[str, float]]:
         g = np.asarray(self.gains, dtype=float)
@@ -264,8 +271,9 @@ def fit_monotone_boost(train: DataFrame, features: list[str], signs: list[int],
     nf = len(features)
     nbins = [len(e) + 2 for e in edges]  # value bins + one missing bin
     width = max(nbins)
-    binned = data.select(F.col(label).cast("double").alias("_y"),
-                         *[proto.bin_expr(j).alias(f"_b{j}") for j in range(nf)])
+    binned = proto.with_bins(data.select(F.col(label).cast("double").alias("_y"), *features))
+    binned = binned.select("_y", *[F.col(f"_b{j}").cast("long").alias(f"_b{j}")
+                                   for j in range(nf)])
     # Pairwise (j <= k) bin counts plus per-(j, bin) label sums, one pass.
     cells = []
     for j in range(nf):
