@@ -181,14 +181,13 @@ def ratio_means_table(df: DataFrame, keys: list[str] | None = None) -> DataFrame
 def gas_features(df: DataFrame, fit_mask: Column | None = None,
                  keys: list[str] | None = None) -> DataFrame:
     """Residual load, ratios, budget, gas lags."""
-    out = sc.residual_and_ratios(df)
+    out = gas_lags(sc.residual_and_ratios(df), keys)
     out = out.withColumns(ratio_mean_columns(fit_mask, keys))
     ratio = F.when(F.col(S.IS_BUSINESS_DAY) == 1, F.col("ratio_business")) \
         .otherwise(F.col("ratio_other"))
-    out = out.withColumn(S.GAS_BUDGET, sc.gas_budget_expr(
+    return out.withColumn(S.GAS_BUDGET, sc.gas_budget_expr(
         F.col(S.MAX_DEMAND), ratio, F.col(S.SOLAR_MAX))).drop("ratio_business",
                                                               "ratio_other")
-    return gas_lags(out, keys)
 
 
 def build_features(panel: DataFrame, *, lag_by: str = "rows",
@@ -205,13 +204,15 @@ def build_features(panel: DataFrame, *, lag_by: str = "rows",
     out = cal.prepare_calendar(panel, extra_holidays)
     out = cal.calendar_parts(out)
     out = cal.season_flags(out)
+    # Date-ordered windows first (they share one sort), the per-series
+    # unordered means next, the (month, weekday, year)-ordered mean last.
     out = demand_lags(out, by=lag_by, keys=keys)
+    if S.GAS_DEMAND in out.columns and S.SOLAR_MAX in out.columns:
+        out = gas_features(out, keys=keys)
     out = sc.cooling_intensity(out) if (S.FEELS_LIKE in out.columns or
                                         S.TEMP_HIGH in out.columns) else out
     out = sc.heating_intensity(out)
     out = sc.diurnal_range(out)
     out = last_year_dow_mean(out, mode=last_year_mode, keys=keys)
-    if S.GAS_DEMAND in out.columns and S.SOLAR_MAX in out.columns:
-        out = gas_features(out, keys=keys)
     out = cal.weekday_one_hot(out, drop_source=True)
     return sc.drop_essential_nulls(out)

@@ -63,42 +63,59 @@ def last_before(targets: DataFrame, history: DataFrame, value: str,
         F.col("_m.v").alias(out), F.col("_m.d").alias(f"{out}_date"))
 
 
+def _union_key(kind: str = "_k"):
+    """Order key for a union of targets (k = 0) and history (k = 1): day * 2 + k,
+    so a target sorts before same-day history and day offsets stay exact."""
+    return F.unix_date(F.col(S.DATE)).cast("long") * 2 + F.col(kind)
+
+
 def prior_ordinal(targets: DataFrame, history: DataFrame, value: str, n: int,
                   keys: list[str] | None = None, out: str = "nth_prior") -> DataFrame:
     """The n-th latest non-null ``value`` strictly before each target date.
 
-    History rows get their 1-based position per series; each target gets the
-    number of history rows before it (union + running count, targets sorted
-    before same-day history); the wanted position is ``count - n + 1`` and is
-    fetched with an equi-join on (series, position).
+    Each history row carries ``lag(value, n - 1)`` (the n-th latest value
+    counting from itself); a target takes what the latest history row before
+    it carries. One union and one window pass, no join.
     """
     keys = keys or [S.SERIES]
-    hist = history.where(F.col(value).isNotNull()).select(*keys, S.DATE, value)
-    t = targets.select(*keys, S.DATE).distinct().withColumn("_k", F.lit(0))
-    h = hist.select(*keys, S.DATE).withColumn("_k", F.lit(1))
-    w = (Window.partitionBy(*keys).orderBy(S.DATE, "_k")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    u = t.unionByName(h).withColumn("_c", F.sum("_k").over(w))
-    want = (u.where("_k = 0").select(*keys, S.DATE, (F.col("_c") - n + 1).alias("_pos")))
-    pos = hist.withColumn("_pos", F.row_number().over(
-        Window.partitionBy(*keys).orderBy(S.DATE)))
-    got = want.join(pos.select(*keys, "_pos", F.col(value).alias(out)), keys + ["_pos"], "left")
-    return got.drop("_pos")
+    hist = (history.where(F.col(value).isNotNull()).select(*keys, S.DATE, value)
+            .withColumn("_carry", F.lag(value, n - 1).over(
+                Window.partitionBy(*keys).orderBy(S.DATE))))
+    t = targets.select(*keys, S.DATE, F.lit(0).alias("_k"),
+                       F.lit(None).cast("struct<c:double>").alias("_c"))
+    h = hist.select(*keys, S.DATE, F.lit(1).alias("_k"),
+                    F.struct(F.col("_carry").cast("double").alias("c")).alias("_c"))
+    w = (Window.partitionBy(*keys).orderBy(_union_key())
+         .rowsBetween(Window.unboundedPreceding, -1))
+    u = t.unionByName(h).withColumn("_m", F.last("_c", ignorenulls=True).over(w))
+    return u.where("_k = 0").select(*keys, S.DATE, F.col("_m.c").alias(out))
 
 
 def same_dow_last_week(targets: DataFrame, history: DataFrame,
                        keys: list[str] | None = None) -> DataFrame:
-    """E5: demand on target - 7 days; else the 7th latest prior value; else 0."""
+    """E5: demand on target - 7 days; else the 7th latest prior value; else 0.
+
+    One union of targets and history and one window pass over the series:
+    the exact value is a RANGE frame exactly 7 days back, the fallback is
+    carried from the latest history row before the target (its
+    ``lag(value, 6)``), so neither needs a join.
+    """
     keys = keys or [S.SERIES]
-    hist = history.where(F.col(S.MAX_DEMAND).isNotNull()).select(*keys, S.DATE, S.MAX_DEMAND)
-    exact = hist.select(*keys, F.date_add(S.DATE, 7).alias(S.DATE),
-                        F.col(S.MAX_DEMAND).alias("_exact"))
-    fallback = prior_ordinal(targets, hist, S.MAX_DEMAND, 7, keys, out="_nth")
-    base = targets.select(*keys, S.DATE).distinct()
-    got = (base.join(exact, keys + [S.DATE], "left")
-           .join(fallback, keys + [S.DATE], "left"))
-    return got.select(*keys, S.DATE,
-                      F.coalesce("_exact", "_nth", F.lit(0.0)).alias("demand_last_week"))
+    v = S.MAX_DEMAND
+    hist = (history.where(F.col(v).isNotNull()).select(*keys, S.DATE, v)
+            .withColumn("_l6", F.lag(v, 6).over(Window.partitionBy(*keys).orderBy(S.DATE))))
+    t = targets.select(*keys, S.DATE, F.lit(0).alias("_k"),
+                       F.lit(None).cast("double").alias("_v"),
+                       F.lit(None).cast("struct<c:double>").alias("_c"))
+    h = hist.select(*keys, S.DATE, F.lit(1).alias("_k"), F.col(v).cast("double").alias("_v"),
+                    F.struct(F.col("_l6").cast("double").alias("c")).alias("_c"))
+    w = Window.partitionBy(*keys).orderBy(_union_key())
+    u = t.unionByName(h).withColumns({
+        "_exact": F.max("_v").over(w.rangeBetween(-13, -13)),
+        "_m": F.last("_c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    return u.where("_k = 0").select(
+        *keys, S.DATE, F.coalesce("_exact", "_m.c", F.lit(0.0)).alias("demand_last_week"))
 
 
 def same_week_last_year(targets: DataFrame, history: DataFrame,

@@ -56,8 +56,9 @@ def demand_feature_rows(targets: DataFrame, history: DataFrame,
         F.col(S.IS_HOLIDAY), F.col(S.IS_BUSINESS_DAY), supplied))
     t = t.drop(*[c for c in t.columns if c.startswith("obs_")])
     hist = history.where(F.col(S.MAX_DEMAND).isNotNull())
-    lag1 = lk.last_before(t.select(*keys, S.DATE), hist, S.MAX_DEMAND, out="_lag1")
-    lag7 = lk.same_dow_last_week(t.select(*keys, S.DATE), hist)
+    tk = t.select(*keys, S.DATE).distinct()
+    lag1 = lk.last_before(tk, hist, S.MAX_DEMAND, out="_lag1")
+    lag7 = lk.same_dow_last_week(tk, hist)
     hcal = cal.calendar_parts(cal.with_weekday(hist))
     mw = fe.month_weekday_table(hcal).select(
         *keys, (F.col(S.YEAR) + 1).alias(S.YEAR), S.MONTH, S.WEEKDAY_NUM,
