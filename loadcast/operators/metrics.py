@@ -67,7 +67,13 @@ def top_k(df: DataFrame, score: str, k: int = 2, keys: list[str] | None = None,
     """
     keys = keys or []
     order = [F.col(score).desc()] + ([F.col(tiebreak)] if tiebreak else [])
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
+    if not keys:
+        # Whole-table top-k: a distributed take-ordered (k rows per task), then
+        # the rank over those k rows only.
+        top = df.orderBy(*order).limit(k)
+        return top.withColumn("rank", F.row_number().over(
+            Window.partitionBy(F.lit(0)).orderBy(*order)))
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadcast import schema as S
+from loadcast.operators.ranking import global_positions
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -50,20 +51,9 @@ def exact_quantiles(long: DataFrame, probs: list[float],
     Returns ``(column_name, q, value)``. Nulls and NaN are ignored. Work is a range
     shuffle + sort of the values; no group is gathered in one task.
     """
-    spark = long.sparkSession
     vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    srt = (vals.repartitionByRange(parts, "column_name", "value")
-           .sortWithinPartitions("column_name", "value")
-           .select("column_name", "value", F.spark_partition_id().alias("_pid"),
-                   F.monotonically_increasing_id().alias("_mid")))
-    # One row per non-empty partition: bounded by the partition count.
-    per_part = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
-    offs = per_part.withColumn(
-        "_off", F.sum("_c").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1))).fillna(0, subset=["_off"])
-    ranked = srt.join(F.broadcast(offs.select("_pid", "_off", "_m0")), "_pid").select(
-        "column_name", "value", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias("_rank"))
+    ranked = global_positions(vals, ["column_name", "value"], num_partitions,
+                              out="_rank")
     # One row per column: bounded by the column count.
     counts = vals.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(

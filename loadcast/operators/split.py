@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcast import schema as S
+from loadcast.operators.ranking import group_row_numbers
 
 TRAIN, TEST = "train", "test"
 
@@ -27,21 +28,34 @@ def train_size(n: Column, test_fraction: float) -> Column:
     return F.greatest(F.lit(1), F.least(k, n - 1)).cast("long")
 
 
+def _positions(df: DataFrame, keys: list[str], order: list[str], method: str) -> DataFrame:
+    """``_rn`` (1-based, by ``order``) and ``_n`` per group.
+
+    ``window``: one window per group (right for daily panels, where a group
+    holds at most one row per day). ``rank``: distributed positions, for
+    inputs where one group may hold a large share of all rows.
+    """
+    if method == "rank":
+        return group_row_numbers(df, keys, order, out="_rn", size="_n")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return df.withColumns({"_rn": F.row_number().over(w), "_n": n})
+
+
 def chronological_split(df: DataFrame, test_fraction: float = 0.2,
-                        keys: list[str] | None = None, order: str = S.DATE,
-                        out: str = "split") -> DataFrame:
+                        keys: list[str] | None = None, order: str | list[str] = S.DATE,
+                        out: str = "split", method: str = "window") -> DataFrame:
     """First k rows (by date) of every series are ``train``, the rest ``test``."""
     keys = keys or [S.SERIES]
-    w = Window.partitionBy(*keys).orderBy(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return (df.withColumns({"_rn": F.row_number().over(w), "_n": n})
-            .withColumn(out, F.when(F.col("_rn") <= train_size(F.col("_n"), test_fraction),
-                                    F.lit(TRAIN)).otherwise(F.lit(TEST)))
+    order = [order] if isinstance(order, str) else list(order)
+    pos = _positions(df, keys, order, method)
+    return (pos.withColumn(out, F.when(F.col("_rn") <= train_size(F.col("_n"), test_fraction),
+                                       F.lit(TRAIN)).otherwise(F.lit(TEST)))
             .drop("_rn", "_n"))
 
 
 def expanding_folds(df: DataFrame, n_splits: int = 3, keys: list[str] | None = None,
-                    order: str = S.DATE) -> DataFrame:
+                    order: str | list[str] = S.DATE, method: str = "window") -> DataFrame:
     """Time-series folds; block = n // (n_splits + 1).
 
     Fold i (0-based) tests rows [n - (n_splits - i) * block, + block) and trains
@@ -50,9 +64,8 @@ def expanding_folds(df: DataFrame, n_splits: int = 3, keys: list[str] | None = N
     yields no fold rows.
     """
     keys = keys or [S.SERIES]
-    w = Window.partitionBy(*keys).orderBy(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    base = df.withColumns({"_rn": F.row_number().over(w) - 1, "_n": n})
+    order = [order] if isinstance(order, str) else list(order)
+    base = _positions(df, keys, order, method).withColumn("_rn", F.col("_rn") - 1)
     base = base.withColumn("_b", F.floor(F.col("_n") / (n_splits + 1)).cast("long"))
     folds = F.array(*[F.lit(i) for i in range(n_splits)])
     x = base.withColumn("fold", F.explode(folds))

@@ -148,3 +148,24 @@ def test_last_year_dow_modes(spark):
     assert {r[S.DEMAND_LAST_YEAR_DOW] for r in fixed} == {22.0}
     off = fe.last_year_dow_mean(df, "disabled")
     assert {r[S.DEMAND_LAST_YEAR_DOW] for r in off.collect()} == {0.0}
+
+
+def test_rank_method_matches_window_method(spark):
+    rnd = random.Random(11)
+    data = [("hot", day(i)) for i in range(1, 400)] + \
+           [(f"s{j}", day(i)) for j in range(5) for i in rnd.sample(range(1, 60), 13)]
+    df = spark.createDataFrame(data, "series_id string, date date")
+    a = {(r.series_id, r.date, r.split) for r in sp.chronological_split(df).collect()}
+    b = {(r.series_id, r.date, r.split) for r in
+         sp.chronological_split(df, method="rank").collect()}
+    assert a == b
+    fa = {tuple(r) for r in sp.expanding_folds(df).collect()}
+    fb = {tuple(r) for r in sp.expanding_folds(df, method="rank").collect()}
+    assert fa == fb
+
+
+def test_top_k_without_keys(spark):
+    from loadcast.operators import metrics as me
+    df = spark.createDataFrame([(f"f{i}", float(i % 7)) for i in range(50)], "f string, v double")
+    got = [(r.f, r.rank) for r in me.top_k(df, "v", 3, tiebreak="f").orderBy("rank").collect()]
+    assert got == [("f13", 1), ("f20", 2), ("f27", 3)]
