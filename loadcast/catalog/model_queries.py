@@ -50,7 +50,7 @@ def f2_tune_forest(spark, sf):
     """Random search over expanding folds; one row per draw with its mean MAE."""
     table, features = tr.demand_training_table(demand(spark, sf))
     table = tr.materialize(table)
-    res = md.tune_forest(table.where(F.col("split") == sp.TRAIN), features)
+    res = md.tune_forest(table.where(F.col("split") == sp.TRAIN), features, refit=False)
     schema = T.StructType([
         T.StructField("draw", T.IntegerType()), T.StructField("num_trees", T.IntegerType()),
         T.StructField("max_depth", T.IntegerType()),

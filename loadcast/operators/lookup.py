@@ -33,7 +33,8 @@ def observed_on(targets: DataFrame, history: DataFrame, cols: list[str],
 
 
 def last_before(targets: DataFrame, history: DataFrame, value: str,
-                keys: list[str] | None = None, out: str = "last_value") -> DataFrame:
+                keys: list[str] | None = None, out: str = "last_value",
+                bucket_days: int | None = None) -> DataFrame:
     """As-of lookup (strict, backward): latest non-null ``value`` dated < target.
 
     Targets (k = 0) and history (k = 1) are unioned and sorted by (date, k)
@@ -41,8 +42,16 @@ def last_before(targets: DataFrame, history: DataFrame, value: str,
     strictly earlier rows are in its frame. ``last(ignorenulls)`` over
     ``rowsBetween(unboundedPreceding, -1)`` then carries the latest value
     forward; the date of that value comes along in a struct.
+
+    ``bucket_days`` switches to the two-level form for history that is not a
+    daily panel (one series may hold a large share of all rows): windows run
+    within (series, time bucket), and targets with no match in their own
+    bucket take the last value of the nearest earlier bucket from a
+    per-bucket summary (one row per series and bucket).
     """
     keys = keys or [S.SERIES]
+    if bucket_days:
+        return _last_before_bucketed(targets, history, value, keys, out, bucket_days)
     extra = [c for c in targets.columns if c not in keys + [S.DATE]]
     # Other target columns ride along in a struct, so no join back is needed.
     payload = F.struct(*[F.col(c) for c in extra]) if extra else F.lit(None).cast("int")
@@ -63,6 +72,37 @@ def last_before(targets: DataFrame, history: DataFrame, value: str,
         F.col("_m.v").alias(out), F.col("_m.d").alias(f"{out}_date"))
 
 
+def _last_before_bucketed(targets: DataFrame, history: DataFrame, value: str,
+                          keys: list[str], out: str, bucket_days: int) -> DataFrame:
+    bucket = F.floor(F.unix_date(F.col(S.DATE)) / F.lit(bucket_days)).cast("long")
+    hist = (history.where(F.col(value).isNotNull())
+            .select(*keys, S.DATE, F.col(value).cast("double").alias(value))
+            .withColumn("_bk", bucket))
+    # Level 1: the usual single pass, partitioned by (series, bucket).
+    level1 = last_before(targets.withColumn("_bk", bucket), hist, value, keys + ["_bk"], out)
+    # One row per (series, bucket): the bucket's last value and its date.
+    summary = hist.groupBy(*keys, "_bk").agg(
+        F.max_by(F.struct(F.col(S.DATE).alias("d"), F.col(value).alias("v")),
+                 F.col(S.DATE)).alias("_last"))
+    # Level 2: each target bucket takes the summary of the nearest earlier
+    # bucket, an as-of over bucket numbers (bounded by the bucket count).
+    tb = level1.select(*keys, "_bk").distinct()
+    lk = (tb.select(*keys, "_bk", F.lit(0).alias("_k"),
+                    F.lit(None).cast("struct<d:date,v:double>").alias("_s"))
+          .unionByName(summary.select(*keys, "_bk", F.lit(1).alias("_k"),
+                                      F.col("_last").alias("_s"))))
+    wb = (Window.partitionBy(*keys).orderBy("_bk", "_k")
+          .rowsBetween(Window.unboundedPreceding, -1))
+    prior = (lk.withColumn("_p", F.last("_s", ignorenulls=True).over(wb))
+             .where("_k = 0").select(*keys, "_bk", "_p"))
+    res = level1.join(prior, keys + ["_bk"], "left")
+    return res.select(
+        *[c for c in level1.columns if c not in ("_bk", out, f"{out}_date")],
+        F.coalesce(F.col(out), F.col("_p.v")).alias(out),
+        F.when(F.col(out).isNotNull(), F.col(f"{out}_date"))
+        .otherwise(F.col("_p.d")).alias(f"{out}_date"))
+
+
 def _union_key(kind: str = "_k"):
     """Order key for a union of targets (k = 0) and history (k = 1): day * 2 + k,
     so a target sorts before same-day history and day offsets stay exact."""

@@ -94,13 +94,13 @@ def _mae(pred: DataFrame, label: str) -> float:
 @dataclass
 class TuningResult:
     best_params: dict
-    model: PipelineModel
+    model: PipelineModel | None
     trials: list[dict] = field(default_factory=list)
 
 
 def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND,
                 n_draws: int = 6, n_splits: int = 3, parallelism: int = 4,
-                keys: list[str] | None = None) -> TuningResult:
+                keys: list[str] | None = None, refit: bool = True) -> TuningResult:
     """random search over :data:`FOREST_GRID` with expanding time folds.
 
     Folds come from :func:`loadcast.operators.split.expanding_folds` (train
@@ -108,7 +108,8 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
     ``CrossValidator`` which would train on future folds. The fold table is
     assembled once and persisted; the ``n_draws * n_splits`` fits run from a
     thread pool so Spark schedules them side by side; the lowest mean MAE
-    wins and is refit on all training rows.
+    wins and is refit on all training rows (``refit=False`` returns only the
+    search result).
     """
     keys = keys or [S.SERIES]
     folds = sp.expanding_folds(train, n_splits=n_splits, keys=keys)
@@ -140,7 +141,7 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
     params = {k: best[k] for k in FOREST_GRID}
     model = fit_demand_forest(train, features, label, num_trees=params["numTrees"],
                               max_depth=params["maxDepth"],
-                              min_rows=params["minInstancesPerNode"])
+                              min_rows=params["minInstancesPerNode"]) if refit else None
     return TuningResult(params, model, trials)
 
 

@@ -169,3 +169,24 @@ def test_top_k_without_keys(spark):
     df = spark.createDataFrame([(f"f{i}", float(i % 7)) for i in range(50)], "f string, v double")
     got = [(r.f, r.rank) for r in me.top_k(df, "v", 3, tiebreak="f").orderBy("rank").collect()]
     assert got == [("f13", 1), ("f20", 2), ("f27", 3)]
+
+
+def test_bucketed_asof_matches_brute_force(spark):
+    rnd = random.Random(5)
+    hist_rows, tgt_rows = [], []
+    for s in ("hot", "b"):
+        n = 300 if s == "hot" else 20
+        for d in rnd.sample(range(1, 200), n // 2):
+            hist_rows.append((s, day(d), None if rnd.random() < 0.2 else float(rnd.randint(1, 99))))
+        for d in rnd.sample(range(1, 220), 40):
+            tgt_rows.append((s, day(d), d))
+    hist = spark.createDataFrame(hist_rows, "series_id string, date date, max_demand double")
+    tg = spark.createDataFrame(tgt_rows, "series_id string, date date, tag int")
+    for bucket in (1, 3, 16):
+        got = {(r.series_id, r.date): (r.v, r.v_date, r.tag) for r in
+               lk.last_before(tg, hist, S.MAX_DEMAND, out="v", bucket_days=bucket).collect()}
+        assert len(got) == len(tgt_rows)
+        for s, d, tag in tgt_rows:
+            prior = [(hd, v) for hs, hd, v in hist_rows if hs == s and hd < d and v is not None]
+            want = max(prior) if prior else None
+            assert got[(s, d)] == ((want[1], want[0], tag) if want else (None, None, tag))
