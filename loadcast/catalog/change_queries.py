@@ -295,6 +295,16 @@ def a13_write_csv(spark, sf):
     return io.read_table(spark, path)
 
 
+# Spark's CSV text of the typed columns: numbers in their shortest form,
+# timestamps as yyyy-MM-ddTHH:mm:ss.SSS.
+A13_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+       o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
+       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') AS o_orderdate, o_orderpriority
+FROM orders
+"""
+
+
 QUERIES = {
     "a1_read_table": (a1_read_table, A1_SQL),
     "a2_coerce_numeric": (a2_coerce_numeric, A2_SQL),
@@ -308,5 +318,5 @@ QUERIES = {
     "a10_replace_table": (a10_replace_table, RENDER_SQL),
     "a11_normalize_date_strings": (a11_normalize_date_strings, A11_SQL),
     "a12_render_cell": (a12_render_cell, RENDER_SQL),
-    "a13_write_csv": (a13_write_csv, None),
+    "a13_write_csv": (a13_write_csv, A13_SQL),
 }

@@ -97,6 +97,73 @@ def f5_forecast_demand(spark, sf):
     return fc.forecast_demand(targets, hist, t.model, t.features)
 
 
+_F5_COLS = [S.MONTH, S.IS_HOLIDAY, S.IS_BUSINESS_DAY, S.TEMP_LOW, S.TEMP_HIGH, S.FEELS_LIKE,
+            S.DEMAND_LAG1, S.DEMAND_LAG7, S.COOLING, S.HEATING, S.DIURNAL, "dow_monday",
+            "dow_sunday"]
+
+
+def f5_forecast_feature_rows(spark, sf):
+    """The F5 feature rows (everything but the model) for every calendar day of
+    the sparse panel, with supplied temperatures derived from the day."""
+    hist = region_cal(spark, sf)
+    dom = F.dayofmonth(S.DATE).cast("double")
+    targets = calendar_targets(hist).withColumns({
+        "in_low": dom - 10.0, "in_high": dom + 10.0,
+        "in_feels": F.when(F.dayofmonth(S.DATE) % 4 != 0, dom)})
+    rows = fc.demand_feature_rows(targets, hist)
+    return rows.select(S.SERIES, S.DATE, *_F5_COLS,
+                       F.round(S.DEMAND_LAST_YEAR_DOW, 6).alias(S.DEMAND_LAST_YEAR_DOW))
+
+
+F5_SQL = Q.REGION + TARGETS_SQL + f"""
+, t AS (SELECT series_id, date, CAST(day(date) AS DOUBLE) - 10.0 AS in_low,
+               CAST(day(date) AS DOUBLE) + 10.0 AS in_high,
+               CASE WHEN day(date) % 4 <> 0 THEN CAST(day(date) AS DOUBLE) END AS in_feels
+        FROM targets)
+, {Q.calendar("t", "tc")[1:]}
+, h AS (SELECT series_id, date, max_demand,
+               ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date) AS pos
+        FROM panel WHERE max_demand IS NOT NULL)
+, l1 AS (SELECT t.series_id, t.date, h.max_demand AS lag1
+         FROM targets t ASOF LEFT JOIN (SELECT series_id, date AS hdate, max_demand FROM h) h
+           ON t.series_id = h.series_id AND t.date > h.hdate)
+, c AS (SELECT t.series_id, t.date,
+               (SELECT COUNT(*) FROM h WHERE h.series_id = t.series_id AND h.date < t.date) AS cnt
+        FROM targets t)
+, l7 AS (SELECT c.series_id, c.date, COALESCE(e.max_demand, f.max_demand, 0.0) AS lag7
+         FROM c LEFT JOIN h e ON e.series_id = c.series_id AND e.date = c.date - 7
+                LEFT JOIN h f ON f.series_id = c.series_id AND f.pos = c.cnt - 6)
+, mw AS (SELECT series_id, CAST(year(date) AS INTEGER) AS y, CAST(month(date) AS INTEGER) AS m,
+                CAST(isodow(date) - 1 AS INTEGER) AS wd, AVG(max_demand) AS mm
+         FROM h GROUP BY 1, 2, 3, 4)
+, j AS (
+  SELECT tc.*, p.temp_low AS o_low, p.temp_high AS o_high, p.feels_like AS o_feels,
+         l1.lag1, l7.lag7, mw.mm
+  FROM tc
+  LEFT JOIN panel p ON p.series_id = tc.series_id AND p.date = tc.date
+  LEFT JOIN l1 ON l1.series_id = tc.series_id AND l1.date = tc.date
+  LEFT JOIN l7 ON l7.series_id = tc.series_id AND l7.date = tc.date
+  LEFT JOIN mw ON mw.series_id = tc.series_id AND mw.y = tc.year - 1 AND mw.m = tc.month
+              AND mw.wd = tc.weekday_num)
+, f AS (SELECT *, COALESCE(o_low, CASE WHEN is_winter = 1 THEN in_low END) AS lo,
+               COALESCE(o_high, CASE WHEN is_summer = 1 THEN in_high END) AS hi FROM j)
+, g AS (SELECT *, COALESCE(o_feels, in_feels,
+                           CASE WHEN is_summer = 1 AND hi IS NOT NULL THEN hi END,
+                           CASE WHEN is_winter = 1 AND lo IS NOT NULL THEN lo END,
+                           (COALESCE(lo, 0.0) + COALESCE(hi, 0.0)) / 2.0) AS fe FROM f)
+SELECT series_id, date, month, is_holiday, is_business_day,
+  COALESCE(lo, 0.0) AS temp_low, COALESCE(hi, 0.0) AS temp_high, COALESCE(fe, 0.0) AS feels_like,
+  COALESCE(lag1, 0.0) AS demand_lag1, COALESCE(lag7, 0.0) AS demand_lag7,
+  COALESCE(CASE WHEN fe IS NULL THEN NULL ELSE greatest(fe - 25.0, 0.0) END * is_summer, 0.0) AS cooling_intensity,
+  COALESCE(CASE WHEN lo IS NULL THEN NULL ELSE greatest(10.0 - lo, 0.0) END * is_winter, 0.0) AS heating_intensity,
+  COALESCE(hi - lo, 0.0) AS diurnal_range,
+  CAST(CASE WHEN weekday_num = 0 THEN 1 ELSE 0 END AS INTEGER) AS dow_monday,
+  CAST(CASE WHEN weekday_num = 6 THEN 1 ELSE 0 END AS INTEGER) AS dow_sunday,
+  ROUND(COALESCE(mm, 0.0), 6) AS demand_last_year_dow
+FROM g
+"""
+
+
 def f6_delta_vs_last_week(spark, sf):
     """Delta of a persistence forecast (latest value before the date) against
     the same weekday last week, for every calendar day of the sparse panel."""
@@ -143,6 +210,41 @@ def f7_forecast_gas(spark, sf):
     return fc.forecast_gas(scen, hist, t.model, t.features, r2=_gas_r2(t))
 
 
+def f7_gas_feature_rows(spark, sf):
+    """The F7 feature rows (everything but the model) with every panel day as a
+    scenario: its demand and solar as inputs, state from the whole history."""
+    hist = demand(spark, sf)
+    scen = hist.select(S.SERIES, S.DATE, S.MAX_DEMAND, S.SOLAR_MAX)
+    rows = fc.gas_feature_rows(scen, hist)
+    return rows.select(S.SERIES, S.DATE, S.IS_BUSINESS_DAY, S.RESIDUAL_LOAD, S.SOLAR_RATIO,
+                       S.RESIDUAL_RATIO, F.round(S.GAS_BUDGET, 4).alias(S.GAS_BUDGET),
+                       S.GAS_LAG1, F.round(S.GAS_CHANGE_LAG1, 9).alias(S.GAS_CHANGE_LAG1))
+
+
+F7_SQL = Q.DEMAND_CAL + """
+, r AS (SELECT series_id,
+          COALESCE(AVG(CASE WHEN is_business_day = 1 THEN x END), AVG(x), 0.0) AS rb,
+          COALESCE(AVG(CASE WHEN is_business_day = 0 THEN x END), AVG(x), 0.0) AS ro
+        FROM (SELECT *, (gas_demand + solar_max) / NULLIF(max_demand, 0.0) AS x FROM cal) GROUP BY 1)
+, g AS (SELECT series_id, MAX(CASE WHEN rn = 1 THEN gas_demand END) AS last_gas,
+               MAX(CASE WHEN rn = 2 THEN gas_demand END) AS prev_gas
+        FROM (SELECT series_id, gas_demand,
+                     ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date DESC) AS rn
+              FROM cal WHERE gas_demand IS NOT NULL AND solar_max IS NOT NULL) WHERE rn <= 2
+        GROUP BY 1)
+SELECT c.series_id, c.date, c.is_business_day, c.max_demand - c.solar_max AS residual_load,
+  COALESCE(c.solar_max / NULLIF(c.max_demand, 0.0), 0.0) AS solar_ratio,
+  COALESCE((c.max_demand - c.solar_max) / NULLIF(c.max_demand, 0.0), 0.0) AS residual_ratio,
+  ROUND(CASE WHEN b IS NULL THEN NULL ELSE greatest(b, 0.0) END, 4) AS gas_budget,
+  COALESCE(g.last_gas, 0.0) AS gas_lag1,
+  ROUND(COALESCE((g.last_gas - g.prev_gas) / NULLIF(g.prev_gas, 0.0), 0.0), 9) AS gas_change_lag1
+FROM (SELECT cal.*, cal.max_demand * CASE WHEN cal.is_business_day = 1 THEN r.rb ELSE r.ro END
+             - cal.solar_max AS b, r.series_id AS rs
+      FROM cal LEFT JOIN r ON r.series_id = cal.series_id) c
+LEFT JOIN g ON g.series_id = c.series_id
+"""
+
+
 def f9_feature_importance(spark, sf):
     rows = []
     for name, t in (("demand_forest", trained_demand(spark, sf)),
@@ -165,8 +267,10 @@ QUERIES = {
     "f3_fit_gas_model": (f3_fit_gas_model, None),
     "f4_monotone_map": (f4_monotone_map, None),
     "f5_forecast_demand": (f5_forecast_demand, None),
+    "f5_forecast_feature_rows": (f5_forecast_feature_rows, F5_SQL),
     "f6_delta_vs_last_week": (f6_delta_vs_last_week, F6_SQL),
     "f7_forecast_gas": (f7_forecast_gas, None),
+    "f7_gas_feature_rows": (f7_gas_feature_rows, F7_SQL),
     "f9_feature_importance": (f9_feature_importance, None),
     "f10_evaluate": (f10_evaluate, None),
 }

@@ -142,7 +142,7 @@ def b9_one_hot(spark, sf):
     return out.select(*KEYS, *S.DOW_COLUMNS)
 
 
-B9_SQL = Q.DEMAND + ", ".join([""] + []) + """
+B9_SQL = Q.DEMAND + """
 SELECT series_id, date, """ + ", ".join(
     f"CAST(CASE WHEN day(date) <> 13 AND isodow(date) = {i + 1} THEN 1 ELSE 0 END AS INTEGER) AS {c}"
     for i, c in enumerate(S.DOW_COLUMNS)) + """
