@@ -295,7 +295,7 @@ def b24_align_features(spark, sf):
 
 
 B24_SQL = Q.DEMAND_CAL + """
-SELECT series_id, date, month, temp_low, 0.0 AS solar_share_unused, temp_high FROM cal
+SELECT series_id, date, month, temp_low, 0.0::DOUBLE AS solar_share_unused, temp_high FROM cal
 """
 
 
