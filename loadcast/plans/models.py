@@ -79,6 +79,21 @@ def fit_demand_forest(train: DataFrame, features: list[str], label: str = S.MAX_
     return pipe.fit(train)
 
 
+def _memory_gb(text: str) -> float:
+    units = {"k": 1 / (1024 * 1024), "m": 1 / 1024, "g": 1.0, "t": 1024.0}
+    t = text.strip().lower().rstrip("b")
+    return float(t[:-1]) * units[t[-1]] if t and t[-1] in units else float(t) / 2 ** 30
+
+
+def safe_parallelism(spark, requested: int) -> int:
+    """Concurrent fits allowed: in local mode every fit's histogram tasks share
+    the driver heap, so allow about one fit per 2 GB of it."""
+    if not spark.sparkContext.master.startswith("local"):
+        return requested
+    heap = _memory_gb(spark.sparkContext.getConf().get("spark.driver.memory", "1g"))
+    return max(1, min(requested, int(heap // 2)))
+
+
 def sample_grid(n_draws: int = 6, seed: int = SEED) -> list[dict]:
     grid = [{"numTrees": t, "maxDepth": d, "minInstancesPerNode": m}
             for t in FOREST_GRID["numTrees"] for d in FOREST_GRID["maxDepth"]
@@ -129,7 +144,8 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
 
     jobs = [(i, p, f) for i, p in enumerate(draws) for f in range(n_splits)]
     try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        workers = safe_parallelism(train.sparkSession, max(1, parallelism))
+        with ThreadPoolExecutor(max_workers=workers) as pool:
             results = list(pool.map(run, jobs))
     finally:
         folded.unpersist()
