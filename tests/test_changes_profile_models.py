@@ -152,3 +152,22 @@ def test_monotone_boost_is_monotone_in_signed_features(spark):
 def test_checkpoint_root_is_set(spark):
     from loadcast.session import checkpoint_root
     assert checkpoint_root(spark)
+
+
+def test_forest_ensemble_predicts_and_round_trips(spark, tmp_path):
+    rnd = np.random.default_rng(1)
+    x = rnd.uniform(0, 10, 300)
+    df = spark.createDataFrame([(float(a), float(2 * a + rnd.normal())) for a in x],
+                               "a double, max_demand double")
+    m = md.fit_demand_forest(df, ["a"], num_trees=10, max_depth=5, parallelism=4)
+    assert isinstance(m, md.ForestEnsemble) and sum(m.weights) == 10
+    pred = m.transform(df)
+    assert "features" not in pred.columns
+    r2 = me.regression_metrics(pred, "max_demand", "prediction", keys=[]).first().r2
+    assert r2 > 0.9
+    assert abs(sum(v for _, v in md.importances(m, ["a"])) - 1.0) < 1e-9
+    m.save(str(tmp_path / "forest"))
+    back = md.ForestEnsemble.load(spark, str(tmp_path / "forest"))
+    a = sorted(r.prediction for r in m.transform(df).collect())
+    b = sorted(r.prediction for r in back.transform(df).collect())
+    assert np.allclose(a, b)
