@@ -386,7 +386,46 @@ FROM st
 """
 
 
+# --- panel sources ----------------------------------------------------
+
+def panel_lineitem_daily(spark, sf):
+    """Dense panel: daily demand / solar / gas per return flag, with temperatures."""
+    return demand(spark, sf)
+
+
+PANEL_LINEITEM_SQL = Q.DEMAND + "SELECT * FROM panel\n"
+
+
+def panel_orders_region(spark, sf):
+    """Sparse panel: daily order totals per region (orders x customer x nation)."""
+    from loadcast.sources import panels
+    return panels.region_panel(spark, sf)
+
+
+PANEL_REGION_SQL = Q.REGION + "SELECT * FROM panel\n"
+
+
+def panel_events_peak(spark, sf):
+    """Peak panel: the daily maximum event value per event type, with its lags."""
+    from loadcast.sources import panels
+    p = panels.peak_panel(spark, sf)
+    return fe.demand_lags(p, by="calendar").select(*KEYS, S.MAX_DEMAND, S.TEMP_HIGH,
+                                                   S.DEMAND_LAG1, S.DEMAND_LAG7)
+
+
+PANEL_EVENTS_SQL = Q.EVENTS + """
+SELECT series_id, date, max_demand, temp_high,
+       LAG(max_demand, 1) OVER (PARTITION BY series_id ORDER BY date) AS demand_lag1,
+       (SELECT MAX(q.max_demand) FROM panel q
+        WHERE q.series_id = panel.series_id AND q.date = panel.date - 7) AS demand_lag7
+FROM panel
+"""
+
+
 QUERIES = {
+    "panel_lineitem_daily": (panel_lineitem_daily, PANEL_LINEITEM_SQL),
+    "panel_orders_region": (panel_orders_region, PANEL_REGION_SQL),
+    "panel_events_peak": (panel_events_peak, PANEL_EVENTS_SQL),
     "flagship_lag_error": (flagship_lag_error, FLAGSHIP_SQL),
     "b3_calendar_parts": (b3_calendar_parts, B3_SQL),
     "b4_weekday_name": (b4_weekday_name, B4_SQL),
