@@ -214,5 +214,8 @@ def build_features(panel: DataFrame, *, lag_by: str = "rows",
     out = sc.heating_intensity(out)
     out = sc.diurnal_range(out)
     out = last_year_dow_mean(out, mode=last_year_mode, keys=keys)
+    # The one-hots follow the date: a supplied weekday text (any language or
+    # spelling) cannot leave a row with no weekday set.
+    out = out.withColumn(S.WEEKDAY_NAME, cal.weekday_name_expr(S.DATE))
     out = cal.weekday_one_hot(out, drop_source=True)
     return sc.drop_essential_nulls(out)

@@ -171,3 +171,22 @@ def test_forest_ensemble_predicts_and_round_trips(spark, tmp_path):
     a = sorted(r.prediction for r in m.transform(df).collect())
     b = sorted(r.prediction for r in back.transform(df).collect())
     assert np.allclose(a, b)
+
+
+def test_write_upsert_round_trip(spark, tmp_path):
+    old, new = _tables(spark)
+    base = str(tmp_path / "base")
+    old.write.parquet(base)
+    d = ch.changed_rows(new, old, ["k"])
+    out = ch.write_upsert(base, d, ["k"], str(tmp_path / "v2"))
+    got = sorted(map(tuple, spark.read.parquet(out).select("k", "a", "b").collect()))
+    assert got == sorted(map(tuple, new.collect()))
+
+
+def test_supplied_weekday_text_does_not_break_one_hots(spark):
+    from loadcast.operators import features as fe
+    df = spark.createDataFrame([("s", dt.date(2024, 1, 1) + dt.timedelta(days=i), 10.0 + i, "월요일")
+                                for i in range(10)],
+                               "series_id string, date date, max_demand double, weekday_name string")
+    out = fe.build_features(df)
+    assert all(sum(r[c] for c in S.DOW_COLUMNS) == 1 for r in out.collect())
