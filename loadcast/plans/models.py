@@ -194,7 +194,7 @@ class TuningResult:
 
 
 def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND,
-                n_draws: int = 6, n_splits: int = 3, parallelism: int = 4,
+                n_draws: int = 6, n_splits: int = 3, parallelism: int | None = None,
                 keys: list[str] | None = None, refit: bool = True) -> TuningResult:
     """random search over :data:`FOREST_GRID` with expanding time folds.
 
@@ -224,7 +224,11 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
 
     jobs = [(i, p, f) for i, p in enumerate(draws) for f in range(n_splits)]
     try:
-        workers = safe_parallelism(train.sparkSession, max(1, parallelism))
+        spark = train.sparkSession
+        # Four concurrent fits measured fastest locally; more contend for the
+        # driver, which merges every fit's node histograms.
+        want = parallelism or min(4, spark.sparkContext.defaultParallelism)
+        workers = safe_parallelism(spark, max(1, want))
         with ThreadPoolExecutor(max_workers=workers) as pool:
             results = list(pool.map(run, jobs))
     finally:
