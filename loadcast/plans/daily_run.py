@@ -6,7 +6,7 @@ demand forest (F1 or tuned, F2) and, when gas and solar exist, the gas model
 (F3) -> hold-out metrics (F10) -> forecast the next day of every series (F5,
 F6) and the gas for the hold-out scenarios (F7) -> write everything.
 
-    python -m loadcast.plans.daily_run --table data.csv --out /shared/run1
+    python -m loadcast.plans.daily_run --table data.csv --out /shared/run1 [--no-tune]
 
 Outputs (Parquet unless noted): ``profile``, ``metrics``, ``forecast_demand``,
 ``forecast_gas``, ``importances``, ``models/demand`` (and ``models/gas.json``).
@@ -41,8 +41,12 @@ def load_daily(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return df.where(F.col(S.DATE).isNotNull())
 
 
-def run(spark: SparkSession, table: str, out: str, fmt: str = "csv", tune: bool = False,
-        gas_cutoff: str | None = None) -> dict:
+# The reference's defaults: the tuned forest, and gas rows from this date on.
+DEFAULT_GAS_CUTOFF = "2024-12-01"
+
+
+def run(spark: SparkSession, table: str, out: str, fmt: str = "csv", tune: bool = True,
+        gas_cutoff: str | None = DEFAULT_GAS_CUTOFF) -> dict:
     daily = load_daily(spark, table, fmt)
     pr.profile_range(daily).write.mode("overwrite").parquet(f"{out}/profile")
     demand = tr.train_demand(daily, tune=tune)
@@ -56,6 +60,9 @@ def run(spark: SparkSession, table: str, out: str, fmt: str = "csv", tune: bool
         demand.model.save(f"{out}/models/demand")
     has_gas = all(c in daily.columns for c in S.GAS_INPUTS) and \
         daily.where(F.col(S.GAS_DEMAND).isNotNull()).take(1)
+    if has_gas and gas_cutoff:
+        has_gas = daily.where((F.col(S.DATE) >= F.to_date(F.lit(gas_cutoff)))
+                              & F.col(S.GAS_DEMAND).isNotNull()).take(1)
     if has_gas:
         gas = tr.train_gas(daily, cutoff=gas_cutoff)
         gmetrics = tr.evaluate(gas).withColumn("model", F.lit("gas_boost"))
@@ -82,13 +89,15 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--table", required=True)
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", default="csv")
-    ap.add_argument("--tune", action="store_true")
-    ap.add_argument("--gas-cutoff", default=None)
+    ap.add_argument("--no-tune", dest="tune", action="store_false",
+                    help="fit the plain 100-tree forest instead of the tuned one")
+    ap.add_argument("--gas-cutoff", default=DEFAULT_GAS_CUTOFF,
+                    help="first date of gas training rows ('' for all rows)")
     args = ap.parse_args(argv)
     from loadcast.session import build_session, checkpoint_root
     spark = build_session()
     checkpoint_root(spark)
-    print(run(spark, args.table, args.out, args.format, args.tune, args.gas_cutoff))
+    print(run(spark, args.table, args.out, args.format, args.tune, args.gas_cutoff or None))
 
 
 if __name__ == "__main__":

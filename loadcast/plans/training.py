@@ -8,6 +8,7 @@ replays the whole feature lineage.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -78,13 +79,21 @@ class Trained:
 
 
 def train_demand(panel: DataFrame, tune: bool = False, **kw) -> Trained:
-    """F1 / F2: fit the peak-demand forest on the training split."""
+    """F1 / F2: fit the peak-demand forest on the training split.
+
+    With ``tune=True`` the tuned forest is used; if tuning fails (e.g. too few
+    rows for the folds) the plain 100-tree forest is fitted instead.
+    """
     table, features = demand_training_table(panel, **kw)
     table = materialize(table)
     train = table.where(F.col("split") == sp.TRAIN)
+    model = None
     if tune:
-        model = md.tune_forest(train, features).model
-    else:
+        try:
+            model = md.tune_forest(train, features).model
+        except Exception as err:  # noqa: BLE001 - same fallback as the reference
+            warnings.warn(f"forest tuning failed ({err}); fitting the plain forest")
+    if model is None:
         model = md.fit_demand_forest(train, features)
     return Trained(model, features, table, S.MAX_DEMAND)
 

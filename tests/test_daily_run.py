@@ -23,7 +23,7 @@ def test_daily_run_writes_all_outputs(spark, tmp_path):
     src = tmp_path / "daily.csv"
     src.write_text("\n".join(lines) + "\n")
     out = str(tmp_path / "run")
-    res = daily_run.run(spark, str(src), out)
+    res = daily_run.run(spark, str(src), out, tune=False, gas_cutoff=None)
     assert res["gas"]
     metrics = {(r.model, r.series_id): r for r in spark.read.parquet(f"{out}/metrics").collect()}
     assert {m for m, _ in metrics} == {"demand_forest", "gas_boost"}
@@ -36,3 +36,14 @@ def test_daily_run_writes_all_outputs(spark, tmp_path):
     imp = spark.read.parquet(f"{out}/importances").collect()
     assert abs(sum(r.importance for r in imp if r.model == "gas_boost") - 1) < 1e-9
     assert spark.read.parquet(f"{out}/profile").first().n_rows == 840
+
+
+def test_gas_model_skipped_when_cutoff_leaves_no_rows(spark, tmp_path):
+    lines = ["series_id,date,max_demand,temp_high,temp_low,feels_like,solar_max,gas_demand"]
+    for i in range(60):
+        d = dt.date(2023, 3, 1) + dt.timedelta(days=i)
+        lines.append(f"s,{d.isoformat()},{1000 + i},20,10,21,100,{300 + i}")
+    src = tmp_path / "d.csv"
+    src.write_text("\n".join(lines) + "\n")
+    res = daily_run.run(spark, str(src), str(tmp_path / "o"), tune=False)
+    assert res["gas"] is False
