@@ -419,7 +419,10 @@ def fit_monotone_boost(train: DataFrame, features: list[str], signs: list[int],
             if signs[j] == 0:
                 h[val] = pool_small(mean[val], w[val], min_rows)
             else:
-                h[val] = pava(mean[val], w[val], increasing=signs[j] > 0)
+                # Pooling adjacent steps of a monotone fit keeps it monotone and
+                # gives every step at least ``min_rows`` rows.
+                h[val] = pool_small(pava(mean[val], w[val], increasing=signs[j] > 0),
+                                    w[val], min_rows)
             h[nb - 1] = mean[nb - 1]
             gain = float(np.sum(2 * learning_rate * h[:nb] * R[j, :nb]
                                 - learning_rate ** 2 * h[:nb] ** 2 * w))
