@@ -190,3 +190,10 @@ def test_supplied_weekday_text_does_not_break_one_hots(spark):
                                "series_id string, date date, max_demand double, weekday_name string")
     out = fe.build_features(df)
     assert all(sum(r[c] for c in S.DOW_COLUMNS) == 1 for r in out.collect())
+
+
+def test_forest_search_candidates():
+    draws = md.sample_grid()
+    assert len(draws) == 6 and len({tuple(sorted(d.items(), key=str)) for d in draws}) == 6
+    assert draws[0] == {"numTrees": 300, "maxDepth": 16, "minInstancesPerNode": 4}
+    assert all(d["numTrees"] in (100, 200, 300) for d in draws)
