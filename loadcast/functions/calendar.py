@@ -153,9 +153,14 @@ def season_flags(df: DataFrame, month_col: str = S.MONTH) -> DataFrame:
 
 def business_day_override(is_holiday: Column, derived_business: Column,
                           supplied_day_type: Column) -> Column:
-    """A supplied day type decides the business flag unless it is a holiday."""
-    supplied = (F.when(supplied_day_type == F.lit(S.DAY_TYPE_WEEKDAY), F.lit(1))
-                .when(supplied_day_type.isNotNull(), F.lit(0)))
+    """A supplied day type decides the business flag unless it is a holiday.
+
+    The supplied text goes through the same synonym lists as B8; text that
+    matches neither list (or null) leaves the flag derived from the date.
+    """
+    key = F.lower(F.trim(supplied_day_type))
+    supplied = (F.when(key.isin(S.DAY_TYPE_WEEKDAY_SYNONYMS), F.lit(1))
+                .when(key.isin(S.DAY_TYPE_HOLIDAY_SYNONYMS), F.lit(0)))
     return (F.when(is_holiday == 1, F.lit(0))
             .otherwise(F.coalesce(supplied, derived_business)).cast("int"))
 
