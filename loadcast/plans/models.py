@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from loadcast import schema as S
 from loadcast.operators import split as sp
-from loadcast.operators.joins import has_at_most
 
 SEED = 42
 # Spark caps tree depth at 30; the reference's "no depth limit" maps to it.
@@ -57,8 +56,8 @@ def forest(num_trees: int = 100, max_depth: int | None = None, min_rows: int = 1
 
     Fully grown trees (depth "none" -> 30) have thousands of nodes per tree;
     ``cacheNodeIds`` keeps each row's node id between levels instead of
-    re-walking the trees. ``maxMemoryInMB`` is the per-task histogram budget,
-    so it stays at Spark's default: every concurrent task allocates it.
+    re-walking the trees. ``maxMemoryInMB`` is the per-task histogram budget:
+    every concurrently running task allocates it (see :func:`task_histogram_mb`).
     """
     return RandomForestRegressor(
         featuresCol=features_col, labelCol=label, predictionCol="prediction",
@@ -74,6 +73,19 @@ def assembler(features: list[str]) -> VectorAssembler:
 
 # Training sets up to this many rows are fitted as concurrent sub-forests.
 SPLIT_FOREST_MAX_ROWS = 2_000_000
+# Partition size of such a small training set. Every partition of every tree
+# level allocates and ships a full node histogram, so a small set is read by
+# few tasks; the sub-forests, not the partitions, spread the work over cores.
+SMALL_FIT_ROWS_PER_PARTITION = 250_000
+
+
+def small_fit_input(df: DataFrame, max_rows: int = SPLIT_FOREST_MAX_ROWS) -> DataFrame | None:
+    """``df`` in ``ceil(rows / SMALL_FIT_ROWS_PER_PARTITION)`` partitions when it
+    has at most ``max_rows`` rows (a bounded count), else ``None``."""
+    n = df.limit(max_rows + 1).count()
+    if n > max_rows:
+        return None
+    return df.coalesce(max(1, -(-n // SMALL_FIT_ROWS_PER_PARTITION)))
 
 
 class ForestEnsemble:
@@ -90,7 +102,11 @@ class ForestEnsemble:
         return [m.getNumTrees for m in self.forests]
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        x = assembler(self.features).transform(df)
+        return self.transform_assembled(assembler(self.features).transform(df), out) \
+            .drop("features")
+
+    def transform_assembled(self, x: DataFrame, out: str = "prediction") -> DataFrame:
+        """Scores rows that already carry the ``features`` vector."""
         cols = []
         for i, m in enumerate(self.forests):
             col = f"_fp{i}"
@@ -98,7 +114,7 @@ class ForestEnsemble:
             cols.append(col)
         total = float(sum(self.weights))
         pred = sum(F.col(c) * float(w) for c, w in zip(cols, self.weights)) / total
-        return x.withColumn(out, pred).drop("features", *cols)
+        return x.withColumn(out, pred).drop(*cols)
 
     @property
     def featureImportances(self) -> np.ndarray:
@@ -137,15 +153,16 @@ def fit_demand_forest(train: DataFrame, features: list[str], label: str = S.MAX_
     """
     spark = train.sparkSession
     num_trees = params.pop("num_trees", 100)
-    want = parallelism or min(8, spark.sparkContext.defaultParallelism)
-    k = min(num_trees, safe_parallelism(spark, want))
-    if k <= 1 or not has_at_most(train, SPLIT_FOREST_MAX_ROWS):
+    params.setdefault("max_memory_mb", task_histogram_mb(spark))
+    k = min(num_trees, fit_slots(spark, parallelism))
+    small = small_fit_input(train) if k > 1 else None
+    if small is None:
         pipe = Pipeline(stages=[assembler(features),
                                 forest(label=label, num_trees=num_trees, **params)])
         return pipe.fit(train)
-    data = assembler(features).transform(train).select("features", label) \
+    data = assembler(features).transform(small).select("features", label) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = [num_trees // k + (1 if i < num_trees % k else 0) for i in range(k)]
+    sizes = split_trees(num_trees, k)
 
     def run(i):
         return forest(label=label, num_trees=sizes[i], **params).setSeed(SEED + i).fit(data)
@@ -164,13 +181,34 @@ def _memory_gb(text: str) -> float:
     return float(t[:-1]) * units[t[-1]] if t and t[-1] in units else float(t) / 2 ** 30
 
 
-def safe_parallelism(spark, requested: int) -> int:
-    """Concurrent fits allowed: in local mode every fit's histogram tasks share
-    the driver heap, so allow about one fit per 2 GB of it."""
-    if not spark.sparkContext.master.startswith("local"):
-        return requested
-    heap = _memory_gb(spark.sparkContext.getConf().get("spark.driver.memory", "1g"))
-    return max(1, min(requested, int(heap // 2)))
+def fit_slots(spark, requested: int | None = None) -> int:
+    """Concurrent fits: one per task slot (at most 8 unless asked for more).
+
+    Memory is bounded per task by :func:`task_histogram_mb`, not by limiting
+    the number of fits."""
+    slots = max(1, spark.sparkContext.defaultParallelism)
+    return max(1, requested or min(8, slots))
+
+
+def task_histogram_mb(spark) -> int:
+    """``maxMemoryInMB`` for forest fits: the histogram budget of one task.
+
+    On a cluster each executor task gets Spark's default of 256 MB. In local
+    mode every task slot shares the driver heap, so a quarter of the heap is
+    split over the slots (between 16 and 256 MB each); a 1 GB driver then
+    still runs a fit per core.
+    """
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return 256
+    heap_mb = _memory_gb(sc.getConf().get("spark.driver.memory", "1g")) * 1024
+    return int(max(16, min(256, heap_mb * 0.25 / max(1, sc.defaultParallelism))))
+
+
+def split_trees(num_trees: int, k: int) -> list[int]:
+    """Tree counts of ``k`` sub-forests that together hold ``num_trees`` trees."""
+    k = max(1, min(k, num_trees))
+    return [num_trees // k + (1 if i < num_trees % k else 0) for i in range(k)]
 
 
 def sample_grid(n_draws: int = 6, seed: int = SEED) -> list[dict]:
@@ -216,41 +254,57 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
     Folds come from :func:`loadcast.operators.split.expanding_folds` (train
     on everything before each test block, per series), not from
     ``CrossValidator`` which would train on future folds. The fold table is
-    assembled once and persisted; the ``n_draws * n_splits`` fits run from a
-    thread pool so Spark schedules them side by side; the lowest mean MAE
-    wins and is refit on all training rows (``refit=False`` returns only the
-    search result).
+    assembled once and persisted. A small fold table (a daily panel) sits in
+    few partitions, so one forest fit runs each tree level as a single task;
+    every (candidate, fold) forest is therefore split into seed-distinct
+    sub-forests (as in :func:`fit_demand_forest`), and all sub-fits run from
+    one thread pool, largest first, so Spark keeps every core busy. A
+    candidate's fold MAE is scored on the tree-weighted mean of its
+    sub-forests; the lowest mean MAE wins and is refit on all training rows
+    (``refit=False`` returns only the search result).
     """
     keys = keys or [S.SERIES]
+    spark = train.sparkSession
     folds = sp.expanding_folds(train, n_splits=n_splits, keys=keys)
-    folded = (assembler(features).transform(folds)
-              .select("fold", "role", "features", label)
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    folded = assembler(features).transform(folds).select("fold", "role", "features", label)
+    small = small_fit_input(folded)
+    folded = (folded if small is None else small).persist(StorageLevel.MEMORY_AND_DISK)
     draws = sample_grid(n_draws)
-
-    def run(args):
-        i, params, fold = args
-        tr = folded.where((F.col("fold") == fold) & (F.col("role") == sp.TRAIN))
-        te = folded.where((F.col("fold") == fold) & (F.col("role") == sp.TEST))
-        model = forest(label=label, num_trees=params["numTrees"],
-                       max_depth=params["maxDepth"],
-                       min_rows=params["minInstancesPerNode"]).fit(tr)
-        return i, fold, _mae(model.transform(te), label)
-
-    jobs = [(i, p, f) for i, p in enumerate(draws) for f in range(n_splits)]
+    slots = fit_slots(spark, parallelism)
+    mem = task_histogram_mb(spark)
+    k = 1 if small is None else slots
+
+    def rows(fold: int, role: str) -> DataFrame:
+        return folded.where((F.col("fold") == fold) & (F.col("role") == role))
+
+    def fit(job):
+        i, fold, sub, n_trees = job
+        p = draws[i]
+        model = forest(label=label, num_trees=n_trees, max_depth=p["maxDepth"],
+                       min_rows=p["minInstancesPerNode"], max_memory_mb=mem) \
+            .setSeed(SEED + sub).fit(rows(fold, sp.TRAIN))
+        return (i, fold), model
+
+    def score(item):
+        (i, fold), models = item
+        ens = ForestEnsemble(features, models, label)
+        return i, _mae(ens.transform_assembled(rows(fold, sp.TEST)), label)
+
+    jobs = [(i, f, sub, n) for i, p in enumerate(draws) for f in range(n_splits)
+            for sub, n in enumerate(split_trees(p["numTrees"], k))]
+    # Largest first (trees x depth), so the pool ends with short fits.
+    jobs.sort(key=lambda j: -j[3] * (draws[j[0]]["maxDepth"] or UNLIMITED_DEPTH))
     try:
-        spark = train.sparkSession
-        # Four concurrent fits measured fastest locally; more contend for the
-        # driver, which merges every fit's node histograms.
-        want = parallelism or min(4, spark.sparkContext.defaultParallelism)
-        workers = safe_parallelism(spark, max(1, want))
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            results = list(pool.map(run, jobs))
+        with ThreadPoolExecutor(max_workers=slots) as pool:
+            fitted: dict = {}
+            for key, model in pool.map(fit, jobs):
+                fitted.setdefault(key, []).append(model)
+            results = list(pool.map(score, sorted(fitted.items())))
     finally:
         folded.unpersist()
     trials = []
     for i, p in enumerate(draws):
-        maes = [m for j, _, m in results if j == i]
+        maes = [m for j, m in results if j == i]
         trials.append({**p, "mean_mae": float(np.mean(maes)), "draw": i})
     best = min(trials, key=lambda t: (t["mean_mae"], t["draw"]))
     params = {k: best[k] for k in FOREST_GRID}
