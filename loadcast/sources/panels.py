@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcast import schema as S
+from loadcast.operators.joins import broadcast_if_small
 
 MONEY = "decimal(15,2)"
+# Largest nation table that is broadcast (rows, proven by a bounded count).
+NATION_BROADCAST_ROWS = 100_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +52,13 @@ def orders_region_panel(orders: DataFrame, customer: DataFrame,
                         nation: DataFrame) -> DataFrame:
     """Sparse panel: one series per region; days without orders are missing.
 
-    nation is a 25-row dimension; customer is joined on its key (Spark and
-    AQE decide broadcast vs shuffle from the runtime size).
+    nation is a small dimension (25 rows in the test tables): broadcast after
+    a bounded row count proves it small, otherwise joined by shuffle. customer
+    is joined on its key (Spark and AQE decide broadcast vs shuffle from the
+    runtime size).
     """
     cust = customer.select("c_custkey", "c_nationkey")
-    nat = F.broadcast(nation.select("n_nationkey", "n_regionkey"))
+    nat = broadcast_if_small(nation.select("n_nationkey", "n_regionkey"), NATION_BROADCAST_ROWS)
     return (
         orders.select("o_custkey", "o_orderdate", "o_totalprice")
         .join(cust, F.col("o_custkey") == F.col("c_custkey"))
