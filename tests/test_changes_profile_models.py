@@ -197,3 +197,27 @@ def test_forest_search_candidates():
     assert len(draws) == 6 and len({tuple(sorted(d.items(), key=str)) for d in draws}) == 6
     assert draws[0] == {"numTrees": 300, "maxDepth": 16, "minInstancesPerNode": 4}
     assert all(d["numTrees"] in (100, 200, 300) for d in draws)
+
+
+def test_sub_forest_sizes_and_fit_input(spark):
+    assert md.split_trees(100, 8) == [13, 13, 13, 13, 12, 12, 12, 12]
+    assert md.split_trees(3, 8) == [1, 1, 1]
+    assert sum(md.split_trees(300, 7)) == 300
+    df = spark.range(1000).repartition(6)
+    small = md.small_fit_input(df)
+    assert small is not None and small.rdd.getNumPartitions() == 1 and small.count() == 1000
+    assert md.small_fit_input(df, max_rows=999) is None
+    assert 16 <= md.task_histogram_mb(spark) <= 256
+
+
+def test_tune_forest_scores_every_draw_on_time_folds(spark):
+    rnd = np.random.default_rng(3)
+    start = dt.date(2024, 1, 1)
+    data = [("s", start + dt.timedelta(days=i), float(a), float(3 * a + rnd.normal()))
+            for i, a in enumerate(rnd.uniform(0, 10, 120))]
+    df = spark.createDataFrame(data, "series_id string, date date, a double, max_demand double")
+    res = md.tune_forest(df, ["a"], n_draws=2, parallelism=4, refit=False)
+    assert [t["draw"] for t in res.trials] == [0, 1]
+    assert all(np.isfinite(t["mean_mae"]) and t["mean_mae"] < 5 for t in res.trials)
+    best = min(res.trials, key=lambda t: (t["mean_mae"], t["draw"]))
+    assert res.best_params == {k: best[k] for k in md.FOREST_GRID}
