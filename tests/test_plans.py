@@ -46,3 +46,13 @@ def test_asof_and_last_week_need_no_join(spark):
         text = plan_text(df)
         assert "Join" not in text.split("\n\n")[0]
         assert nodes(text, "Window") >= 1
+
+
+def test_region_panel_broadcasts_checked_nation_and_prunes_scans(spark):
+    text = plan_text(panels.region_panel(spark, SF))
+    assert "BroadcastExchange" in text
+    schemas = [set(re.findall(r"(\w+):", s))
+               for s in re.findall(r"ReadSchema: (struct<[^>]*>)", text)]
+    assert {"n_nationkey", "n_regionkey"} in schemas
+    assert {"c_custkey", "c_nationkey"} in schemas
+    assert {"o_custkey", "o_orderdate", "o_totalprice"} in schemas
