@@ -4,15 +4,28 @@ from __future__ import annotations
 
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadcast.llm import byte_bpe, packing, simhash
+from loadcast.llm import byte_bpe, language, line_dedup, packing, quality, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(modulus: int):
+    """crc32 of the id as text; a null id has remainder null."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op4_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learnable = remainder(5) != 0
+    model = quality.train(docs.where(learnable), labels.where(learnable))
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -21,13 +34,33 @@ def op6_simhash(spark, sf_dir):
     return simhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                      public_tokenizers.PATTERN, digests=True)
 
 
+def op9_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(remainder(4) != 2))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous", "runner_up")
+
+
 QUERIES = {
+    "op4_quality": (op4_quality, None),
     "op5_packing": (op5_packing, None),
     "op6_simhash": (op6_simhash, None),
+    "op7_line_dedup": (op7_line_dedup, line_dedup.LINE_DEDUP_SQL),
     "op8_byte_bpe": (op8_byte_bpe, None),
+    "op9_url_filter": (op9_url_filter, url_filter.URL_SQL),
+    "op10_language": (op10_language, None),
 }
