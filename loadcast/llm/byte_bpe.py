@@ -20,15 +20,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from loadcast.llm.text import SPACE, ChunkTable, encode_texts, ragged_take
+from loadcast.llm.text import SPACE, ChunkTable, blank_separated, groups, ragged_take, sections
 from loadcast.llm.workers import map_arrow
 
 #: A run without white space, with a blank before it; or white space up to the next such run.
 CHUNKS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
+#: Texts in which white space is not just single characters between words.
+UNEVEN = re.compile(rf"[{SPACE}][{SPACE}]|\A[{SPACE}]|[{SPACE}]\Z")
+
 NONE = np.int32(2**31 - 1)
 
 
@@ -55,7 +59,7 @@ class Vocabulary:
         self.token_lengths = np.array([len(b) for b in by_id], np.int64)
         self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
         self.token_bytes = np.frombuffer(b"".join(by_id), np.uint8)
-        self.table = ChunkTable(self.encode_chunks, limit=400_000)
+        self.table = ChunkTable(self.encode_chunks)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -154,8 +158,35 @@ class Vocabulary:
         edges = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.diff(upto[edges])
 
-    def encode(self, texts):
-        return encode_texts(texts, CHUNKS.findall, self.table)
+    def encode(self, texts: pa.Array):
+        """Yield the ids of each text.
+
+        Where white space is single characters, a blank belongs to the word
+        after it and a line end stands alone: the parts between blanks are
+        looked up with or without a blank. Other texts are cut by CHUNKS.
+        """
+        for group in groups(texts):
+            plain = group.to_pylist()
+            uneven = {k: t for k, t in enumerate(plain) if UNEVEN.search(t)}
+            parts, index, starts = blank_separated(pc.replace_substring(group, "\n", " \n "))
+            ends_line = np.fromiter((p == "\n" for p in parts), bool, len(parts))[index]
+            alone = ends_line.copy()
+            alone[1:] |= ends_line[:-1]
+            alone[starts[:-1]] = True
+            used = np.unique(index[alone])
+            chunks = [" " + p for p in parts] + [parts[k] for k in used]
+            cut = {k: [c for piece in sections(t) for c in CHUNKS.findall(piece)] for k, t in uneven.items()}
+            more = list(set().union(*cut.values()).difference(chunks)) if cut else []
+            rows = self.table.rows(chunks + more)
+            index[alone] = len(parts) + np.searchsorted(used, index[alone])
+            ids, lengths = self.table.take(rows[index])
+            ends = np.concatenate([[0], np.cumsum(lengths)])[starts]
+            for k in range(len(plain)):
+                if k in cut:
+                    own = np.fromiter(map(self.table.__getitem__, cut[k]), np.int64, len(cut[k]))
+                    yield self.table.take(own)[0]
+                else:
+                    yield ids[ends[k] : ends[k + 1]]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return ragged_take(self.token_bytes, self.token_starts, self.token_lengths, ids.astype(np.int64))[0].tobytes()
@@ -186,7 +217,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         vocab = vocabulary(ranks_path, pattern)
         for batch in batches:
             a, b, c, done = [], [], [], 0
-            for ids in vocab.encode(batch.column(1).to_pylist()):
+            for ids in vocab.encode(batch.column(1)):
                 ids = ids.astype("<u4")
                 back = vocab.decode(ids)
                 if digests:

@@ -20,18 +20,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
-from loadcast.llm.text import ChunkTable, encode_texts
+from loadcast.llm.text import ChunkTable, blank_separated, groups
 from loadcast.llm.workers import map_arrow
 
-def chunks(text: str) -> list[str]:
-    """Blanks and line ends are white space to the tokenizer, which encodes what lies between apart."""
-    return text.replace("\n", " ").split(" ")
-
-
 #: A control character that no chunk holds parts the chunks of one call.
 PART = "\x02"
 
@@ -63,7 +59,21 @@ def word_table(path: str) -> ChunkTable:
             flat.append(ids[ids != part_id])
         return np.concatenate(flat), lengths
 
-    return ChunkTable(encode, limit=400_000)
+    return ChunkTable(encode)
+
+
+def tokenise(texts: pa.Array, table: ChunkTable):
+    """Yield the ids of each text.
+
+    Blanks and line ends are white space to the tokenizer, which encodes what
+    lies between apart and folds case itself, so parts are looked up with
+    ASCII letters in lower case.
+    """
+    for group in groups(texts):
+        parts, index, starts = blank_separated(pc.ascii_lower(pc.replace_substring(group, "\n", " ")))
+        ids, lengths = table.take(table.rows(parts)[index])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[starts]
+        yield from (ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
 
 def sequence_sizes(total: int, longest: int) -> list[int]:
@@ -132,7 +142,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 4096, end_id: int
         keys, ids, held = [], [], 0
         for batch in batches:
             own = batch.column(0).to_pylist()
-            for key, found in zip(own, encode_texts(batch.column(1).to_pylist(), chunks, table), strict=True):
+            for key, found in zip(own, tokenise(batch.column(1), table), strict=True):
                 keys.append(key)
                 ids.append(np.append(found, np.uint32(end_id)).astype("<u4"))
                 held += len(ids[-1])

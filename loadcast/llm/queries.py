@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadcast.llm import byte_bpe, language, line_dedup, multi_index, packing, quality, simhash, url_filter
+from loadcast.llm import byte_bpe, language, line_dedup, minhash, multi_index, packing, quality, simhash, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,18 @@ def remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def op1_dart_minhash(spark, sf_dir):
+    return minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_multi_index(spark, sf_dir):
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op3_run_length(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learnable = remainder(5) != 0
@@ -60,7 +68,9 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_dart_minhash": (op1_dart_minhash, None),
     "op2_multi_index": (op2_multi_index, None),
+    "op3_run_length": (op3_run_length, None),
     "op4_quality": (op4_quality, None),
     "op5_packing": (op5_packing, None),
     "op6_simhash": (op6_simhash, None),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Code points that count as white space for the vocabulary patterns (fixed values).
@@ -92,12 +94,12 @@ class ChunkTable(dict):
     """Token ids of text chunks: a dictionary into one ragged array of bounded size.
 
     ``encode`` maps a list of new chunks to (flat ids, lengths). The table
-    starts anew once it holds ``limit`` chunks or ``room`` ids.
+    starts anew once it holds ``limit`` chunks.
     """
 
-    def __init__(self, encode, limit: int = 500_000, room: int = 8_000_000):
+    def __init__(self, encode, limit: int = 700_000):
         super().__init__()
-        self.encode, self.limit, self.room = encode, limit, room
+        self.encode, self.limit = encode, limit
         self.reset()
 
     def reset(self):
@@ -106,66 +108,48 @@ class ChunkTable(dict):
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
 
-    def learn(self, new: set):
-        """Add all chunks of ``new`` that are missing."""
-        if len(self) > self.limit or len(self.flat) > self.room:
+    def rows(self, chunks: list[str]) -> np.ndarray:
+        """The rows of different chunks; new ones are encoded."""
+        if len(self) > self.limit:
             self.reset()
-        new = list(new.difference(self))
-        if not new:
-            return
-        flat, lengths = self.encode(new)
-        base = len(self)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
-        self.update(zip(new, range(base, base + len(new)), strict=True))
-
-    def ids(self, chunks: list) -> np.ndarray:
-        picks = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        return ragged_take(self.flat, self.starts, self.lengths, picks)[0]
-
-
-#: Characters of text whose new chunks are encoded together.
-GROUP_CHARS = 8 << 20
-
-
-def encode_texts(texts, split, table: ChunkTable):
-    """Yield the ids of each text, in order.
-
-    ``split`` cuts a section into chunks that are encoded independently. The
-    new chunks of many sections are learned at once, and a table is never
-    cleared between learning a group and reading it.
-    """
-    def flush(group):
-        new = set().union(*(chunks for chunks, _ in group))
-        table.learn(new)
-        table.learn(new)  # learns again what a cleared table had known
-        parts = []
-        for chunks, last in group:
-            parts.append(table.ids(chunks))
-            if last:
-                yield parts[0] if len(parts) == 1 else np.concatenate(parts)
-                parts.clear()
-        if parts:  # the text goes on in the next group
-            held.append(np.concatenate(parts))
-
-    held: list[np.ndarray] = []
-    group, size = [], 0
-    for text in texts:
-        pieces = list(sections(text or "")) or [""]
-        for k, piece in enumerate(pieces):
-            group.append((split(piece), k == len(pieces) - 1))
-            size += len(piece)
-            if size >= GROUP_CHARS:
-                yield from joined(flush(group), held)
-                group, size = [], 0
-    yield from joined(flush(group), held)
-
-
-def joined(found, held: list):
-    """Put what earlier groups hold of a text in front of its end."""
-    for ids in found:
-        if held:
-            ids = np.concatenate([*held, ids])
-            held.clear()
-        yield ids
+        found = list(map(self.get, chunks))
+        new = [c for c, row in zip(chunks, found, strict=True) if row is None]
+        if new:
+            flat, lengths = self.encode(new)
+            base = len(self)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+            self.update(zip(new, range(base, base + len(new)), strict=True))
+            found = list(map(self.__getitem__, chunks))
+        return np.array(found, np.int64)
+
+    def take(self, rows: np.ndarray):
+        """The ids of the rows, flat, and their numbers."""
+        return ragged_take(self.flat, self.starts, self.lengths, rows)
+
+
+#: Bytes of text whose chunks are looked up together.
+GROUP_BYTES = 8 << 20
+
+
+def groups(texts: pa.Array):
+    """Slices of a text column of about GROUP_BYTES, null texts as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = pc.binary_length(texts).to_numpy()
+    at, held = 0, 0
+    for k, size in enumerate(sizes):
+        held += int(size)
+        if held >= GROUP_BYTES:
+            yield texts[at : k + 1]
+            at, held = k + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
+def blank_separated(texts: pa.Array):
+    """The texts' parts between blanks: (different parts, index of each part, first part of each text and the end)."""
+    parts = pc.split_pattern(texts, " ")
+    coded = parts.flatten().dictionary_encode()
+    starts = parts.offsets.to_numpy().astype(np.int64)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), starts - starts[0]
