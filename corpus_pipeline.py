@@ -1,24 +1,59 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadcast.llm import packing
+from loadcast.llm import language, line_dedup, minhash, packing, suffix_dedup
 from loadcast.session import scratch_path
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose two best languages decode alike, go."""
+    judged = language.identify(docs, language.train(docs))
+    known = (F.col("lang_pred") != language.UNDETERMINED) & ~F.col("ambiguous")
+    return judged.where(known).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose later occurrences of three-line windows; documents that lose all their text go."""
+    cut = line_dedup.dedup_lines(docs)
+    left = (F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "\\s", " ")) != "")
+    return cut.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays, the one of the smallest id."""
+    return minhash.keep_one(docs)
+
+
+def dedup_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose strings of 50 bytes that an earlier document holds; documents that lose all go."""
+    named = docs.where("doc_id is not null")
+    cut = suffix_dedup.remove_repeats(named).where("n_removed = 0 or n_removed < n_bytes")
+    rest = named.select("doc_id", *(F.col(c) for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
+    cut = cut.select("doc_id", F.col("kept_text").alias("text"), F.length("kept_text").cast("long").alias("n_chars"))
+    return rest.join(cut, "doc_id").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences of 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("language", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("string_dedup", dedup_strings),
     ("packing", pack_sequences),
 ]
 
-#: The stages that classify, fingerprint and tokenise have no SQL form.
+#: The stages that classify, compare signatures and tokenise have no SQL form.
 ORACLE_SQL = None
 
 

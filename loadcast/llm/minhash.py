@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from loadcast.llm.components import components, written
 from loadcast.llm.text import WordHashes, mix, shingles, uniform
@@ -134,6 +135,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return ids.join(roots, "node", "left").select(F.col("own").alias(id_col), F.coalesce("root", "node").alias("class_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with one document of each class, the one of the smallest id.
+
+    Of rows with the same id the one of the smallest text stays; rows with a null id all stay.
+    """
+    kept = near_classes(docs, id_col, text_col, **options).where(F.col("class_id") == F.col(id_col)).select(id_col).distinct()
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    rows = docs.join(kept, id_col, "left_semi").withColumn("row_of_id", F.row_number().over(first))
+    rows = rows.where("row_of_id = 1").select(*docs.columns)
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float, counted: bool) -> DataFrame:
     """Verified links (a, b) between the different texts' first documents (id, bands)."""
     banded = firsts.select("id", F.explode("bands").alias("band"))

@@ -27,7 +27,7 @@ def op2_multi_index(spark, sf_dir):
 
 
 def op3_run_length(spark, sf_dir):
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "kept_text")
 
 
 def op4_quality(spark, sf_dir):

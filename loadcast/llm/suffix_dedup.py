@@ -132,7 +132,9 @@ def match_pieces(batches, length: int = LENGTH, block: int = BLOCK):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, kept binary, n_bytes, n_removed, n_spans, kept_sha256) of every row.
+    """(id, kept binary, kept_text, n_bytes, n_removed, n_spans, kept_sha256) of every row.
+
+    ``kept_text`` are the kept bytes without characters of which a part was removed.
 
     A null text counts as empty; texts shorter than ``length`` bytes keep all.
     Strings are judged on the input. Rows with the same id do not remove from
@@ -141,14 +143,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
-    known = rows.where("id is not null").select("id", F.hash("raw").alias("th"), F.md5("raw").alias("same"))
+    # The same filter in front of the shuffle by id everywhere, so that all steps share that exchange.
+    fit = F.col("id").isNotNull() & (F.length("raw") >= length)
+    able = rows.where(fit)
+    known = able.select("id", F.hash("raw").alias("th"), F.md5("raw").alias("same"))
     firsts = known.groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = (known.join(firsts, "same").where(F.col("id") > F.col("first"))
               .groupBy("id").agg(F.collect_set("th").alias("copies")))
-    base = (rows.join(copies, "id", "left")
+    base = (able.join(copies, "id", "left")
             .select("id", "raw", F.hash("raw").alias("th"),
                     F.coalesce(F.array_contains("copies", F.hash("raw")), F.lit(False)).alias("copy")))
-    single = base.where(~F.col("copy") & F.col("id").isNotNull() & (F.length("raw") >= length))
+    single = base.where(~F.col("copy"))
 
     def anchor_rows(batches):
         for batch in batches:
@@ -197,7 +202,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("th", "first", "end")).alias("spans"))
 
     def cut(raw: bytes, copy: bool, spans):
-        gone = [(0, len(raw))] if copy and len(raw) >= length else merged(spans)
+        gone = [(0, len(raw))] if copy else merged(spans)
         upto, kept = 0, []
         for a, b in gone:
             kept.append(raw[upto:a])
@@ -209,15 +214,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                out = [[], [], [], [], []]
+                out = [[], [], [], [], [], []]
                 for raw, th, copy, spans in zip(*(part.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
                     kept, n = cut(raw, copy, [(s["first"], s["end"]) for s in spans or () if s["th"] == th])
-                    for column, value in zip(out, (kept, len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()), strict=True):
+                    for column, value in zip(out, (kept, kept.decode("utf-8", "ignore"), len(raw), len(raw) - len(kept), n,
+                                                        hashlib.sha256(kept).hexdigest()), strict=True):
                         column.append(value)
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))],
-                                                 ["id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                                                 ["id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     whole = base.join(spans, "id", "left").select("id", "raw", "th", "copy", "spans")
-    return map_arrow(whole, final_rows, "id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    untouched = rows.where(~fit).select("id", "raw", F.lit(0).alias("th"), F.lit(False).alias("copy"),
+                                        F.lit(None).cast("array<struct<th:int,first:int,end:int>>").alias("spans"))
+    whole = whole.unionByName(untouched)
+    return map_arrow(whole, final_rows, "id long, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
                      ).withColumnRenamed("id", id_col)
