@@ -97,9 +97,9 @@ GROUP BY 1
 
 
 def a8_group_consecutive(spark, sf):
-    """Changed-key ranges; a small bucket size makes runs cross bucket edges."""
+    """Changed-key ranges."""
     upd = _diff(spark, sf).where(F.col("kind") == ch.UPDATE).select(*KEY)
-    return ch.group_consecutive(upd, "o_orderkey", bucket_size=64)
+    return ch.group_consecutive(upd, "o_orderkey")
 
 
 A8_SQL = EDIT_SQL + """
@@ -111,9 +111,13 @@ GROUP BY g
 
 
 def a9_upsert(spark, sf):
-    """Upserting the change set into the base reproduces the edited table."""
-    d = _diff(spark, sf)
-    changes = d.select(*KEY, "kind", *COMPARE)
+    """Merging the edits into the base reproduces the edited table."""
+    return ch.merge(base_orders(spark, sf), edited_orders(spark, sf), KEY, COMPARE)
+
+
+def a9_upsert_changes(spark, sf):
+    """The same through a change set: one full outer join of base and changes."""
+    changes = _diff(spark, sf).select(*KEY, "kind", *COMPARE)
     return ch.upsert(base_orders(spark, sf), changes, KEY)
 
 
@@ -149,6 +153,12 @@ def raw_sheet(spark, sf):
            .otherwise(s))
     fmt = (F.when(dom == 13, F.concat(F.year(S.DATE).cast("string"), F.lit("-13-01")))
            .when(dom == 27, F.lit(None).cast("string"))
+           .when(dom == 7, F.date_format(S.DATE, "yyyy-MM-dd HH:mm:ss"))
+           .when(dom == 9, F.date_format(S.DATE, "yyyy-M-d"))
+           .when(dom == 11, F.date_format(S.DATE, "yyyy-MM-dd'T'00:00:00.000"))
+           .when(dom == 19, F.date_format(S.DATE, "yyyy-MM-dd 23:59:59.123456"))
+           .when(dom == 20, F.date_format(S.DATE, "yyyy-MM-dd'T'00:00:00'Z'"))
+           .when(dom == 21, F.date_format(S.DATE, "yyyy-MM-dd 12:30"))
            .when(dom % 5 == 0, F.date_format(S.DATE, "yyyy/MM/dd"))
            .when(dom % 5 == 1, F.date_format(S.DATE, "yyyy-MM-dd'T'00:00:00"))
            .when(dom % 5 == 2, F.date_format(S.DATE, "yyyyMMdd"))
@@ -164,6 +174,12 @@ RAW_SQL = Q.DEMAND + r""", raw AS (
   SELECT series_id, date AS true_date,
     CASE WHEN day(date) = 13 THEN CAST(year(date) AS VARCHAR) || '-13-01'
          WHEN day(date) = 27 THEN NULL
+         WHEN day(date) = 7 THEN strftime(date, '%Y-%m-%d 00:00:00')
+         WHEN day(date) = 9 THEN strftime(date, '%Y-%-m-%-d')
+         WHEN day(date) = 11 THEN strftime(date, '%Y-%m-%dT00:00:00.000')
+         WHEN day(date) = 19 THEN strftime(date, '%Y-%m-%d 23:59:59.123456')
+         WHEN day(date) = 20 THEN strftime(date, '%Y-%m-%dT00:00:00Z')
+         WHEN day(date) = 21 THEN strftime(date, '%Y-%m-%d 12:30')
          WHEN day(date) % 5 = 0 THEN strftime(date, '%Y/%m/%d')
          WHEN day(date) % 5 = 1 THEN strftime(date, '%Y-%m-%dT00:00:00')
          WHEN day(date) % 5 = 2 THEN strftime(date, '%Y%m%d')
@@ -180,9 +196,11 @@ RAW_SQL = Q.DEMAND + r""", raw AS (
 
 NUM_SQL = r"""CASE WHEN regexp_full_match({x}, '\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*')
                  THEN TRY_CAST(trim({x}) AS DOUBLE) END"""
-DATE_SQL = """CAST(COALESCE(try_strptime(trim({x}), '%Y-%m-%d'), try_strptime(trim({x}), '%Y/%m/%d'),
-                            try_strptime(trim({x}), '%Y.%m.%d'), try_strptime(trim({x}), '%Y%m%d'),
-                            try_strptime(trim({x}), '%Y-%m-%dT%H:%M:%S')) AS DATE)"""
+# A date, with an optional time of day after a blank or T, cut to the day.
+DATE_SQL = r"""CASE
+  WHEN regexp_full_match(trim({x}), '\d{{8}}') THEN TRY_CAST(try_strptime(trim({x}), '%Y%m%d') AS DATE)
+  WHEN regexp_full_match(trim({x}), '\d{{4}}([-/.])\d{{1,2}}([-/.])\d{{1,2}}([T ]\d{{1,2}}:\d{{2}}(:\d{{2}}(\.\d+)?)?(Z|[+-]\d{{2}}:?\d{{2}})?)?')
+  THEN TRY_CAST(regexp_replace(regexp_extract(trim({x}), '^[-0-9/.]+'), '[/.]', '-', 'g') AS DATE) END"""
 
 
 def a2_coerce_numeric(spark, sf):
@@ -305,6 +323,29 @@ FROM orders
 """
 
 
+def a13_round_trip(spark, sf):
+    """Typed orders written as CSV and as Parquet, read back (A1) and coerced (A2, A3)."""
+    out = None
+    for fmt in ("csv", "parquet"):
+        path = scratch_path(spark, f"orders_{fmt}")
+        if fmt == "csv":
+            io.write_csv(base_orders(spark, sf), path)
+        else:
+            base_orders(spark, sf).write.parquet(path)
+        back = io.coerce_date(io.read_table(spark, path, fmt), "o_orderdate")
+        back = io.coerce_numeric(back, ["o_totalprice"]).select(
+            F.col("o_orderkey").cast("long"), "o_orderdate", "o_totalprice", "o_orderpriority",
+            F.lit(fmt).alias("fmt"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+A13_TRIP_SQL = """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice, o_orderpriority, f.fmt AS fmt
+FROM orders, (SELECT unnest(['csv', 'parquet']) AS fmt) f
+"""
+
+
 QUERIES = {
     "a1_read_table": (a1_read_table, A1_SQL),
     "a2_coerce_numeric": (a2_coerce_numeric, A2_SQL),
@@ -315,8 +356,10 @@ QUERIES = {
     "a7_changed_columns": (a7_changed_columns, A7_SQL),
     "a8_group_consecutive": (a8_group_consecutive, A8_SQL),
     "a9_upsert": (a9_upsert, A9_SQL),
+    "a9_upsert_changes": (a9_upsert_changes, A9_SQL),
     "a10_replace_table": (a10_replace_table, RENDER_SQL),
     "a11_normalize_date_strings": (a11_normalize_date_strings, A11_SQL),
     "a12_render_cell": (a12_render_cell, RENDER_SQL),
     "a13_write_csv": (a13_write_csv, A13_SQL),
+    "a13_round_trip": (a13_round_trip, A13_TRIP_SQL),
 }

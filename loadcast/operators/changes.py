@@ -1,16 +1,19 @@
 """Change sets between an edited table and its original, and keyed upserts.
 
-The reference compares rows by position; here rows are matched by key with
-one full outer join (a sort-merge join shuffling both sides on the key, or
-none at all when both tables are bucketed on it). Primary keys are unique, so
-no key value can skew a join partition.
+The reference compares rows by position; here rows are matched by key. Both
+tables are tagged, put together and grouped by the key: one shuffle with
+map-side aggregation and no join. Grouping treats null key values as equal,
+so keys with nulls match like any other, and it counts the rows of a key, so
+a repeated key is an error instead of a silent cross product.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadcast.operators.ranking import global_positions
+
 INSERT, UPDATE, DELETE, SAME = "insert", "update", "delete", "same"
 
 
@@ -20,37 +23,43 @@ def drop_internal(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.drop(*[c for c in cols if c in df.columns])
 
 
-def _differs(col: str) -> Column:
-    return ~F.col(f"_n.{col}").eqNullSafe(F.col(f"_o.{col}"))
-
-
 def changed_rows(new: DataFrame, old: DataFrame, key: list[str],
-                 compare: list[str] | None = None) -> DataFrame:
+                 compare: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
     """Every key of either side with its change kind.
 
     Output: key columns, ``kind`` (insert / update / delete / same), the new
     values of the compared columns (old values for deletes) and ``changed``,
-    the list of compared columns whose value differs (null-safe).
+    the list of compared columns whose value differs (null-safe). ``carry``
+    names further columns of ``old`` whose values come along unchanged (null
+    for inserts). A key that one side holds twice raises an error.
     """
     compare = compare or [c for c in new.columns if c not in key and c in old.columns]
-    n = new.select(*key, *compare).alias("_n")
-    o = old.select(*key, *compare).alias("_o")
-    cond = [F.col(f"_n.{k}") == F.col(f"_o.{k}") for k in key]
-    j = n.join(o, cond, "full_outer")
-    n_present = F.col(f"_n.{key[0]}").isNotNull()
-    o_present = F.col(f"_o.{key[0]}").isNotNull()
-    diff_names = F.filter(F.array(*[F.when(_differs(c), F.lit(c)) for c in compare]),
-                          lambda x: x.isNotNull())
-    kind = (F.when(~o_present, F.lit(INSERT))
-            .when(~n_present, F.lit(DELETE))
-            .when(F.size(diff_names) > 0, F.lit(UPDATE))
-            .otherwise(F.lit(SAME)))
-    keys_out = [F.coalesce(F.col(f"_n.{k}"), F.col(f"_o.{k}")).alias(k) for k in key]
-    vals = [F.when(n_present, F.col(f"_n.{c}")).otherwise(F.col(f"_o.{c}")).alias(c)
-            for c in compare]
-    changed = F.when(n_present & o_present, diff_names).otherwise(
-        F.array().cast("array<string>"))
-    return j.select(*keys_out, kind.alias("kind"), *vals, changed.alias("changed"))
+    carry = [c for c in carry or [] if c not in key and c not in compare]
+
+    def side(df: DataFrame, mine: str, other: str) -> DataFrame:
+        cols = [F.col(c).cast(old.schema[c].dataType).alias(c) for c in compare]
+        kept = [F.col(c) if df is old else F.lit(None).cast(old.schema[c].dataType).alias(c)
+                for c in carry]
+        row = F.struct(F.lit(1).alias("here"), *cols, *kept)
+        keys = [F.col(k).cast(old.schema[k].dataType).alias(k) for k in key]
+        out = df.select(*keys, row.alias(mine))
+        return out.withColumn(other, F.lit(None).cast(out.schema[mine].dataType))
+
+    both = side(new, "_n", "_o").unionByName(side(old, "_o", "_n"))
+    j = both.groupBy(*key).agg(
+        F.first("_n", ignorenulls=True).alias("_n"), F.first("_o", ignorenulls=True).alias("_o"),
+        F.greatest(F.count("_n"), F.count("_o")).alias("_rows"))
+    twice = F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*key))))
+    n_here, o_here = F.col("_n").isNotNull(), F.col("_o").isNotNull()
+    differs = [F.when(~F.col(f"_n.{c}").eqNullSafe(F.col(f"_o.{c}")), F.lit(c)) for c in compare]
+    names = F.filter(F.array(*differs), lambda x: x.isNotNull())
+    kind = (F.when(F.col("_rows") > 1, twice.cast("string"))
+            .when(~o_here, F.lit(INSERT)).when(~n_here, F.lit(DELETE))
+            .when(F.size(names) > 0, F.lit(UPDATE)).otherwise(F.lit(SAME)))
+    vals = [F.when(n_here, F.col(f"_n.{c}")).otherwise(F.col(f"_o.{c}")).alias(c) for c in compare]
+    changed = F.when(n_here & o_here, names).otherwise(F.array().cast("array<string>"))
+    return j.select(*key, kind.alias("kind"), *vals, *[F.col(f"_o.{c}").alias(c) for c in carry],
+                    changed.alias("changed"))
 
 
 def changed_columns(changes: DataFrame) -> DataFrame:
@@ -61,44 +70,22 @@ def changed_columns(changes: DataFrame) -> DataFrame:
 
 
 def group_consecutive(df: DataFrame, n: str, keys: list[str] | None = None,
-                      bucket_size: int = 1 << 20) -> DataFrame:
+                      num_partitions: int | None = None) -> DataFrame:
     """Consecutive integer values of ``n`` grouped into ranges (gaps and islands).
 
     Output ``(*keys, range_start, range_end, n_rows)``. Values must be unique
-    per group. Two levels keep every task bounded, however hot a group is:
-
-    1. within (group, n div bucket_size) the island id is ``n - row_number``;
-       each such partition holds at most ``bucket_size`` rows;
-    2. fragments that end on a bucket's last value and the fragments that
-       continue them at the next bucket's first value are chained with a
-       running max over those boundary fragments only (at most two per
-       bucket, so bounded by the key span, not by the row count).
+    per group. Within a group, ``n`` minus its position is the same for all
+    values of a range and different between ranges. Positions are those of one
+    distributed sort of all rows (:func:`ranking.global_positions`): a group's
+    first position only shifts them, so no task holds a whole group, however
+    hot it is, and nothing is chained.
     """
     keys = keys or []
-    b = F.floor(F.col(n) / F.lit(bucket_size))
-    w1 = Window.partitionBy(*keys, "_b").orderBy(n)
-    lvl1 = (df.select(*keys, F.col(n).cast("long").alias(n))
-            .withColumn("_b", b)
-            .withColumn("_g", F.col(n) - F.row_number().over(w1)))
-    frags = lvl1.groupBy(*keys, "_b", "_g").agg(
+    vals = df.select(*keys, F.col(n).cast("long").alias(n))
+    pos = global_positions(vals, [*keys, n], num_partitions)
+    return (pos.groupBy(*keys, (F.col(n) - F.col("_gpos")).alias("_island")).agg(
         F.min(n).alias("range_start"), F.max(n).alias("range_end"),
-        F.count(F.lit(1)).alias("n_rows"))
-    at_end = F.pmod(F.col("range_end"), F.lit(bucket_size)) == bucket_size - 1
-    at_start = F.pmod(F.col("range_start"), F.lit(bucket_size)) == 0
-    enders = frags.where(at_end).select(*keys, (F.col("range_end") + 1).alias("range_start"),
-                                        F.lit(True).alias("_cont"))
-    marked = frags.join(enders, keys + ["range_start"], "left").withColumn(
-        "_cont", F.coalesce("_cont", F.lit(False)) & at_start)
-    boundary = marked.where(F.col("_cont") | at_end)
-    inner = marked.where(~(F.col("_cont") | at_end))
-    wchain = ((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-              .orderBy("range_start").rowsBetween(Window.unboundedPreceding, 0))
-    chained = boundary.withColumn(
-        "_island", F.max(F.when(~F.col("_cont"), F.col("range_start"))).over(wchain))
-    allf = inner.withColumn("_island", F.col("range_start")).unionByName(chained)
-    return allf.groupBy(*keys, "_island").agg(
-        F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end"),
-        F.sum("n_rows").alias("n_rows")).drop("_island")
+        F.count(F.lit(1)).alias("n_rows")).drop("_island"))
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
@@ -107,13 +94,31 @@ def upsert(base: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     ``changes`` is the output of :func:`changed_rows` (or any frame with the
     key, ``kind`` and the base columns). Rows of kind ``same`` are left as in
     the base; deletes remove the key. Idempotent: applying the same change set
-    twice gives the same table.
+    twice gives the same table. One full outer join, with null-safe keys.
     """
     cols = base.columns
-    touched = changes.where(F.col("kind").isin(INSERT, UPDATE, DELETE)).select(*key)
-    kept = base.join(touched, key, "left_anti")
-    new_rows = changes.where(F.col("kind").isin(INSERT, UPDATE)).select(*cols)
-    return kept.unionByName(new_rows)
+    c = changes.where(F.col("kind") != SAME).select(*[F.col(x).alias(f"_c_{x}") for x in cols],
+                                                    F.col("kind").alias("_kind"))
+    same = None
+    for k in key:
+        x = F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+        same = x if same is None else same & x
+    j = base.join(c, same, "full_outer").where(
+        F.col("_kind").isNull() | (F.col("_kind") != DELETE))
+    return j.select(*[F.when(F.col("_kind").isNull(), F.col(x)).otherwise(F.col(f"_c_{x}"))
+                      .alias(x) for x in cols])
+
+
+def merge(base: DataFrame, edited: DataFrame, key: list[str],
+          compare: list[str] | None = None) -> DataFrame:
+    """A6 + A9 in one pass: the base with the edits applied, from one grouping by key.
+
+    Every key of the edited table is kept with its values, keys that are gone
+    from it are removed, and base columns that the edited table lacks stay.
+    """
+    compare = compare or [c for c in base.columns if c in edited.columns and c not in key]
+    d = changed_rows(edited, base, key, compare, carry=base.columns)
+    return d.where(F.col("kind") != DELETE).select(*base.columns)
 
 
 def write_upsert(base_path: str, changes: DataFrame, key: list[str], out_path: str,

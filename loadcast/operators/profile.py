@@ -2,20 +2,21 @@
 
 ``describe`` needs exact quartiles. Spark's ``percentile`` aggregate merges
 every distinct value of a column into one task, which does not survive a
-column of billions of values, so quartiles here come from a distributed
-rank: values are range-partitioned and sorted by (column_name, value), each row's
-global rank is its partition's offset plus its position, and only the rows at
-the wanted ranks (at most 2 per column and quantile) are joined back.
+column of billions of values. Here equal values are counted first (with
+map-side aggregation, so a value that half of the rows share costs one row
+per task), and a distributed running total of these counts by (column_name,
+value) tells which value holds each wanted rank (at most 2 per column and
+quantile).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadcast import schema as S
-from loadcast.operators.ranking import global_positions
+from loadcast.operators.ranking import running_totals
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -48,27 +49,27 @@ def exact_quantiles(long: DataFrame, probs: list[float],
                     num_partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``column``.
 
-    Returns ``(column_name, q, value)``. Nulls and NaN are ignored. Work is a range
-    shuffle + sort of the values; no group is gathered in one task.
+    Returns ``(column_name, q, value)``. Nulls and NaN are ignored.
     """
     vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    ranked = global_positions(vals, ["column_name", "value"], num_partitions,
-                              out="_rank")
+    counted = vals.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"))
+    upto = running_totals(counted, ["column_name", "value"], "_c", num_partitions, out="_upto")
     # One row per column: bounded by the column count.
-    counts = vals.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(
-        Window.orderBy("column_name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = upto.groupBy("column_name").agg(F.sum("_c").alias("_n"), F.max("_upto").alias("_end"))
     qs = F.array(*[F.lit(float(p)) for p in probs])
     need = (counts.withColumn("q", F.explode(qs))
             .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
             .withColumn("_lo", F.floor("_pos"))
             .withColumn("_hi", F.ceil("_pos"))
             .withColumn("_frac", F.col("_pos") - F.col("_lo")))
+    start = F.col("_end") - F.col("_n")
     picks = need.select("column_name", "q", "_frac", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), (F.col("_start") + F.col("_lo")).alias("_rank")),
-        F.struct(F.lit(1).alias("side"), (F.col("_start") + F.col("_hi")).alias("_rank")),
+        F.struct(F.lit(0).alias("side"), (start + F.col("_lo")).alias("_rank")),
+        F.struct(F.lit(1).alias("side"), (start + F.col("_hi")).alias("_rank")),
     )).alias("_s")).select("column_name", "q", "_frac", "_s.side", "_s._rank")
-    got = ranked.join(F.broadcast(picks), ["column_name", "_rank"])
+    # At most two rows per column and quantile.
+    got = upto.join(F.broadcast(picks), "column_name").where(
+        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
     return got.groupBy("column_name", "q").agg(
         F.max(F.when(F.col("side") == 0, F.col("value"))).alias("_a"),
         F.max(F.when(F.col("side") == 1, F.col("value"))).alias("_b"),

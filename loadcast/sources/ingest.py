@@ -10,14 +10,18 @@ from pyspark.sql import types as T
 # optional fraction (or a bare fraction), an optional exponent, optional blanks.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
-# Accepted date layouts, tried in order.
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd"]
+# A date is year, month and day (one or two digits) parted by -, / or ., with an
+# optional time of day after a blank or T and an optional zone; or eight digits.
+DATE_PATTERN = (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
+                r"([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv",
                columns: list[str] | None = None) -> DataFrame:
-    """A1: header row gives the names, every cell is read as a string.
+    """A1: header row gives the names, every cell of a text source is read as a string.
 
+    Columns of a typed source keep their types, so dates and numbers need no
+    parsing; :func:`coerce_date` and :func:`coerce_numeric` take either.
     Raises ``ValueError`` for a source with no data row (checked with a
     one-row probe, not a count).
     """
@@ -29,7 +33,6 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv",
         df = reader.csv(path)
     else:
         df = spark.read.format(fmt).load(path)
-        df = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
     if not df.columns or not df.take(1):
         raise ValueError(f"empty source: {path}")
     return df
@@ -49,11 +52,12 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def to_date_any(c: Column) -> Column:
-    """Text -> date through the fixed layouts, then ISO timestamps; else null."""
+    """Text -> date by the fixed pattern, a time of day cut off as written; else null."""
     s = F.trim(c.cast("string"))
-    tries = [F.try_to_date(s, f) for f in DATE_FORMATS]
-    tries.append(F.to_date(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss"))))
-    return F.coalesce(*tries)
+    part = [F.regexp_extract(s, DATE_PATTERN, k) for k in (1, 2, 3)]
+    dashed = F.concat_ws("-", part[0], F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0"))
+    return (F.when(s.rlike(DATE_PATTERN), F.try_to_date(dashed, "yyyy-MM-dd"))
+            .when(s.rlike(r"^\d{8}$"), F.try_to_date(s, "yyyyMMdd")))
 
 
 def coerce_date(df: DataFrame, col: str = "date") -> DataFrame:
@@ -67,6 +71,20 @@ def coerce_date(df: DataFrame, col: str = "date") -> DataFrame:
     return df.withColumn(col, to_date_any(c))
 
 
+def unique_daily(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: of repeated rows the one with the most values, ties by the values themselves.
+
+    Every window of the library takes a daily table to hold a series and date once.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    missing = sum((F.col(c).isNull().cast("int") for c in rest), F.lit(0))
+    order = F.struct(missing, *[x for c in rest for x in (F.col(c).isNull(), F.col(c))])
+    one = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    return one.select(*keys, "_row.*").select(*df.columns)
+
+
 def normalize_date_strings(df: DataFrame, cols: list[str]) -> DataFrame:
     """Listed string columns re-parsed as dates and written ``yyyy-MM-dd``.
 
