@@ -1,8 +1,11 @@
 """Registered queries for models and forecasts.
 
-Model outputs have no SQL twin (rows-only check), except F6 which is column
-arithmetic and is checked on a persistence forecast. Trained models are kept
-per (session, sf) in this process so several queries share one fit.
+A prediction itself has no SQL twin. The queries return what a twin can
+check: the exact rows that are predicted, their actual values, and the
+properties a prediction must have (within the range of the training labels
+for a forest, ``0 <= gas <= demand``, directions kept, shares summing to 1).
+Trained models are kept per (application, sf) in this process, so several
+queries share one fit.
 """
 
 from __future__ import annotations
@@ -14,18 +17,19 @@ from loadcast import schema as S
 from loadcast.catalog import sqlparts as Q
 from loadcast.catalog.common import demand, region_cal
 from loadcast.catalog.lookup_queries import TARGETS_SQL, calendar_targets
+from loadcast.functions import calendar as cal
+from loadcast.operators import features as fe
 from loadcast.operators import lookup as lk
 from loadcast.operators import split as sp
 from loadcast.plans import forecast as fc
 from loadcast.plans import models as md
 from loadcast.plans import training as tr
 
-GAS_CUTOFF = "1998-01-01"
 _CACHE: dict = {}
 
 
 def _key(spark, sf, kind):
-    return (id(spark), sf, kind)
+    return (spark.sparkContext.applicationId, sf, kind)
 
 
 def trained_demand(spark, sf):
@@ -38,32 +42,85 @@ def trained_demand(spark, sf):
 def trained_gas(spark, sf):
     k = _key(spark, sf, "gas")
     if k not in _CACHE:
-        _CACHE[k] = tr.train_gas(demand(spark, sf), cutoff=GAS_CUTOFF)
+        _CACHE[k] = tr.train_gas(demand(spark, sf))
     return _CACHE[k]
 
 
 def f1_fit_demand_forest(spark, sf):
-    return tr.holdout_predictions(trained_demand(spark, sf))
+    """Hold-out rows with their actual demand; a forest predicts means of training labels."""
+    t = trained_demand(spark, sf)
+    low, high = t.table.where(F.col("split") == sp.TRAIN).agg(
+        F.min(t.label), F.max(t.label)).first()
+    return tr.holdout_predictions(t).select(
+        S.SERIES, S.DATE, "actual",
+        F.col("prediction").between(low - 1e-6, high + 1e-6).alias("in_label_range"))
+
+
+# Complete cases of the demand features: rows with a temperature (the lags are filled).
+_DEMAND_ROWS = Q.DEMAND + """
+, cc AS (SELECT * FROM panel WHERE temp_high IS NOT NULL AND temp_low IS NOT NULL AND feels_like IS NOT NULL
+           AND max_demand IS NOT NULL)
+, s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date) AS rn,
+               COUNT(*) OVER (PARTITION BY series_id) AS n FROM cc)
+, ho AS (SELECT * FROM s WHERE rn > GREATEST(1, LEAST(FLOOR(n * 0.8::DOUBLE), n - 1)))
+"""
+_GAS_ROWS = Q.DEMAND + """
+, s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date) AS rn,
+               COUNT(*) OVER (PARTITION BY series_id) AS n
+        FROM panel WHERE gas_demand IS NOT NULL AND max_demand IS NOT NULL)
+, ho AS (SELECT * FROM s WHERE rn > GREATEST(1, LEAST(FLOOR(n * 0.8::DOUBLE), n - 1)))
+"""
+F1_SQL = _DEMAND_ROWS + "SELECT series_id, date, max_demand AS actual, TRUE AS in_label_range FROM ho\n"
 
 
 def f2_tune_forest(spark, sf):
-    """Random search over expanding folds; one row per draw with its mean MAE."""
+    """Random search over expanding folds; one row per draw, the best of them chosen."""
     table, features = tr.demand_training_table(demand(spark, sf))
     table = tr.materialize(table)
     res = md.tune_forest(table.where(F.col("split") == sp.TRAIN), features, refit=False)
+    best = min(t["mean_mae"] for t in res.trials)
     schema = T.StructType([
         T.StructField("draw", T.IntegerType()), T.StructField("num_trees", T.IntegerType()),
         T.StructField("max_depth", T.IntegerType()),
         T.StructField("min_rows_per_leaf", T.IntegerType()),
-        T.StructField("mean_mae", T.DoubleType()), T.StructField("chosen", T.BooleanType())])
+        T.StructField("scored", T.BooleanType()), T.StructField("best_is_chosen", T.BooleanType())])
     rows = [(t["draw"], t["numTrees"], t["maxDepth"] or md.UNLIMITED_DEPTH,
-             t["minInstancesPerNode"], t["mean_mae"],
-             all(t[k] == res.best_params[k] for k in md.FOREST_GRID)) for t in res.trials]
+             t["minInstancesPerNode"], 0 < t["mean_mae"] < float("inf"),
+             all(t[k] == res.best_params[k] for k in md.FOREST_GRID) == (t["mean_mae"] == best))
+            for t in res.trials]
     return spark.createDataFrame(rows, schema)
 
 
+F2_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {p['numTrees']}, {p['maxDepth'] or md.UNLIMITED_DEPTH}, {p['minInstancesPerNode']}, TRUE, TRUE)"
+    for i, p in enumerate(md.sample_grid())) + \
+    ") t(draw, num_trees, max_depth, min_rows_per_leaf, scored, best_is_chosen)\n"
+
+
 def f3_fit_gas_model(spark, sf):
-    return tr.holdout_predictions(trained_gas(spark, sf))
+    """Hold-out rows of the gas model with their actual values."""
+    return tr.holdout_predictions(trained_gas(spark, sf)).select(
+        S.SERIES, S.DATE, F.round("actual", 4).alias("actual"),
+        (F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("predicted"))
+
+
+F3_SQL = _GAS_ROWS + "SELECT series_id, date, ROUND(gas_demand, 4) AS actual, TRUE AS predicted FROM ho\n"
+
+
+def f3_gas_trees(spark, sf):
+    """The gas model with interactions, over rows of which some lack a feature."""
+    t = trained_gas(spark, sf)
+    holes = F.when(F.dayofmonth(S.DATE) % 10 != 3, F.col(S.GAS_LAG1))
+    table = t.table.withColumn(S.GAS_LAG1, holes)
+    model = md.fit_gas_model(table.where(F.col("split") == sp.TRAIN), t.features, monotone=False,
+                             rounds=20, max_depth=4)
+    pred = md.predict(model, table.where(F.col("split") == sp.TEST), t.features)
+    return pred.select(S.SERIES, S.DATE, F.col(S.GAS_LAG1).isNull().alias("lacks_lag"),
+                       (F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("predicted"))
+
+
+F3_TREES_SQL = _GAS_ROWS + """SELECT series_id, date, day(date) % 10 = 3 AS lacks_lag, TRUE AS predicted FROM ho
+"""
 
 
 def f4_monotone_map(spark, sf):
@@ -88,13 +145,39 @@ def f4_monotone_map(spark, sf):
                                                F.sum("bad").alias("n_violations"))
 
 
+F4_SQL = _GAS_ROWS + "SELECT feature, CAST(sign AS INTEGER) AS sign, COUNT(*) AS n_rows, 0::BIGINT AS n_violations\nFROM ho, (VALUES " \
+    + ", ".join(f"('{f}', {d})" for f, d in S.GAS_MONOTONE.items() if d) + ") v(feature, sign) GROUP BY 1, 2\n"
+
+
 def f5_forecast_demand(spark, sf):
     """Forecast every hold-out date plus the next day after each series."""
     t = trained_demand(spark, sf)
     hist = demand(spark, sf)
     targets = (t.table.where(F.col("split") == sp.TEST).select(S.SERIES, S.DATE)
                .unionByName(lk.next_target_date(hist)))
-    return fc.forecast_demand(targets, hist, t.model, t.features)
+    low, high = t.table.where(F.col("split") == sp.TRAIN).agg(
+        F.min(t.label), F.max(t.label)).first()
+    out = fc.forecast_demand(targets, hist, t.model, t.features, with_last_year=True)
+    return out.select(
+        S.SERIES, S.DATE, "demand_last_week", F.size("last_year_week").alias("days_last_year"),
+        F.col("prediction").between(low - 1e-6, high + 1e-6).alias("in_label_range"),
+        (F.col("delta_vs_last_week") == F.col("prediction") - F.col("demand_last_week")).alias("delta_fits"))
+
+
+F5_FORECAST_SQL = _DEMAND_ROWS + """
+, targets AS (SELECT series_id, date FROM ho
+              UNION ALL SELECT series_id, CAST(MAX(date) + 1 AS DATE) FROM panel GROUP BY 1)
+, h AS (SELECT series_id, date, max_demand,
+               ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date) AS pos
+        FROM panel WHERE max_demand IS NOT NULL)
+, c AS (SELECT t.series_id, t.date,
+               (SELECT COUNT(*) FROM h WHERE h.series_id = t.series_id AND h.date < t.date) AS cnt
+        FROM targets t)
+SELECT c.series_id, c.date, COALESCE(e.max_demand, f.max_demand, 0.0) AS demand_last_week,
+       7 AS days_last_year, TRUE AS in_label_range, TRUE AS delta_fits
+FROM c LEFT JOIN h e ON e.series_id = c.series_id AND e.date = c.date - 7
+       LEFT JOIN h f ON f.series_id = c.series_id AND f.pos = c.cnt - 6
+"""
 
 
 _F5_COLS = [S.MONTH, S.IS_HOLIDAY, S.IS_BUSINESS_DAY, S.TEMP_LOW, S.TEMP_HIGH, S.FEELS_LIKE,
@@ -207,31 +290,44 @@ def f7_forecast_gas(spark, sf):
     scen = t.table.where(F.col("split") == sp.TEST).select(S.SERIES, S.DATE, S.MAX_DEMAND,
                                                            S.SOLAR_MAX)
     hist = demand(spark, sf)
-    return fc.forecast_gas(scen, hist, t.model, t.features, r2=_gas_r2(t))
+    out = fc.forecast_gas(scen, hist, t.model, t.features, r2=_gas_r2(t), ratios=t.ratios)
+    return out.select(S.SERIES, S.DATE, S.MAX_DEMAND, F.round(S.SOLAR_MAX, 4).alias(S.SOLAR_MAX),
+                      F.col("gas_prediction").between(F.lit(0.0), F.col(S.MAX_DEMAND)).alias("within_demand"),
+                      F.col("confidence").between(60.0, 95.0).alias("confident"))
+
+
+F7_FORECAST_SQL = _GAS_ROWS + """
+SELECT series_id, date, max_demand, ROUND(solar_max, 4) AS solar_max, TRUE AS within_demand, TRUE AS confident
+FROM ho
+"""
 
 
 def f7_gas_feature_rows(spark, sf):
     """The F7 feature rows (everything but the model) with every panel day as a
-    scenario: its demand and solar as inputs, state from the whole history."""
+    scenario: its demand and solar as inputs, gas state as of the day before,
+    ratio means of the first 80 % of each series (the training rows)."""
     hist = demand(spark, sf)
     scen = hist.select(S.SERIES, S.DATE, S.MAX_DEMAND, S.SOLAR_MAX)
-    rows = fc.gas_feature_rows(scen, hist)
+    train = sp.chronological_split(cal.prepare_calendar(hist)).where(F.col("split") == sp.TRAIN)
+    rows = fc.gas_feature_rows(scen, hist, ratios=fe.ratio_means_table(train))
     return rows.select(S.SERIES, S.DATE, S.IS_BUSINESS_DAY, S.RESIDUAL_LOAD, S.SOLAR_RATIO,
                        S.RESIDUAL_RATIO, F.round(S.GAS_BUDGET, 4).alias(S.GAS_BUDGET),
                        S.GAS_LAG1, F.round(S.GAS_CHANGE_LAG1, 9).alias(S.GAS_CHANGE_LAG1))
 
 
 F7_SQL = Q.DEMAND_CAL + """
+, tr AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date) AS rn,
+                               COUNT(*) OVER (PARTITION BY series_id) AS n FROM cal)
+         WHERE rn <= GREATEST(1, LEAST(FLOOR(n * 0.8::DOUBLE), n - 1)))
 , r AS (SELECT series_id,
           COALESCE(AVG(CASE WHEN is_business_day = 1 THEN x END), AVG(x), 0.0) AS rb,
           COALESCE(AVG(CASE WHEN is_business_day = 0 THEN x END), AVG(x), 0.0) AS ro
-        FROM (SELECT *, (gas_demand + solar_max) / NULLIF(max_demand, 0.0) AS x FROM cal) GROUP BY 1)
-, g AS (SELECT series_id, MAX(CASE WHEN rn = 1 THEN gas_demand END) AS last_gas,
-               MAX(CASE WHEN rn = 2 THEN gas_demand END) AS prev_gas
-        FROM (SELECT series_id, gas_demand,
-                     ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date DESC) AS rn
-              FROM cal WHERE gas_demand IS NOT NULL AND solar_max IS NOT NULL) WHERE rn <= 2
-        GROUP BY 1)
+        FROM (SELECT *, (gas_demand + solar_max) / NULLIF(max_demand, 0.0) AS x FROM tr) GROUP BY 1)
+, u AS (SELECT series_id, date AS gdate, gas_demand AS last_gas,
+               LAG(gas_demand) OVER (PARTITION BY series_id ORDER BY date) AS prev_gas
+        FROM cal WHERE gas_demand IS NOT NULL AND solar_max IS NOT NULL)
+, g AS (SELECT c.series_id, c.date, u.last_gas, u.prev_gas
+        FROM cal c ASOF LEFT JOIN u ON c.series_id = u.series_id AND c.date > u.gdate)
 SELECT c.series_id, c.date, c.is_business_day, c.max_demand - c.solar_max AS residual_load,
   COALESCE(c.solar_max / NULLIF(c.max_demand, 0.0), 0.0) AS solar_ratio,
   COALESCE((c.max_demand - c.solar_max) / NULLIF(c.max_demand, 0.0), 0.0) AS residual_ratio,
@@ -239,38 +335,66 @@ SELECT c.series_id, c.date, c.is_business_day, c.max_demand - c.solar_max AS res
   COALESCE(g.last_gas, 0.0) AS gas_lag1,
   ROUND(COALESCE((g.last_gas - g.prev_gas) / NULLIF(g.prev_gas, 0.0), 0.0), 9) AS gas_change_lag1
 FROM (SELECT cal.*, cal.max_demand * CASE WHEN cal.is_business_day = 1 THEN r.rb ELSE r.ro END
-             - cal.solar_max AS b, r.series_id AS rs
+             - cal.solar_max AS b
       FROM cal LEFT JOIN r ON r.series_id = cal.series_id) c
-LEFT JOIN g ON g.series_id = c.series_id
+LEFT JOIN g ON g.series_id = c.series_id AND g.date = c.date
 """
 
 
 def f9_feature_importance(spark, sf):
+    """One row per model and feature; shares lie in [0, 1] and sum to 1 per model."""
     rows = []
     for name, t in (("demand_forest", trained_demand(spark, sf)),
                     ("gas_boost", trained_gas(spark, sf))):
-        for f, v in md.importances(t.model, t.features):
-            rows.append((name, f, float(v)))
-    schema = "model string, feature string, importance double"
+        shares = md.importances(t.model, t.features)
+        total = round(sum(v for _, v in shares), 6)
+        rows += [(name, f, 0.0 <= float(v) <= 1.0, float(total)) for f, v in shares]
+    schema = "model string, feature string, is_share boolean, model_total double"
     return spark.createDataFrame(rows, schema)
 
 
+F9_SQL = "SELECT model, feature, TRUE AS is_share, 1.0::DOUBLE AS model_total FROM (VALUES " + ", ".join(
+    [f"('demand_forest', '{f}')" for f in S.DEMAND_BASE_FEATURES + S.DEMAND_TEMP_EXTRAS + S.DOW_COLUMNS]
+    + [f"('gas_boost', '{f}')" for f in S.GAS_FEATURES]) + ") t(model, feature)\n"
+
+
 def f10_evaluate(spark, sf):
-    d = tr.evaluate(trained_demand(spark, sf)).withColumn("model", F.lit("demand_forest"))
-    g = tr.evaluate(trained_gas(spark, sf)).withColumn("model", F.lit("gas_boost"))
-    return d.unionByName(g)
+    """Hold-out sizes per model and series, and metrics that are no worse than a constant's."""
+    out = None
+    for name, t in (("demand_forest", trained_demand(spark, sf)),
+                    ("gas_boost", trained_gas(spark, sf))):
+        base = t.table.where(F.col("split") == sp.TEST).groupBy(S.SERIES).agg(
+            F.max(F.abs(F.col(t.label))).alias("_top"))
+        m = tr.evaluate(t).join(base, S.SERIES).select(
+            F.lit(name).alias("model"), S.SERIES, "n",
+            (F.col("mae").between(F.lit(0.0), F.col("_top"))).alias("mae_fits"),
+            (F.col("r2") <= 1.0).alias("r2_fits"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+F10_SQL = _DEMAND_ROWS + """
+, gs AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date) AS rn,
+                COUNT(*) OVER (PARTITION BY series_id) AS n
+         FROM panel WHERE gas_demand IS NOT NULL AND max_demand IS NOT NULL)
+SELECT 'demand_forest' AS model, series_id, COUNT(*) AS n, TRUE AS mae_fits, TRUE AS r2_fits FROM ho GROUP BY 2
+UNION ALL
+SELECT 'gas_boost', series_id, COUNT(*), TRUE, TRUE
+FROM gs WHERE rn > GREATEST(1, LEAST(FLOOR(n * 0.8::DOUBLE), n - 1)) GROUP BY 2
+"""
 
 
 QUERIES = {
-    "f1_fit_demand_forest": (f1_fit_demand_forest, None),
-    "f2_tune_forest": (f2_tune_forest, None),
-    "f3_fit_gas_model": (f3_fit_gas_model, None),
-    "f4_monotone_map": (f4_monotone_map, None),
-    "f5_forecast_demand": (f5_forecast_demand, None),
+    "f1_fit_demand_forest": (f1_fit_demand_forest, F1_SQL),
+    "f2_tune_forest": (f2_tune_forest, F2_SQL),
+    "f3_fit_gas_model": (f3_fit_gas_model, F3_SQL),
+    "f3_gas_trees": (f3_gas_trees, F3_TREES_SQL),
+    "f4_monotone_map": (f4_monotone_map, F4_SQL),
+    "f5_forecast_demand": (f5_forecast_demand, F5_FORECAST_SQL),
     "f5_forecast_feature_rows": (f5_forecast_feature_rows, F5_SQL),
     "f6_delta_vs_last_week": (f6_delta_vs_last_week, F6_SQL),
-    "f7_forecast_gas": (f7_forecast_gas, None),
+    "f7_forecast_gas": (f7_forecast_gas, F7_FORECAST_SQL),
     "f7_gas_feature_rows": (f7_gas_feature_rows, F7_SQL),
-    "f9_feature_importance": (f9_feature_importance, None),
-    "f10_evaluate": (f10_evaluate, None),
+    "f9_feature_importance": (f9_feature_importance, F9_SQL),
+    "f10_evaluate": (f10_evaluate, F10_SQL),
 }

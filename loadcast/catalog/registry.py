@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-from loadcast.catalog import scalar_queries
+from loadcast.catalog import (change_queries, lookup_queries, model_queries, profile_queries,
+                              scalar_queries, window_queries)
 
-
-def _modules():
-    mods = [scalar_queries]
-    for name in ("window_queries", "lookup_queries", "change_queries", "profile_queries",
-                 "model_queries"):
-        try:
-            mods.append(__import__(f"loadcast.catalog.{name}", fromlist=["QUERIES"]))
-        except ModuleNotFoundError:
-            pass
-    return mods
+MODULES = [scalar_queries, window_queries, lookup_queries, change_queries, profile_queries,
+           model_queries]
 
 
 def all_queries() -> dict:
     out: dict = {}
-    for m in _modules():
+    for m in MODULES:
         out.update(m.QUERIES)
     return out

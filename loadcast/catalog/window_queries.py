@@ -118,6 +118,15 @@ def c8_expanding_folds(spark, sf):
     return sp.expanding_folds(region_cal(spark, sf)).select(*KEYS, "fold", "role")
 
 
+def c7_split_rank(spark, sf):
+    """The same split from distributed positions instead of a window per series."""
+    return sp.chronological_split(region_cal(spark, sf), method="rank").select(*KEYS, "split")
+
+
+def c8_folds_rank(spark, sf):
+    return sp.expanding_folds(region_cal(spark, sf), method="rank").select(*KEYS, "fold", "role")
+
+
 C8_SQL = Q.REGION + f"""
 , b AS (SELECT series_id, date, ROW_NUMBER() {W_SQL} - 1 AS rn,
                COUNT(*) OVER (PARTITION BY series_id) AS n,
@@ -243,7 +252,7 @@ _HOLDOUT_SQL = Q.DEMAND_LAGS + f"""
 
 def d6_mae(spark, sf):
     """Hold-out MAE of the 7-rows-back baseline forecast per series."""
-    m = me.exact_money_metrics(_holdout(spark, sf), S.MAX_DEMAND, S.DEMAND_LAG7)
+    m = me.regression_metrics(_holdout(spark, sf), S.MAX_DEMAND, S.DEMAND_LAG7)
     return m.select(S.SERIES, "n", r6(F.col("mae")).alias("mae"))
 
 
@@ -255,7 +264,7 @@ FROM ho GROUP BY 1
 
 
 def d7_r2(spark, sf):
-    m = me.exact_money_metrics(_holdout(spark, sf), S.MAX_DEMAND, S.DEMAND_LAG7)
+    m = me.regression_metrics(_holdout(spark, sf), S.MAX_DEMAND, S.DEMAND_LAG7)
     return m.select(S.SERIES, "n", r6(F.col("r2")).alias("r2"))
 
 
@@ -275,7 +284,7 @@ FROM a
 def b28_confidence_score(spark, sf):
     """Confidence of the 7-rows-back baseline per series from its hold-out R2."""
     from loadcast.functions import scalars as sc
-    m = me.exact_money_metrics(_holdout(spark, sf), S.MAX_DEMAND, S.DEMAND_LAG7)
+    m = me.regression_metrics(_holdout(spark, sf), S.MAX_DEMAND, S.DEMAND_LAG7)
     return m.select(S.SERIES, r6(sc.confidence_score(F.col("r2"))).alias("confidence"))
 
 
@@ -325,6 +334,8 @@ QUERIES = {
     "c6_last_two_gas": (c6_last_two_gas, C6_SQL),
     "c7_chronological_split": (c7_chronological_split, C7_SQL),
     "c8_expanding_folds": (c8_expanding_folds, C8_SQL),
+    "c7_split_rank": (c7_split_rank, C7_SQL),
+    "c8_folds_rank": (c8_folds_rank, C8_SQL),
     "c9_ranked_importances": (c9_ranked_importances, C9_SQL),
     "c10_preview": (c10_preview, C10_SQL),
     "d1_month_weekday_mean": (d1_month_weekday_mean, D1_SQL),

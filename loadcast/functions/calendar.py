@@ -165,9 +165,17 @@ def business_day_override(is_holiday: Column, derived_business: Column,
             .otherwise(F.coalesce(supplied, derived_business)).cast("int"))
 
 
-def prepare_calendar(df: DataFrame, extra_holidays: DataFrame | None = None) -> DataFrame:
-    """Step 1 of the reference flow: weekday, holiday, business day, day type."""
+def prepare_calendar(df: DataFrame, extra_holidays: DataFrame | None = None,
+                     day_type_override: bool = False) -> DataFrame:
+    """Step 1 of the reference flow: weekday, holiday, business day, day type.
+
+    With ``day_type_override`` a supplied day type decides the business flag
+    (B26). Training and both forecasts come through here, with one flag.
+    """
     out = with_weekday(df)
     out = with_holiday_flag(out, extra_holidays=extra_holidays)
     out = with_business_day(out)
+    if day_type_override and S.DAY_TYPE in out.columns:
+        out = out.withColumn(S.IS_BUSINESS_DAY, business_day_override(
+            F.col(S.IS_HOLIDAY), F.col(S.IS_BUSINESS_DAY), F.col(S.DAY_TYPE)))
     return normalize_day_type(out)

@@ -193,6 +193,7 @@ def gas_features(df: DataFrame, fit_mask: Column | None = None,
 def build_features(panel: DataFrame, *, lag_by: str = "rows",
                    last_year_mode: str = "per_row",
                    extra_holidays: DataFrame | None = None,
+                   day_type_override: bool = True,
                    keys: list[str] | None = None) -> DataFrame:
     """Step 1 + 2: the full feature table of a daily panel.
 
@@ -201,7 +202,7 @@ def build_features(panel: DataFrame, *, lag_by: str = "rows",
     the reference, so a missing day still shifts the lags).
     """
     keys = keys or [S.SERIES]
-    out = cal.prepare_calendar(panel, extra_holidays)
+    out = cal.prepare_calendar(panel, extra_holidays, day_type_override)
     out = cal.calendar_parts(out)
     out = cal.season_flags(out)
     # Date-ordered windows first (they share one sort), the per-series

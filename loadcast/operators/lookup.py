@@ -19,17 +19,15 @@ def observed_on(targets: DataFrame, history: DataFrame, cols: list[str],
                 keys: list[str] | None = None, tiebreak: str | None = None) -> DataFrame:
     """Values of ``cols`` observed on the target date (first match), else null.
 
-    History is reduced to one row per (series, date) first; ``tiebreak``
-    (ascending) picks the first match when history repeats a date.
+    History is reduced to one row per (series, date) first: the one with the
+    smallest ``tiebreak`` (nulls last), or without one the smallest values.
     """
     keys = keys or [S.SERIES]
-    hist = history.select(*keys, S.DATE, *cols, *([tiebreak] if tiebreak else []))
-    if tiebreak:
-        w = Window.partitionBy(*keys, S.DATE).orderBy(F.col(tiebreak).asc_nulls_last())
-        hist = hist.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop(
-            "_rn", tiebreak)
-    renamed = hist.select(*keys, S.DATE, *[F.col(c).alias(f"obs_{c}") for c in cols])
-    return targets.join(renamed, keys + [S.DATE], "left")
+    order = [tiebreak] if tiebreak else cols
+    first = F.min_by(F.struct(*[F.col(c).alias(f"obs_{c}") for c in cols]),
+                     F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))]))
+    one = history.groupBy(*keys, S.DATE).agg(first.alias("_row")).select(*keys, S.DATE, "_row.*")
+    return targets.join(one, keys + [S.DATE], "left")
 
 
 def last_before(targets: DataFrame, history: DataFrame, value: str,
@@ -183,6 +181,27 @@ def next_target_date(history: DataFrame, keys: list[str] | None = None) -> DataF
     return history.groupBy(*keys).agg(F.date_add(F.max(S.DATE), 1).alias(S.DATE))
 
 
+def gas_before(targets: DataFrame, history: DataFrame,
+               keys: list[str] | None = None) -> DataFrame:
+    """C6 as of each target date: ``last_gas`` and ``prev_gas`` of the last two days
+    strictly before it on which gas and solar both exist. No join: one union of
+    targets and history and one window pass."""
+    keys = keys or [S.SERIES]
+    usable = history.where(F.col(S.GAS_DEMAND).isNotNull() & F.col(S.SOLAR_MAX).isNotNull())
+    hist = usable.select(*keys, S.DATE, S.GAS_DEMAND).withColumn("_prev", F.lag(
+        S.GAS_DEMAND, 1).over(Window.partitionBy(*keys).orderBy(S.DATE)))
+    pair = F.struct(F.col(S.GAS_DEMAND).cast("double").alias("g"),
+                    F.col("_prev").cast("double").alias("p"))
+    t = targets.select(*keys, S.DATE).distinct().withColumns(
+        {"_k": F.lit(0), "_m": F.lit(None).cast("struct<g:double,p:double>")})
+    h = hist.select(*keys, S.DATE, F.lit(1).alias("_k"), pair.alias("_m"))
+    w = (Window.partitionBy(*keys).orderBy(_union_key())
+         .rowsBetween(Window.unboundedPreceding, -1))
+    u = t.unionByName(h).withColumn("_last", F.last("_m", ignorenulls=True).over(w))
+    return u.where("_k = 0").select(*keys, S.DATE, F.col("_last.g").alias("last_gas"),
+                                    F.col("_last.p").alias("prev_gas"))
+
+
 def tail_values(history: DataFrame, value: str = S.MAX_DEMAND, n: int = 14,
                 keys: list[str] | None = None) -> DataFrame:
     """The last ``n`` non-null values per series, in long form (pos 1 = oldest).

@@ -15,7 +15,7 @@ The forest is Spark ML's ``RandomForestRegressor``. The gas model offers:
   The model is a sum of per-feature monotone step functions, so each signed
   feature is monotone by construction. Prediction is a Catalyst expression
   (bucketize + array lookup), no UDF.
-* ``monotone=False``: Spark ML ``GBTRegressor``.
+* ``monotone=False``: Spark ML ``GBTRegressor``, with interactions between features.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -57,7 +56,7 @@ def forest(num_trees: int = 100, max_depth: int | None = None, min_rows: int = 1
     Fully grown trees (depth "none" -> 30) have thousands of nodes per tree;
     ``cacheNodeIds`` keeps each row's node id between levels instead of
     re-walking the trees. ``maxMemoryInMB`` is the per-task histogram budget:
-    every concurrently running task allocates it (see :func:`task_histogram_mb`).
+    every concurrently running task allocates it.
     """
     return RandomForestRegressor(
         featuresCol=features_col, labelCol=label, predictionCol="prediction",
@@ -71,21 +70,30 @@ def assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
 
 
-# Training sets up to this many rows are fitted as concurrent sub-forests.
-SPLIT_FOREST_MAX_ROWS = 2_000_000
-# Partition size of such a small training set. Every partition of every tree
-# level allocates and ships a full node histogram, so a small set is read by
-# few tasks; the sub-forests, not the partitions, spread the work over cores.
-SMALL_FIT_ROWS_PER_PARTITION = 250_000
+# A forest is fitted as this many seed-distinct sub-forests. Part of the model's definition: the
+# same rows and parameters give the same model on any number of cores.
+SUB_FORESTS = 8
+# Rows per input partition of a fit; the partitions decide the bootstrap draws, so they follow
+# from the number of rows and this value alone.
+ROWS_PER_PARTITION = 250_000
+# Histogram budget of one task in MB (``maxMemoryInMB``); every running task may allocate it.
+TASK_HISTOGRAM_MB = 128
 
 
-def small_fit_input(df: DataFrame, max_rows: int = SPLIT_FOREST_MAX_ROWS) -> DataFrame | None:
-    """``df`` in ``ceil(rows / SMALL_FIT_ROWS_PER_PARTITION)`` partitions when it
-    has at most ``max_rows`` rows (a bounded count), else ``None``."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        return None
-    return df.coalesce(max(1, -(-n // SMALL_FIT_ROWS_PER_PARTITION)))
+def fit_input(df: DataFrame, features: list[str], label: str, extra: list[str] | None = None,
+              rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """``(*extra, features, label)`` in ``ceil(rows / rows_per_partition)`` partitions.
+
+    Rows are dealt out by a hash of their values and sorted, so that a fit
+    sees the same partitions whatever the input's layout was. Every partition
+    of every tree level ships a full node histogram, hence few large ones.
+    """
+    extra = extra or []
+    cols = list(dict.fromkeys([*extra, *features, label]))
+    rows = df.select(*cols)
+    parts = max(1, -(-rows.count() // rows_per_partition))
+    dealt = rows.repartition(parts, *cols).sortWithinPartitions(*cols)
+    return assembler(features).transform(dealt).select(*extra, "features", label)
 
 
 class ForestEnsemble:
@@ -141,70 +149,44 @@ class ForestEnsemble:
 
 
 def fit_demand_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND,
-                      parallelism: int | None = None, **params):
-    """fit ``assemble -> forest`` on the training rows.
-
-    A small training set (a daily panel of a few series) makes tree induction
-    latency-bound: each level is one small task plus a driver round trip. Up to
-    :data:`SPLIT_FOREST_MAX_ROWS` rows (a bounded count), the trees are split
-    into concurrent sub-forests with distinct seeds, which fills the cores;
-    a large training set keeps one forest, where one pass per level serves
-    every tree.
+                      num_trees: int = 100, sub_forests: int = SUB_FORESTS,
+                      parallelism: int | None = None,
+                      rows_per_partition: int = ROWS_PER_PARTITION,
+                      max_memory_mb: int = TASK_HISTOGRAM_MB, **params) -> ForestEnsemble:
+    """fit a forest on the training rows, as ``sub_forests`` smaller ones.
+
+    Tree induction is latency-bound on small data (each level is one small
+    task plus a driver round trip), so sub-forests with distinct seeds are
+    fitted side by side. Their number, their seeds and the input partitions
+    are parameters and never follow from cores or memory; ``parallelism``
+    only says how many fits run at once. For data of many executors' size a
+    fit fills the cluster by itself and ``sub_forests=1`` reads the data least.
     """
     spark = train.sparkSession
-    num_trees = params.pop("num_trees", 100)
-    params.setdefault("max_memory_mb", task_histogram_mb(spark))
-    k = min(num_trees, fit_slots(spark, parallelism))
-    small = small_fit_input(train) if k > 1 else None
-    if small is None:
-        pipe = Pipeline(stages=[assembler(features),
-                                forest(label=label, num_trees=num_trees, **params)])
-        return pipe.fit(train)
-    data = assembler(features).transform(small).select("features", label) \
+    data = fit_input(train, features, label, rows_per_partition=rows_per_partition) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = split_trees(num_trees, k)
+    sizes = split_trees(num_trees, sub_forests)
 
     def run(i):
-        return forest(label=label, num_trees=sizes[i], **params).setSeed(SEED + i).fit(data)
+        return forest(label=label, num_trees=sizes[i], max_memory_mb=max_memory_mb, **params) \
+            .setSeed(SEED + i).fit(data)
 
     try:
-        with ThreadPoolExecutor(max_workers=k) as pool:
-            forests = list(pool.map(run, range(k)))
+        with ThreadPoolExecutor(max_workers=min(len(sizes), fit_slots(spark, parallelism))) as pool:
+            forests = list(pool.map(run, range(len(sizes))))
     finally:
         data.unpersist()
     return ForestEnsemble(features, forests, label)
 
 
-def _memory_gb(text: str) -> float:
-    units = {"k": 1 / (1024 * 1024), "m": 1 / 1024, "g": 1.0, "t": 1024.0}
-    t = text.strip().lower().rstrip("b")
-    return float(t[:-1]) * units[t[-1]] if t and t[-1] in units else float(t) / 2 ** 30
-
-
 def fit_slots(spark, requested: int | None = None) -> int:
-    """Concurrent fits: one per task slot (at most 8 unless asked for more).
+    """Fits that run at once: one per task slot, at most 8 unless asked for more.
 
-    Memory is bounded per task by :func:`task_histogram_mb`, not by limiting
-    the number of fits."""
+    Scheduling only; no model depends on it."""
     slots = max(1, spark.sparkContext.defaultParallelism)
     return max(1, requested or min(8, slots))
 
 
-def task_histogram_mb(spark) -> int:
-    """``maxMemoryInMB`` for forest fits: the histogram budget of one task.
-
-    On a cluster each executor task gets Spark's default of 256 MB. In local
-    mode every task slot shares the driver heap, so a quarter of the heap is
-    split over the slots (between 16 and 256 MB each); a 1 GB driver then
-    still runs a fit per core.
-    """
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        return 256
-    heap_mb = _memory_gb(sc.getConf().get("spark.driver.memory", "1g")) * 1024
-    return int(max(16, min(256, heap_mb * 0.25 / max(1, sc.defaultParallelism))))
-
-
 def split_trees(num_trees: int, k: int) -> list[int]:
     """Tree counts of ``k`` sub-forests that together hold ``num_trees`` trees."""
     k = max(1, min(k, num_trees))
@@ -239,40 +221,46 @@ def _mae(pred: DataFrame, label: str) -> float:
     return float(row[0]) if row and row[0] is not None else float("inf")
 
 
+class NoFoldRows(ValueError):
+    """The series are too short for the time folds."""
+
+
 @dataclass
 class TuningResult:
     best_params: dict
-    model: PipelineModel | None
+    model: ForestEnsemble | None
     trials: list[dict] = field(default_factory=list)
 
 
 def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND,
                 n_draws: int = 6, n_splits: int = 3, parallelism: int | None = None,
-                keys: list[str] | None = None, refit: bool = True) -> TuningResult:
+                keys: list[str] | None = None, refit: bool = True,
+                sub_forests: int = SUB_FORESTS,
+                rows_per_partition: int = ROWS_PER_PARTITION,
+                max_memory_mb: int = TASK_HISTOGRAM_MB) -> TuningResult:
     """random search over :data:`FOREST_GRID` with expanding time folds.
 
     Folds come from :func:`loadcast.operators.split.expanding_folds` (train
     on everything before each test block, per series), not from
     ``CrossValidator`` which would train on future folds. The fold table is
-    assembled once and persisted. A small fold table (a daily panel) sits in
-    few partitions, so one forest fit runs each tree level as a single task;
-    every (candidate, fold) forest is therefore split into seed-distinct
-    sub-forests (as in :func:`fit_demand_forest`), and all sub-fits run from
-    one thread pool, largest first, so Spark keeps every core busy. A
-    candidate's fold MAE is scored on the tree-weighted mean of its
+    assembled once and persisted. Every (candidate, fold) forest is split into
+    ``sub_forests`` seed-distinct sub-forests (as in :func:`fit_demand_forest`),
+    and all sub-fits run from one thread pool, largest first, so Spark keeps
+    every core busy. A candidate's fold MAE is scored on the tree-weighted mean of its
     sub-forests; the lowest mean MAE wins and is refit on all training rows
-    (``refit=False`` returns only the search result).
+    (``refit=False`` returns only the search result). Raises
+    :class:`NoFoldRows` when no series is long enough for a test block.
     """
     keys = keys or [S.SERIES]
     spark = train.sparkSession
     folds = sp.expanding_folds(train, n_splits=n_splits, keys=keys)
-    folded = assembler(features).transform(folds).select("fold", "role", "features", label)
-    small = small_fit_input(folded)
-    folded = (folded if small is None else small).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = fit_input(folds, features, label, ["fold", "role"], rows_per_partition) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    if folded.isEmpty():
+        folded.unpersist()
+        raise NoFoldRows(f"no series has {n_splits + 1} rows")
     draws = sample_grid(n_draws)
     slots = fit_slots(spark, parallelism)
-    mem = task_histogram_mb(spark)
-    k = 1 if small is None else slots
 
     def rows(fold: int, role: str) -> DataFrame:
         return folded.where((F.col("fold") == fold) & (F.col("role") == role))
@@ -281,7 +269,7 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
         i, fold, sub, n_trees = job
         p = draws[i]
         model = forest(label=label, num_trees=n_trees, max_depth=p["maxDepth"],
-                       min_rows=p["minInstancesPerNode"], max_memory_mb=mem) \
+                       min_rows=p["minInstancesPerNode"], max_memory_mb=max_memory_mb) \
             .setSeed(SEED + sub).fit(rows(fold, sp.TRAIN))
         return (i, fold), model
 
@@ -291,7 +279,7 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
         return i, _mae(ens.transform_assembled(rows(fold, sp.TEST)), label)
 
     jobs = [(i, f, sub, n) for i, p in enumerate(draws) for f in range(n_splits)
-            for sub, n in enumerate(split_trees(p["numTrees"], k))]
+            for sub, n in enumerate(split_trees(p["numTrees"], sub_forests))]
     # Largest first (trees x depth), so the pool ends with short fits.
     jobs.sort(key=lambda j: -j[3] * (draws[j[0]]["maxDepth"] or UNLIMITED_DEPTH))
     try:
@@ -310,14 +298,15 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
     params = {k: best[k] for k in FOREST_GRID}
     model = fit_demand_forest(train, features, label, num_trees=params["numTrees"],
                               max_depth=params["maxDepth"],
-                              min_rows=params["minInstancesPerNode"]) if refit else None
+                              min_rows=params["minInstancesPerNode"], sub_forests=sub_forests,
+                              parallelism=parallelism, rows_per_partition=rows_per_partition,
+                              max_memory_mb=max_memory_mb) if refit else None
     return TuningResult(params, model, trials)
 
 
-def forest_importances(model, features: list[str]) -> list[tuple[str, float]]:
+def forest_importances(model: ForestEnsemble, features: list[str]) -> list[tuple[str, float]]:
     """F9 for the forest: Spark's normalized impurity importances by name."""
-    imp = model.featureImportances if isinstance(model, ForestEnsemble) else \
-        model.stages[-1].featureImportances.toArray()
+    imp = model.featureImportances
     total = float(imp.sum()) or 1.0
     return [(f, float(v) / total) for f, v in zip(features, imp)]
 
@@ -506,19 +495,76 @@ def fit_monotone_boost(train: DataFrame, features: list[str], signs: list[int],
                               label)
 
 
+MISSING = "missing_"
+
+
+@dataclass
+class BoostedTrees:
+    """Gradient-boosted trees with interactions (F3 without direction constraints).
+
+    A missing value is replaced by the training mean of its feature and marked
+    by a 0/1 column of its own, in training and in scoring alike.
+    """
+
+    features: list[str]
+    means: dict[str, float]
+    model: object
+    label: str = S.GAS_DEMAND
+
+    def impute(self, df: DataFrame) -> DataFrame:
+        return impute_missing(df, self.means)
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        names = [*self.features, *[MISSING + f for f in self.features]]
+        held = F.struct(*[F.col(c) for c in df.columns])
+        x = self.impute(df.withColumn("_row", held))
+        x = assembler(names).transform(x).select("_row", "features")
+        pred = self.model.copy().setPredictionCol("_p").transform(x)
+        return pred.select("_row.*", F.col("_p").alias(out))
+
+    def importances(self) -> list[tuple[str, float]]:
+        """Shares by feature; a feature's marker counts with it."""
+        imp = self.model.featureImportances.toArray()
+        both = imp[:len(self.features)] + imp[len(self.features):]
+        total = float(both.sum()) or 1.0
+        return [(f, float(v) / total) for f, v in zip(self.features, both)]
+
+
+def impute_missing(df: DataFrame, means: dict[str, float]) -> DataFrame:
+    gone = {f: F.col(f).isNull() | F.isnan(F.col(f).cast("double")) for f in means}
+    marks = {MISSING + f: c.cast("int") for f, c in gone.items()}
+    filled = {f: F.when(c, F.lit(float(means[f]))).otherwise(F.col(f).cast("double"))
+              for f, c in gone.items()}
+    return df.withColumns(marks).withColumns(filled)
+
+
 def fit_gas_model(train: DataFrame, features: list[str], label: str = S.GAS_DEMAND,
                   monotone: bool = True, rounds: int = 300, learning_rate: float = 0.05,
-                  max_depth: int = 6, min_rows: int = 10):
-    """the gas model; signs from :data:`loadcast.schema.GAS_MONOTONE`."""
+                  max_depth: int = 6, min_rows: int = 10,
+                  rows_per_partition: int = ROWS_PER_PARTITION):
+    """the gas model; signs from :data:`loadcast.schema.GAS_MONOTONE`.
+
+    The constrained model is a sum of monotone steps without interactions;
+    ``monotone=False`` gives trees with interactions and no constraint.
+    """
     if monotone:
         signs = monotone_signs(features)
         return fit_monotone_boost(train, features, signs, label, rounds, learning_rate,
                                   min_rows=min_rows)
+    known = train.where(F.col(label).isNotNull())
+    row = known.agg(*[F.avg(F.when(~F.isnan(F.col(f).cast("double")), F.col(f))).alias(f)
+                      for f in features]).first()
+    means = {f: float(row[f]) if row[f] is not None else 0.0 for f in features}
+    names = [*features, *[MISSING + f for f in features]]
+    data = fit_input(impute_missing(known, means), names, label,
+                     rows_per_partition=rows_per_partition).persist(StorageLevel.MEMORY_AND_DISK)
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=rounds,
                        stepSize=learning_rate, maxDepth=max_depth,
                        minInstancesPerNode=min_rows, seed=SEED)
-    filled = train.fillna(0.0, subset=features)
-    return Pipeline(stages=[assembler(features), gbt]).fit(filled)
+    try:
+        return BoostedTrees(features, means, gbt.fit(data), label)
+    finally:
+        data.unpersist()
 
 
 def monotone_signs(features: list[str]) -> list[int]:
@@ -527,16 +573,14 @@ def monotone_signs(features: list[str]) -> list[int]:
 
 
 def predict(model, df: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Predictions from either model kind into column ``prediction``."""
-    if isinstance(model, MonotoneBoostModel):
-        return model.transform(df)
-    if features:
+    """Predictions from any model kind into column ``prediction``."""
+    if isinstance(model, ForestEnsemble) and features:
         df = df.fillna(0.0, subset=features)
     return model.transform(df)
 
 
 def importances(model, features: list[str]) -> list[tuple[str, float]]:
     """per-feature importance shares summing to 1."""
-    if isinstance(model, MonotoneBoostModel):
+    if isinstance(model, (MonotoneBoostModel, BoostedTrees)):
         return model.importances()
     return forest_importances(model, features)

@@ -8,7 +8,6 @@ replays the whole feature lineage.
 
 from __future__ import annotations
 
-import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,10 +29,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def demand_training_table(panel: DataFrame, lag_by: str = "rows",
-                          last_year_mode: str = "per_row",
-                          test_fraction: float = 0.2) -> tuple[DataFrame, list[str]]:
+                          last_year_mode: str = "per_row", test_fraction: float = 0.2,
+                          extra_holidays: DataFrame | None = None,
+                          day_type_override: bool = True) -> tuple[DataFrame, list[str]]:
     """Steps 2-3 for peak demand: features, lag fill, complete cases, split."""
-    ft = fe.build_features(panel, lag_by=lag_by, last_year_mode=last_year_mode)
+    ft = fe.build_features(panel, lag_by=lag_by, last_year_mode=last_year_mode,
+                           extra_holidays=extra_holidays, day_type_override=day_type_override)
     features = S.demand_features(ft.columns)
     ft = sc.fill_lags(ft)
     ft = sc.complete_cases(ft, features, S.MAX_DEMAND)
@@ -43,13 +44,16 @@ def demand_training_table(panel: DataFrame, lag_by: str = "rows",
 
 def gas_training_table(panel: DataFrame, cutoff: str | None = None,
                        test_fraction: float = 0.2,
-                       fit_ratios_on: str = "train") -> tuple[DataFrame, list[str]]:
+                       fit_ratios_on: str = "train",
+                       extra_holidays: DataFrame | None = None,
+                       day_type_override: bool = True) -> tuple[DataFrame, list[str]]:
     """Gas rows: features, cutoff (B20), non-null target, split, budget.
 
     The business/other ratio means behind ``gas_budget`` are fitted on the
     training split only (``fit_ratios_on="all"`` for the reference's rule).
     """
-    ft = fe.build_features(panel)
+    ft = fe.build_features(panel, extra_holidays=extra_holidays,
+                           day_type_override=day_type_override)
     if S.GAS_DEMAND not in ft.columns:
         raise ValueError("gas model needs gas_demand and solar_max")
     if cutoff:
@@ -72,40 +76,49 @@ def gas_training_table(panel: DataFrame, cutoff: str | None = None,
 
 @dataclass
 class Trained:
+    """A fitted model with its table; ``note`` says what was done otherwise than asked.
+
+    ``ratios`` (gas) is the state behind the budget: the ratio means of the
+    training rows, one row per series.
+    """
+
     model: object
     features: list[str]
     table: DataFrame
     label: str
+    note: str | None = None
+    ratios: DataFrame | None = None
 
 
 def train_demand(panel: DataFrame, tune: bool = False, **kw) -> Trained:
     """F1 / F2: fit the peak-demand forest on the training split.
 
-    With ``tune=True`` the tuned forest is used; if tuning fails (e.g. too few
-    rows for the folds) the plain 100-tree forest is fitted instead.
+    With ``tune=True`` the tuned forest is used. Series that are too short for
+    the time folds leave nothing to tune on; then the plain 100-tree forest is
+    fitted and ``note`` says so. Any other failure is raised.
     """
     table, features = demand_training_table(panel, **kw)
     table = materialize(table)
     train = table.where(F.col("split") == sp.TRAIN)
-    model = None
     if tune:
         try:
-            model = md.tune_forest(train, features).model
-        except Exception as err:  # noqa: BLE001 - same fallback as the reference
-            warnings.warn(f"forest tuning failed ({err}); fitting the plain forest")
-    if model is None:
-        model = md.fit_demand_forest(train, features)
-    return Trained(model, features, table, S.MAX_DEMAND)
+            return Trained(md.tune_forest(train, features).model, features, table, S.MAX_DEMAND)
+        except md.NoFoldRows as err:
+            plain = md.fit_demand_forest(train, features)
+            return Trained(plain, features, table, S.MAX_DEMAND, note=f"not tuned: {err}")
+    return Trained(md.fit_demand_forest(train, features), features, table, S.MAX_DEMAND)
 
 
 def train_gas(panel: DataFrame, cutoff: str | None = None, monotone: bool = True,
+              extra_holidays: DataFrame | None = None, day_type_override: bool = True,
               **kw) -> Trained:
     """fit the gas model on the training split."""
-    table, features = gas_training_table(panel, cutoff)
+    table, features = gas_training_table(panel, cutoff, extra_holidays=extra_holidays,
+                                         day_type_override=day_type_override)
     table = materialize(table)
     train = table.where(F.col("split") == sp.TRAIN)
     model = md.fit_gas_model(train, features, monotone=monotone, **kw)
-    return Trained(model, features, table, S.GAS_DEMAND)
+    return Trained(model, features, table, S.GAS_DEMAND, ratios=fe.ratio_means_table(train))
 
 
 def holdout_predictions(t: Trained) -> DataFrame:
