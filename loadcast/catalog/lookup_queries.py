@@ -33,17 +33,18 @@ TARGETS_SQL = """
 
 
 def e2_holiday_membership(spark, sf):
-    """Holiday flag through the join path: the holiday dimension as a table."""
+    """Holiday flag with a dimension of moving dates (every 59th day of the calendar),
+    which no month and day rule can stand in for."""
     hist = region_cal(spark, sf)
     t = calendar_targets(hist)
-    dim = cal.holiday_calendar(t)
-    out = cal.with_holiday_flag(t, extra_holidays=dim, extra_is_bounded=True)
-    return out.select(*KEYS, S.IS_HOLIDAY)
+    moving = t.where(F.pmod(F.unix_date(S.DATE), F.lit(59)) == 7).select(S.DATE).distinct()
+    return cal.with_holiday_flag(t, extra_holidays=moving).select(*KEYS, S.IS_HOLIDAY)
 
 
 E2_SQL = Q.REGION + TARGETS_SQL + f"""
 SELECT series_id, date,
-  CAST(CASE WHEN month(date) * 100 + day(date) IN ({Q.HOLIDAY_CODES}) THEN 1 ELSE 0 END AS INTEGER) AS is_holiday
+  CAST(CASE WHEN month(date) * 100 + day(date) IN ({Q.HOLIDAY_CODES})
+         OR (date - DATE '1970-01-01') % 59 = 7 THEN 1 ELSE 0 END AS INTEGER) AS is_holiday
 FROM targets
 """
 
@@ -62,6 +63,23 @@ FROM targets t LEFT JOIN panel p ON p.series_id = t.series_id AND p.date = t.dat
 """
 
 
+def e3_observed_first_match(spark, sf):
+    """History that repeats dates: odd days come twice, the later copy two degrees lower."""
+    hist = region_cal(spark, sf).select(*KEYS, S.TEMP_LOW).withColumn("seq", F.lit(2))
+    again = (hist.where(F.dayofmonth(S.DATE) % 2 == 1)
+             .withColumns({S.TEMP_LOW: F.col(S.TEMP_LOW) - 2.0, "seq": F.lit(1)}))
+    out = lk.observed_on(calendar_targets(hist), hist.unionByName(again), [S.TEMP_LOW],
+                         tiebreak="seq")
+    return out.select(*KEYS, "obs_temp_low")
+
+
+E3_FIRST_SQL = Q.REGION + TARGETS_SQL + """
+SELECT t.series_id, t.date,
+       CASE WHEN day(t.date) % 2 = 1 THEN p.temp_low - 2.0 ELSE p.temp_low END AS obs_temp_low
+FROM targets t LEFT JOIN panel p ON p.series_id = t.series_id AND p.date = t.date
+"""
+
+
 def e4_last_before(spark, sf):
     hist = region_cal(spark, sf)
     t = calendar_targets(hist)
@@ -117,6 +135,7 @@ E7_SQL = Q.REGION + "SELECT series_id, CAST(MAX(date) + 1 AS DATE) AS date FROM
 
 
 QUERIES = {
+    "e3_observed_first_match": (e3_observed_first_match, E3_FIRST_SQL),
     "e2_holiday_membership": (e2_holiday_membership, E2_SQL),
     "e3_observed_on": (e3_observed_on, E3_SQL),
     "e4_last_before": (e4_last_before, E4_SQL),

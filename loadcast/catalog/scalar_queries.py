@@ -160,11 +160,11 @@ B10_SQL = Q.DEMAND_CAL + "SELECT series_id, date, month, is_summer, is_winter FR
 # --- B11 .. B19 -----------------------------------------------------------------
 
 def b11_cooling_intensity(spark, sf):
-    df = sc.cooling_intensity(demand_cal(spark, sf))
+    df = sc.cooling_intensity(demand_cal(spark, sf)).withColumnRenamed(S.COOLING, "_first")
     # Second variant: no feels_like column -> temp_high is used.
-    alt = sc.cooling_intensity(demand_cal(spark, sf).drop(S.FEELS_LIKE))
-    return (df.select(*KEYS, S.COOLING)
-            .join(alt.select(*KEYS, F.col(S.COOLING).alias("cooling_from_high")), KEYS))
+    alt = sc.cooling_intensity(df.drop(S.FEELS_LIKE))
+    return alt.select(*KEYS, F.col("_first").alias(S.COOLING),
+                      F.col(S.COOLING).alias("cooling_from_high"))
 
 
 B11_SQL = Q.DEMAND_CAL + """
@@ -244,13 +244,20 @@ FROM (SELECT *, max_demand * CASE WHEN is_business_day = 1 THEN rb ELSE ro END -
 def b17_fill_lags(spark, sf):
     df = fe.demand_lags(demand_cal(spark, sf))
     df = fe.last_year_dow_mean(df)
-    return sc.fill_lags(df).select(*KEYS, S.DEMAND_LAG1, S.DEMAND_LAG7)
+    # Blank the means of one weekday, so the third lag has nulls to fill too.
+    df = df.withColumn(S.DEMAND_LAST_YEAR_DOW, F.when(F.col(S.WEEKDAY_NUM) != 2,
+                                                      F.col(S.DEMAND_LAST_YEAR_DOW)))
+    return sc.fill_lags(df).select(*KEYS, S.DEMAND_LAG1, S.DEMAND_LAG7,
+                                   F.round(S.DEMAND_LAST_YEAR_DOW, 6).alias(S.DEMAND_LAST_YEAR_DOW))
 
 
 B17_SQL = Q.DEMAND_LAGS + """
-SELECT series_id, date, COALESCE(demand_lag1, 0.0) AS demand_lag1,
-       COALESCE(demand_lag7, 0.0) AS demand_lag7
-FROM lagged
+, m AS (SELECT series_id, year, month, weekday_num, AVG(max_demand) AS mm FROM lagged GROUP BY 1, 2, 3, 4)
+SELECT c.series_id, c.date, COALESCE(c.demand_lag1, 0.0) AS demand_lag1,
+       COALESCE(c.demand_lag7, 0.0) AS demand_lag7,
+       ROUND(COALESCE(CASE WHEN c.weekday_num <> 2 THEN m.mm END, 0.0), 6) AS demand_last_year_dow
+FROM lagged c LEFT JOIN m ON m.series_id = c.series_id AND m.year = c.year - 1
+  AND m.month = c.month AND m.weekday_num = c.weekday_num
 """
 
 

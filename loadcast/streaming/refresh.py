@@ -52,11 +52,15 @@ def start_refresh(spark: SparkSession, source_dir: str, table_dir: str, checkpoi
 
 def current_table(spark: SparkSession, table_dir: str,
                   key: list[str] | None = None) -> DataFrame:
-    """Latest row per key over all batches; deleted keys removed."""
+    """Latest row per key over all batches; deleted keys removed.
+
+    Of a key's rows in one batch the one with the largest values counts.
+    """
     key = key or [S.SERIES, S.DATE]
     hist = spark.read.parquet(table_dir)
     cols = [c for c in hist.columns if c not in key + ["batch", "_batch"]]
+    row = F.struct(*[F.col(c) for c in cols])
     latest = hist.groupBy(*key).agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("_batch")).alias("_row"))
+        F.max_by(row, F.struct(F.col("_batch"), row)).alias("_row"))
     out = latest.select(*key, "_row.*")
     return out.where(~F.col(DELETED)).drop(DELETED)

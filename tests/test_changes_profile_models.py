@@ -44,9 +44,9 @@ def test_changed_rows_kinds_and_ranges(spark):
     assert [(r["range_start"], r["range_end"], r["n_rows"]) for r in got] == [(2, 4, 3), (8, 9, 2)]
 
 
-@pytest.mark.parametrize("bucket", [2, 3, 4, 64])
-def test_group_consecutive_matches_brute_force(spark, bucket):
-    rnd = random.Random(bucket)
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_group_consecutive_matches_brute_force(spark, parts):
+    rnd = random.Random(parts)
     keys = sorted({rnd.randint(-30, 120) for _ in range(90)} | set(range(40, 60)))
     df = spark.createDataFrame([(k, "g" if k % 2 else "h") for k in keys], "n long, grp string")
     # brute force per group
@@ -58,7 +58,7 @@ def test_group_consecutive_matches_brute_force(spark, bucket):
         for k in ks:
             want.add((g, k, k, 1))
     got = {(r.grp, r.range_start, r.range_end, r.n_rows) for r in
-           ch.group_consecutive(df, "n", keys=["grp"], bucket_size=bucket).collect()}
+           ch.group_consecutive(df, "n", keys=["grp"], num_partitions=parts).collect()}
     assert got == want
     runs, start, prev = [], keys[0], keys[0]
     for k in keys[1:]:
@@ -68,7 +68,7 @@ def test_group_consecutive_matches_brute_force(spark, bucket):
         prev = k
     runs.append((start, prev, prev - start + 1))
     got_all = {(r.range_start, r.range_end, r.n_rows) for r in
-               ch.group_consecutive(df.select("n"), "n", bucket_size=bucket).collect()}
+               ch.group_consecutive(df.select("n"), "n", num_partitions=parts).collect()}
     assert got_all == set(runs)
 
 
@@ -199,15 +199,92 @@ def test_forest_search_candidates():
     assert all(d["numTrees"] in (100, 200, 300) for d in draws)
 
 
-def test_sub_forest_sizes_and_fit_input(spark):
+def test_forest_does_not_depend_on_cores_or_layout(spark, tmp_path):
     assert md.split_trees(100, 8) == [13, 13, 13, 13, 12, 12, 12, 12]
     assert md.split_trees(3, 8) == [1, 1, 1]
-    assert sum(md.split_trees(300, 7)) == 300
-    df = spark.range(1000).repartition(6)
-    small = md.small_fit_input(df)
-    assert small is not None and small.rdd.getNumPartitions() == 1 and small.count() == 1000
-    assert md.small_fit_input(df, max_rows=999) is None
-    assert 16 <= md.task_histogram_mb(spark) <= 256
+    rnd = np.random.default_rng(2)
+    x = rnd.uniform(0, 10, 300)
+    df = spark.createDataFrame([(float(a), float(2 * a + rnd.normal())) for a in x],
+                               "a double, max_demand double")
+    got = []
+    for slots, parts in ((1, 1), (2, 3), (4, 6)):
+        m = md.fit_demand_forest(df.repartition(parts), ["a"], num_trees=12, max_depth=4,
+                                 parallelism=slots)
+        assert isinstance(m, md.ForestEnsemble)
+        got.append([r.prediction for r in m.transform(df.orderBy("a")).collect()])
+    assert got[0] == got[1] == got[2]
+    m.save(str(tmp_path / "f"))
+    m.save(str(tmp_path / "f"))  # a rerun overwrites
+    back = md.ForestEnsemble.load(spark, str(tmp_path / "f"))
+    assert [r.prediction for r in back.transform(df.orderBy("a")).collect()] == got[0]
+
+
+def test_fit_input_partitions_follow_rows_only(spark):
+    df = spark.range(1000).selectExpr("cast(id as double) a", "cast(id as double) y").repartition(6)
+    for per, want in ((100, 10), (1000, 1), (10_000, 1)):
+        data = md.fit_input(df, ["a"], "y", rows_per_partition=per)
+        assert data.rdd.getNumPartitions() == want and data.count() == 1000
+
+
+def test_short_series_cannot_be_tuned(spark):
+    df = spark.createDataFrame([("s", dt.date(2024, 1, i + 1), 1.0, 2.0) for i in range(3)],
+                               "series_id string, date date, a double, max_demand double")
+    with pytest.raises(md.NoFoldRows):
+        md.tune_forest(df, ["a"], n_draws=1)
+
+
+def test_gas_trees_impute_and_mark_missing_features(spark):
+    rnd = np.random.default_rng(5)
+    data = []
+    for i in range(400):
+        x, z = float(rnd.uniform(0, 1)), float(rnd.uniform(0, 1))
+        y = 5.0 * x * z + (3.0 if i % 4 == 0 else 0.0)
+        data.append((None if i % 4 == 0 else x, z, y))
+    df = spark.createDataFrame(data, "x double, z double, gas_demand double")
+    m = md.fit_gas_model(df, ["x", "z"], monotone=False, rounds=40, max_depth=4, min_rows=2)
+    pred = md.predict(m, df, ["x", "z"])
+    assert pred.columns == ["x", "z", "gas_demand", "prediction"]
+    assert pred.where("x is null").count() == 100  # scoring leaves the inputs as they are
+    r2 = me.regression_metrics(pred, "gas_demand", "prediction", keys=[]).first().r2
+    assert r2 > 0.9
+    assert abs(sum(v for _, v in md.importances(m, ["x", "z"])) - 1) < 1e-9
+
+
+def test_r2_keeps_its_digits_far_from_zero(spark):
+    rnd = np.random.default_rng(6)
+    y = 1e9 + np.linspace(0, 10, 100)
+    p = y + rnd.normal(0, 0.01, 100)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, p)], "y double, p double")
+    want = 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    got = me.regression_metrics(df, "y", "p", keys=[]).first()
+    assert abs(got.r2 - want) < 1e-6 and got.r2 > 0.999
+
+
+def test_changed_rows_with_null_keys(spark):
+    schema = "a string, b string, v double"
+    old = spark.createDataFrame([(None, "x", 1.0), ("k", None, 2.0), ("k", "y", 3.0)], schema)
+    new = spark.createDataFrame([(None, "x", 1.5), ("k", None, 2.0), (None, None, 9.0)], schema)
+    d = {(r.a, r.b): (r.kind, r.v) for r in ch.changed_rows(new, old, ["a", "b"]).collect()}
+    assert d == {(None, "x"): ("update", 1.5), ("k", None): ("same", 2.0),
+                 ("k", "y"): ("delete", 3.0), (None, None): ("insert", 9.0)}
+    key = ["a", "b"]
+    want = sorted(map(str, new.collect()))
+    assert sorted(map(str, ch.merge(old, new, key).collect())) == want
+    assert sorted(map(str, ch.upsert(old, ch.changed_rows(new, old, key), key).collect())) == want
+
+
+def test_changed_rows_rejects_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a")], "k long, v string")
+    new = spark.createDataFrame([(1, "b"), (1, "c")], "k long, v string")
+    with pytest.raises(Exception, match="repeated key"):
+        ch.changed_rows(new, old, ["k"]).collect()
+
+
+def test_merge_keeps_base_columns_the_edits_lack(spark):
+    old = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "k long, v string, extra int")
+    new = spark.createDataFrame([(1, "z"), (3, "n")], "k long, v string")
+    got = sorted(map(tuple, ch.merge(old, new, ["k"]).collect()))
+    assert got == [(1, "z", 10), (3, "n", None)]
 
 
 def test_tune_forest_scores_every_draw_on_time_folds(spark):

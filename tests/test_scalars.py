@@ -128,3 +128,21 @@ def test_fixed_holidays(spark):
     extra = spark.createDataFrame([(dt.date(2024, 8, 16), "substitute")], "date date, name string")
     out = cal.with_holiday_flag(df, extra_holidays=extra)
     assert sorted(r.is_holiday for r in out.collect()) == [1, 1]
+
+
+def test_dates_with_a_time_part_or_short_parts(spark):
+    want = {"2024-01-05 00:00:00": 5, "2024-01-05T00:00:00.000": 5, "2024-1-5": 5,
+            "2024-01-05T23:59:59.123456Z": 5, "2024/1/05 07:30": 5, "20240105": 5,
+            "2024-01-05T00:00:00+09:00": 5, " 2024.01.05 ": 5, "2024-01-05x": None, "2024-13-05": None,
+            "2024-02-30": None, "05-01-2024": None, "": None}
+    df = spark.createDataFrame([(k,) for k in want], "date string")
+    got = {r.text: r.date for r in io.coerce_date(df.selectExpr("date text", "date"), "date").collect()}
+    assert {k: v and v.day for k, v in got.items()} == want
+
+
+def test_extra_holidays_flag_moving_dates(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.date(2024, 2, 9),), (dt.date(2024, 2, 13),)], "date date")
+    extra = spark.createDataFrame([(dt.date(2024, 2, 9),), (None,)], "date date")
+    flags = lambda e: [r.is_holiday for r in cal.with_holiday_flag(df, extra_holidays=e).orderBy("date").collect()]
+    assert flags(extra) == [1, 0] and flags(extra.limit(0)) == [0, 0]

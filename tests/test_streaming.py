@@ -32,3 +32,13 @@ def test_refresh_keeps_latest_row_per_key(spark):
     got = {r.date: r.max_demand for r in refresh.current_table(spark, table).collect()}
     assert got == {dt.date(2024, 1, 1): 100.0, dt.date(2024, 1, 2): 120.0,
                    dt.date(2024, 1, 3): 130.0}
+
+
+def test_rows_of_one_batch_tie_by_their_values(spark, tmp_path):
+    from loadcast.streaming import refresh as rf
+    for parts in (1, 3):
+        path = str(tmp_path / f"t{parts}")
+        df = spark.createDataFrame([("s", "2024-01-01", v, False, 0) for v in (2.0, 5.0, 3.0)],
+                                   "series_id string, date string, max_demand double, _deleted boolean, _batch long")
+        df.repartition(parts).write.parquet(f"{path}/batch=0")
+        assert [r.max_demand for r in rf.current_table(spark, path).collect()] == [5.0]

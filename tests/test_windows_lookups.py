@@ -4,12 +4,15 @@ brute-force references for the as-of and last-week lookups."""
 import datetime as dt
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
 from loadcast import schema as S
 from loadcast.operators import features as fe
 from loadcast.operators import lookup as lk
+from loadcast.operators import profile as pr
+from loadcast.operators import ranking as rk
 from loadcast.operators import split as sp
 
 D0 = dt.date(2024, 1, 1)
@@ -190,3 +193,51 @@ def test_bucketed_asof_matches_brute_force(spark):
             prior = [(hd, v) for hs, hd, v in hist_rows if hs == s and hd < d and v is not None]
             want = max(prior) if prior else None
             assert got[(s, d)] == ((want[1], want[0], tag) if want else (None, None, tag))
+
+
+def test_positions_of_many_rows_with_payload_and_ties(spark):
+    """Payload columns, heavy ties and no shared exchanges: positions match ``row_number``."""
+    n = 400_000
+    df = spark.range(n).selectExpr(
+        "concat('s', cast(id % 3 as string)) series_id",
+        "case when id % 2 = 0 then 0 else cast(id * 7919 % 100003 as int) end v",
+        "id", "repeat(cast(id as string), 3) payload", "cast(id as double) amount")
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = rk.group_row_numbers(df, ["series_id"], ["v", "id"], out="rn", size="n")
+        w = Window.partitionBy("series_id").orderBy("v", "id")
+        both = got.withColumn("want", F.row_number().over(w))
+        assert both.where("rn <> want").count() == 0 and both.count() == n
+        loose = rk.global_positions(df.select("v", "payload"), ["v"])  # ties by a hash of the row
+        assert loose.select("_gpos").distinct().count() == n
+        assert loose.agg(F.max("_gpos")).first()[0] == n - 1
+        low = loose.where("v = 0").agg(F.max("_gpos")).first()[0]
+        assert low < loose.where("v > 0").agg(F.min("_gpos")).first()[0]
+        a = sp.chronological_split(df, order=["v", "id"]).where("split = 'test'").select("id")
+        b = sp.chronological_split(df, order=["v", "id"], method="rank").where("split = 'test'").select("id")
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+        d = pr.describe(df, ["v", "amount"]).collect()
+        v = df.agg(*[F.expr(f"percentile({c}, array(0.25, 0.5, 0.75))").alias(c) for c in ("v", "amount")]).first()
+        for r in d:
+            assert [r.p25, r.p50, r.p75] == [float(x) for x in v[r.column_name]]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_observed_on_takes_one_row_per_date(spark):
+    t = spark.createDataFrame([("s", day(1)), ("s", day(2))], "series_id string, date date")
+    h = spark.createDataFrame([("s", day(1), 5.0), ("s", day(1), 3.0), ("s", day(1), None)],
+                              "series_id string, date date, temp_low double")
+    got = {r.date: r.obs_temp_low for r in lk.observed_on(t, h, ["temp_low"]).collect()}
+    assert got == {day(1): 3.0, day(2): None}
+
+
+def test_gas_before_uses_earlier_days_only(spark):
+    hist = spark.createDataFrame(
+        [("s", day(i), float(i) if i != 4 else None, 1.0) for i in range(1, 8)],
+        "series_id string, date date, gas_demand double, solar_max double")
+    t = spark.createDataFrame([("s", day(i)) for i in (1, 2, 3, 5, 8)], "series_id string, date date")
+    got = {r.date: (r.last_gas, r.prev_gas) for r in lk.gas_before(t, hist).collect()}
+    assert got == {day(1): (None, None), day(2): (1.0, None), day(3): (2.0, 1.0),
+                   day(5): (3.0, 2.0), day(8): (7.0, 6.0)}
