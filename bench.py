@@ -32,6 +32,7 @@ def feature_table(spark, sf):
 HEADLINE = [
     "feature_table",
     "flagship_lag_error",
+    "a6_changed_rows",
     "a9_upsert",
     "a8_group_consecutive",
     "e1_demand_last_year_dow",
