@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
-from loadcast.llm.text import ChunkTable, blank_separated, groups
+from loadcast.llm.text import ChunkTable, blank_separated, groups, ragged_take
 from loadcast.llm.workers import map_arrow
 
 #: A control character that no chunk holds parts the chunks of one call.
@@ -43,21 +43,67 @@ def word_table(path: str) -> ChunkTable:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     part_id = np.uint32(tokenizer.encode(PART, add_special_tokens=False).ids[0])
-
-    def encode(new: list[str]):
-        flat, lengths = [], np.empty(len(new), np.int64)
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
+    vocabulary = tokenizer.get_vocab()
+    ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def ids_of(texts: list[str]) -> np.ndarray:
+        return np.array(tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, np.uint32)
+
+    def encode_words(words: list[str]):
+        """Words of letters are one unit each, which its last token ends."""
+        flat, lengths = [], []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = ids_of(part)
+            ends = np.flatnonzero(ends_word[ids])
+            if len(ends) != len(part):  # folding case has made marks of some letters
+                found = [ids_of([word]) for word in part]
+                ids, ends = np.concatenate(found), np.cumsum([len(x) for x in found]) - 1
+            flat.append(ids)
+            lengths.append(np.diff(ends, prepend=-1))
+        return flat, lengths
+
+    def encode_others(chunks: list[str]):
+        flat, lengths = [], []
+        for at in range(0, len(chunks), 1000):
+            part = chunks[at : at + 1000]
             if any(PART in chunk for chunk in part):
-                found = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(part, add_special_tokens=False)]
-                lengths[at : at + len(part)] = [len(x) for x in found]
+                found = [ids_of([chunk]) for chunk in part]
+                lengths.append(np.array([len(x) for x in found], np.int64))
                 flat += found
                 continue
-            ids = np.array(tokenizer.encode(f" {PART} ".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == part_id), len(ids))
-            lengths[at : at + len(part)] = np.diff(ends, prepend=-1) - 1
+            ids = ids_of([f"{chunk} {PART}" for chunk in part])
+            ends = np.flatnonzero(ids == part_id)
+            lengths.append(np.diff(ends, prepend=-1) - 1)
             flat.append(ids[ids != part_id])
-        return np.concatenate(flat), lengths
+        return flat, lengths
+
+    def encode(new: list[str]):
+        words: dict[str, int] = {}
+        marks = [".", ","]
+        others, shape = [], []  # a chunk is a word, a word and a mark, or something else
+        for chunk in new:
+            if chunk.isalpha():
+                shape.append((words.setdefault(chunk, len(words)), -1))
+            elif chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+                shape.append((words.setdefault(chunk[:-1], len(words)), marks.index(chunk[-1])))
+            else:
+                shape.append((-1, len(others)))
+                others.append(chunk)
+        parts = [encode_words(list(words)), encode_others(marks + others)]
+        flat = np.concatenate([np.empty(0, np.uint32), *(x for p in parts for x in p[0])])
+        lengths = np.concatenate([np.empty(0, np.int64), *(x for p in parts for x in p[1])])
+        starts = np.cumsum(lengths) - lengths
+        word, rest = np.array(shape, np.int64).reshape(-1, 2).T
+        rest = np.where(word < 0, rest + len(marks), rest)
+        # The two halves of each chunk one after the other; an absent half is left out.
+        picks = np.stack([word, np.where(rest < 0, -1, rest + len(words))], axis=1)
+        there = picks >= 0
+        ids, n = ragged_take(flat, starts, lengths, picks[there])
+        sizes = np.zeros(picks.shape, np.int64)
+        sizes[there] = n
+        return ids, sizes.sum(axis=1)
 
     return ChunkTable(encode)
 
