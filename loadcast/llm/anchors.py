@@ -32,31 +32,45 @@ def gram_hashes(raw: np.ndarray, size: int = GRAM) -> np.ndarray:
     return mix(done)
 
 
-def sliding(x: np.ndarray, width: int, choose) -> np.ndarray:
-    """``choose`` (minimum or maximum) over every window of ``width`` values, by doubling."""
+#: Positions of a gram fit the lower bits of a sort key, its hash the upper ones.
+POSITION_BITS = 24
+SECTION = (1 << POSITION_BITS) - 64
+
+#: Anchors are known by the upper 48 bits of their hashes, which take less room in a shuffle; two
+#: grams with the same ones are merely compared in vain.
+SPARE = np.uint64(16)
+
+
+def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every window of ``width`` values, by doubling."""
     step, out = 1, x
     while 2 * step <= width:
-        out = choose(out[:-step], out[step:])
+        out = np.minimum(out[:-step], out[step:])
         step *= 2
     if step < width:
-        out = choose(out[: len(x) - width + 1], out[width - step :])
+        out = np.minimum(out[: len(x) - width + 1], out[width - step :])
     return out
 
 
 def anchors(raw: np.ndarray, length: int, size: int = GRAM):
-    """(positions, hashes) of the anchored grams.
+    """(hashes of 48 bits, first, end) of the anchors and of the bytes that they stand for.
 
-    In every run of ``length`` bytes the gram of least hash is an anchor (all
-    of them, if several are equal), so equal runs have equal anchors at equal
-    places. Fewer bytes than ``length`` have none.
+    The anchor of a run of ``length`` bytes is its gram of least hash, the
+    leftmost of equal ones, so equal runs have equal anchors at the same place
+    within them. ``raw[first:end]`` is the union of the runs that have an
+    occurrence as their anchor. Fewer bytes than ``length`` have none.
     """
-    if len(raw) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    hashes = gram_hashes(raw, size)
-    window = length - size + 1
-    least = sliding(hashes, window, np.minimum)
-    # A gram is an anchor if some window that covers it has it as its least.
-    edge = np.zeros(window - 1, np.uint64)
-    covering = sliding(np.concatenate([edge, least, edge]), window, np.maximum)
-    at = np.flatnonzero(hashes == covering)
-    return at, hashes[at]
+    out = []
+    for at in range(0, max(len(raw) - length + 1, 0), SECTION):
+        part = raw[at : at + SECTION + length - 1]
+        hashes = gram_hashes(part, size)
+        places = np.arange(len(hashes), dtype=np.uint64)
+        low = np.uint64((1 << POSITION_BITS) - 1)
+        least = sliding_minimum((hashes & ~low) | places, length - size + 1)
+        place = (least & low).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        last = np.append(first[1:], len(place)) - 1
+        out.append(((hashes[place[first]] >> SPARE).astype(np.int64), first + at, last + length + at))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))

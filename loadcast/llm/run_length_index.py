@@ -14,6 +14,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Symbols that the first sort compares: 9 bits each in 63.
 FIRST = 7
@@ -29,22 +31,33 @@ def packed(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def ranked(keys: np.ndarray):
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-    return order, rank
-
-
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Positions in the order of their suffixes, by prefix doubling."""
-    n, width = len(symbols), FIRST
-    order, rank = ranked(packed(symbols))
-    while n and rank[order[-1]] < n - 1 and width < n:
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] + 1
-        order, rank = ranked(rank * (n + 1) + after)
+    """Positions in the order of their suffixes, by prefix doubling.
+
+    Each round sorts only the positions whose rank others share.
+    """
+    n = len(symbols)
+    keys = packed(symbols)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    rank = np.empty(n + 1, np.int64)  # the row at which a group of equal prefixes begins
+    rank[order], rank[n] = first, -1
+    width = FIRST
+    # Rows of groups with more than one position.
+    rows = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+    while len(rows):
+        at = order[rows]
+        after = rank[np.minimum(at + width, n)]
+        group = rank[at]
+        inner = np.argsort(group * (n + 1) + after)
+        at, after, group = at[inner], after[inner], group[inner]
+        order[rows] = at
+        fresh = np.concatenate([[True], (after[1:] != after[:-1]) | (group[1:] != group[:-1])])
+        first = np.maximum.accumulate(np.where(fresh, rows, 0))
+        rank[at] = first
+        rows = rows[~(fresh & np.append(fresh[1:], True))]
         width *= 2
     return order
 
@@ -62,10 +75,11 @@ class RunLengthIndex:
     @classmethod
     def build(cls, symbols: np.ndarray, order: np.ndarray) -> RunLengthIndex:
         transform = symbols[order - 1]  # cyclic: the last symbol stands in front of the first
-        heads = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1]]))
+        head = np.concatenate([[True], transform[1:] != transform[:-1]])
         # The suffix at the text's start has no symbol before it, so it and the row below are samples too.
         start = int(np.flatnonzero(order == 0)[0])
-        heads = np.union1d(heads, [k for k in (start, start + 1) if k < len(order)]).astype(np.int64)
+        head[start : start + 2] = True
+        heads = np.flatnonzero(head)
         return cls(len(order), heads, transform[heads], order[heads], order[heads - 1])
 
     def statistics(self, symbols: np.ndarray) -> np.ndarray:
@@ -96,29 +110,34 @@ def agreement(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def joined(pieces: list[bytes]):
-    """The pieces as one text of symbols (byte + 1), each closed by 0; also each piece's start."""
-    sizes = np.array([len(p) for p in pieces], np.int64)
+def joined(pieces: pa.Array):
+    """The pieces as one text of symbols (byte + 1), each closed by 0; also starts and sizes."""
+    sizes = pc.binary_length(pieces).to_numpy().astype(np.int64)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     symbols = np.zeros(int(sizes.sum()) + len(pieces), np.uint16)
     body = np.ones(len(symbols), bool)
     body[starts + sizes] = False
-    symbols[body] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint16) + 1
+    flat = np.frombuffer(b"".join(pieces.to_pylist()), np.uint8)
+    symbols[body] = flat.astype(np.uint16) + np.uint16(1)
     return symbols, starts, sizes
 
 
-def matched_starts(pieces: list[bytes], owners: np.ndarray, length: int):
-    """(symbols' flags, starts): where ``length`` bytes begin that a piece of a smaller owner holds too."""
+def matched_spans(pieces: pa.Array, owners: np.ndarray, length: int):
+    """(piece, first, end) of the maximal runs of starts at which ``length`` bytes begin that a
+    piece of a smaller owner holds too; ``end`` is where the last of them ends."""
     symbols, starts, sizes = joined(pieces)
     order = suffix_order(symbols)
     agree = RunLengthIndex.build(symbols, order).statistics(symbols)[order]
     piece = np.repeat(np.arange(len(pieces)), sizes + 1)
-    inside = np.arange(len(symbols)) - starts[piece] + length <= sizes[piece]
-    owner = owners[piece][order]
     fresh = agree < length
     fresh[0] = True
-    group = np.cumsum(fresh) - 1
-    least = np.minimum.reduceat(owner, np.flatnonzero(fresh))
-    flags = np.zeros(len(symbols), bool)
-    flags[order] = least[group] < owner
-    return flags & inside, starts
+    owner = owners[piece]
+    owner_rows = owner[order]
+    least = np.minimum.reduceat(owner_rows, np.flatnonzero(fresh))
+    flags = np.zeros(len(symbols) + 2, np.int8)
+    flags[order + 1] = least[np.cumsum(fresh) - 1] < owner_rows
+    inside = np.arange(len(symbols)) - starts[piece] + length <= sizes[piece]
+    flags[1:-1] &= inside
+    edges = np.diff(flags)
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+    return piece[first], first - starts[piece[first]], last - starts[piece[last]] + length

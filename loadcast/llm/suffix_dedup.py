@@ -29,8 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from loadcast.llm.anchors import GRAM, anchors
-from loadcast.llm.run_length_index import matched_starts
+from loadcast.llm.anchors import anchors
+from loadcast.llm.run_length_index import matched_spans
+from loadcast.llm.text import ragged_take
 from loadcast.llm.workers import map_arrow
 
 LENGTH = 50
@@ -39,12 +40,6 @@ LENGTH = 50
 BLOCK = 2 << 20
 
 
-def spans_of(flags: np.ndarray, length: int):
-    """(first, end) of the runs of flagged starts, each reaching ``length`` bytes on."""
-    edges = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1 + length
-
-
 def merged(spans) -> list[tuple[int, int]]:
     """Overlapping and touching spans as one, ascending."""
     out: list[list[int]] = []
@@ -57,78 +52,70 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def match_pieces(batches, length: int = LENGTH, block: int = BLOCK):
-    """Spans from rows (anchor, piece, id, th, at) sorted by all of them."""
-    names = ["id", "th", "first", "end"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-
-    def record(ids, th, first, end):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, th, first, end), types, strict=True)], names)
-
-    pending: list[tuple] = []   # (anchor, piece, id, th, at) of each piece's owner
-    held = 0
-    last_anchor = last_piece = owner = None
-
-    def index(rows):
-        """Spans of the owners' pieces; anchors whose pieces have one owner have nothing to compare."""
-        owners: dict[int, set] = {}
-        for anchor, _, key, _, _ in rows:
-            owners.setdefault(anchor, set()).add(key)
-        rows = [r for r in rows if len(owners[r[0]]) > 1]
-        pieces: dict[bytes, int] = {}
-        for _, piece, key, _, _ in rows:
-            pieces[piece] = min(key, pieces.get(piece, key))
-        if not pieces:
-            return
-        texts = list(pieces)
-        flags, starts = matched_starts(texts, np.array(list(pieces.values()), np.int64), length)
-        found = {}
-        for text, start in zip(texts, starts.tolist(), strict=True):
-            own = flags[start : start + len(text)]
-            if own.any():
-                found[text] = [x.tolist() for x in spans_of(own, length)]
-        out = [[], [], [], []]
-        for _, piece, key, th, at in rows:
-            if piece in found:
-                first, end = found[piece]
-                out[0] += [key] * len(first)
-                out[1] += [th] * len(first)
-                out[2] += [at + x for x in first]
-                out[3] += [at + x for x in end]
-        if out[0]:
-            yield record(*out)
+    """Spans (id, th, first, end) from rows (anchor, piece, id, th, at) sorted by all of them.
+
+    A piece's owner is its first, smallest id. Later ids lose the whole piece
+    at once and are forgotten; what is kept of an anchor are its different
+    pieces. Anchors whose pieces have several owners are indexed in blocks.
+    """
+    left = None  # the owners' rows of the last anchor, which may go on
+    done, held = [], 0
+
+    def index(tables):
+        table = pa.concat_tables(tables).combine_chunks()
+        pieces = table.column("piece").combine_chunks()
+        anchor, ids = table.column("anchor").to_numpy(), table.column("id").to_numpy()
+        code = pieces.dictionary_encode().indices.to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (anchor[1:] != anchor[:-1])]))
+        counts = np.diff(np.append(heads, len(code)))
+        piece, first, end = matched_spans(pieces.take(pa.array(heads)), ids[heads], length)
+        # An owner that holds its piece at several places loses the spans at each.
+        rows, n = ragged_take(np.arange(len(code)), heads, counts, piece)
+        at = table.column("at").to_numpy()[rows]
+        return spans(ids[rows], table.column("th").to_numpy()[rows], at + np.repeat(first, n), at + np.repeat(end, n))
 
     for batch in batches:
-        anchor = batch.column(0).to_numpy()
-        pieces = batch.column(1)
-        ids, th, at = (batch.column(k).to_numpy() for k in (2, 3, 4))
-        n = len(anchor)
-        if not n:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
             continue
+        if left is not None:
+            table = pa.concat_tables([left, table])
+        pieces = table.column("piece").combine_chunks()
+        anchor, ids = table.column("anchor").to_numpy(), table.column("id").to_numpy()
         code = pieces.dictionary_encode().indices.to_numpy()
-        new = np.ones(n, bool)
-        new[1:] = (code[1:] != code[:-1]) | (anchor[1:] != anchor[:-1])
-        new[0] = anchor[0] != last_anchor or pieces[0].as_py() != last_piece
-        heads = np.flatnonzero(new)
-        piece_owner = np.empty(n, np.int64)
-        if len(heads):
-            piece_owner[heads[0]:] = np.repeat(ids[heads], np.diff(np.append(heads, n)))
-        if not new[0]:
-            piece_owner[: heads[0] if len(heads) else n] = owner
         sizes = pc.binary_length(pieces).to_numpy()
-        lost = (ids > piece_owner) & (sizes >= length)
-        if lost.any():
-            yield record(ids[lost], th[lost], at[lost], at[lost] + sizes[lost])
-        mine = np.flatnonzero(ids == piece_owner)
-        texts = pieces.take(pa.array(mine)).to_pylist()
-        pending += zip(anchor[mine].tolist(), texts, ids[mine].tolist(), th[mine].tolist(), at[mine].tolist(), strict=True)
-        held += int(sizes[mine].sum())
-        last_anchor, last_piece, owner = int(anchor[-1]), pieces[n - 1].as_py(), int(piece_owner[-1])
+        new = np.concatenate([[True], (code[1:] != code[:-1]) | (anchor[1:] != anchor[:-1])])
+        heads = np.flatnonzero(new)
+        owner = np.repeat(ids[heads], np.diff(np.append(heads, len(ids))))
+        lost = np.flatnonzero(ids > owner)
+        if len(lost):
+            at = table.column("at").to_numpy()[lost]
+            yield spans(ids[lost], table.column("th").to_numpy()[lost], at, at + sizes[lost])
+        mine = ids == owner
+        # Anchors with more than one owner, told from the first and last rows of each.
+        groups = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        several = np.minimum.reduceat(owner, groups) < np.maximum.reduceat(owner, groups)
+        several = np.repeat(several, np.diff(np.append(groups, len(ids))))
+        open_end = anchor == anchor[-1]
+        left = table.take(pa.array(np.flatnonzero(mine & open_end)))
+        keep = np.flatnonzero(mine & several & ~open_end)
+        if len(keep):
+            done.append(table.take(pa.array(keep)))
+            held += int(sizes[keep].sum())
         if held >= block:
-            done = [r for r in pending if r[0] != last_anchor]
-            yield from index(done)
-            pending = [r for r in pending if r[0] == last_anchor]
-            held = sum(len(r[1]) for r in pending)
-    yield from index(pending)
+            yield index(done)
+            done, held = [], 0
+    if left is not None:
+        last = left.column("id").to_numpy()
+        if last.min() < last.max():
+            done.append(left)
+    if done:
+        yield index(done)
+
+
+def spans(ids, th, first, end) -> pa.RecordBatch:
+    columns = [pa.array(ids, pa.int64()), *(pa.array(c.astype(np.int32), pa.int32()) for c in (th, first, end))]
+    return pa.RecordBatch.from_arrays(columns, ["id", "th", "first", "end"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -148,11 +135,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     able = rows.where(fit)
     known = able.select("id", F.hash("raw").alias("th"), F.md5("raw").alias("same"))
     firsts = known.groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = (known.join(firsts, "same").where(F.col("id") > F.col("first"))
-              .groupBy("id").agg(F.collect_set("th").alias("copies")))
-    base = (able.join(copies, "id", "left")
-            .select("id", "raw", F.hash("raw").alias("th"),
-                    F.coalesce(F.array_contains("copies", F.hash("raw")), F.lit(False)).alias("copy")))
+    # What is known of an id beforehand: which of its texts are copies, and whether it has several.
+    copy = F.when(F.col("id") > F.col("first"), F.col("th"))
+    told = (known.join(firsts, "same", "left").groupBy("id")
+            .agg(F.collect_set(copy).alias("copies"), (F.min("th") < F.max("th")).alias("several"))
+            .where((F.size("copies") > 0) | F.col("several")))
+    th = F.hash("raw")
+    base = (able.join(told, "id", "left")
+            .select("id", "raw", F.when(F.col("several"), th).otherwise(F.lit(0)).alias("th"),
+                    F.coalesce(F.array_contains("copies", th), F.lit(False)).alias("copy")))
     single = base.where(~F.col("copy"))
 
     def anchor_rows(batches):
@@ -160,10 +151,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for at in range(0, batch.num_rows, 500):
                 ids, found = [], []
                 for key, raw in zip(batch.column(0)[at : at + 500].to_pylist(), batch.column(1)[at : at + 500], strict=True):
-                    own = np.unique(anchors(np.frombuffer(raw.as_buffer(), np.uint8), length)[1])
+                    own = np.unique(anchors(np.frombuffer(raw.as_buffer(), np.uint8), length)[0])
                     ids.append(np.full(len(own), key, np.int64))
                     found.append(own)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))],
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))],
                                                  ["anchor", "id"])
 
     held = map_arrow(single.select("id", "raw"), anchor_rows, "anchor long, id long")
@@ -171,8 +162,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = (held.select("anchor", "id", F.min("id").over(over).alias("low"), F.max("id").over(over).alias("high"))
               .where("low < high").groupBy("id").agg(F.collect_set("anchor").alias("shared")))
 
-    reach = length - GRAM
-
     def piece_rows(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
@@ -180,15 +169,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out = [[], [], [], [], []]
                 for key, raw, th, mine in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(),
                                               part.column(3), strict=True):
-                    places, hashes = anchors(np.frombuffer(raw, np.uint8), length)
-                    hashes = hashes.view(np.int64)
+                    hashes, first, end = anchors(np.frombuffer(raw, np.uint8), length)
                     keep = np.isin(hashes, mine.values.to_numpy())
-                    places, hashes = places[keep], hashes[keep]
-                    first = np.maximum(places - reach, 0).tolist()
-                    out[0].append(hashes)
-                    out[1] += [raw[a:b] for a, b in zip(first, (places + length).tolist(), strict=True)]
-                    out[2].append(np.full(len(places), key, np.int64))
-                    out[3].append(np.full(len(places), th, np.int32))
+                    first = first[keep].tolist()
+                    out[0].append(hashes[keep])
+                    out[1] += [raw[a:b] for a, b in zip(first, end[keep].tolist(), strict=True)]
+                    out[2].append(np.full(len(first), key, np.int64))
+                    out[3].append(np.full(len(first), th, np.int32))
                     out[4] += first
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), pa.array(np.concatenate(out[2])),
