@@ -76,15 +76,15 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int | None = N
     choose a radius at which a document has few different neighbours.
     """
     blocks = blocks or radius + 2
-    each = distinct = prints.select("fingerprint").where("fingerprint is not null").distinct()
+    distinct = prints.select("fingerprint").where("fingerprint is not null").distinct()
     edges = [bits * k // blocks for k in range(blocks + 1)]
     text = F.concat(*(F.lpad(F.conv(F.hex(F.substring("fingerprint", k + 1, 4)), 16, 2), 32, "0")
                       for k in range(0, bits // 8, 4)))
-    each = distinct.withColumn("bits", text)
+    spelled = distinct.withColumn("bits", text)
     choices = list(combinations(range(blocks), blocks - radius))
     part = [F.substring("bits", edges[k] + 1, edges[k + 1] - edges[k]) for k in range(blocks)]
     tables = F.array(*(F.concat(F.lit(f"{n}:"), *(part[k] for k in c)) for n, c in enumerate(choices)))
-    rows = each.select("fingerprint", "bits", F.posexplode(tables).alias("n", "block"))
+    rows = spelled.select("fingerprint", "bits", F.posexplode(tables).alias("n", "block"))
     a, b = rows.alias("a"), rows.alias("b")
     words = [F.bit_count(F.conv(F.substring("a.bits", k + 1, 32), 2, 10).cast("long").bitwiseXOR(
         F.conv(F.substring("b.bits", k + 1, 32), 2, 10).cast("long"))) for k in range(0, bits, 32)]
