@@ -9,9 +9,12 @@ as many rows of the region are thrown as fill all coordinates, about
 ``k ln k`` darts for a signature of ``k``, however many shingles there are.
 
 Equal texts are one class from the start. Within a bucket of equal bands each
-member is linked to the bucket's smallest id only, after an exact check of
-the similarity; members that fail form the bucket of a next round with the
-smallest of them, until no bucket has two. Links are joined to classes.
+member is held against the bucket's smallest id by an exact check of the
+similarity, which settles copies and near copies without pairs among them.
+Members that fail are compared within their bucket by their signatures, in
+blocks of bounded size; only pairs that may reach the similarity, and that
+no link has joined yet, are listed and checked exactly. Links are joined to
+classes.
 """
 
 from __future__ import annotations
@@ -34,8 +37,15 @@ SIMILARITY = 0.8
 #: A pair at similarity 0.8 shares a band with probability 0.9993, one at 0.5 with 0.31.
 BANDS, ROWS = 24, 6
 
-#: Poisson(1) distribution: the number of darts in a unit of area.
-DARTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(12)])
+#: Standard deviations below the wanted similarity at which an estimate rules a pair out; a pair
+#: just at it is ruled out wrongly with probability 0.00003.
+MARGIN = 4.0
+
+#: Members of a bucket that are compared at once.
+BLOCK = 1000
+
+#: Poisson(1) distribution, as 64-bit thresholds: the number of darts in a unit of area.
+DARTS = np.array([int(2**64 * p) for p in np.cumsum([math.exp(-1) / math.factorial(n) for n in range(12)])], np.uint64)
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,24 +61,28 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int, seed: int
     whole = bool((width >= 1.0).all())
     signature = np.zeros(k, np.uint64)
     empty = np.ones(k, bool)
-    low, high = 0, max(1, math.ceil(k * (math.log(k) + 2) / total))
+    low, high = 0, max(1, math.ceil(k * (math.log(k) + 1.5) / total))
     while True:
         heights = np.repeat(np.arange(low, high, dtype=np.uint64), len(base))
-        cell = mix(np.tile(base, high - low) + heights * GOLD)
-        n = np.searchsorted(DARTS, uniform(cell), side="right")
+        cell = mix(np.tile(base, high - low) + heights * GOLD) if high > 1 else mix(base)
+        n = np.searchsorted(DARTS, cell, side="right")
         at = np.repeat(np.arange(len(cell)), n)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        dart = mix(cell[at] + (nth.astype(np.uint64) + np.uint64(1)) * GOLD)
+        nth = np.arange(1, len(at) + 1) - np.repeat(np.cumsum(n) - n, n)
+        dart = mix(cell[at] + nth.astype(np.uint64) * GOLD)
         height = heights[at] + uniform(dart)
-        coordinate = (mix(dart + GOLD) % np.uint64(k)).astype(np.int64)
+        coordinate = (mix(dart + GOLD) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
         if not whole:
             inside = uniform(mix(dart ^ GOLD)) < width[at % len(base)]
             dart, height, coordinate = dart[inside], height[inside], coordinate[inside]
-        order = np.argsort(height, kind="stable")
-        hit, first = np.unique(coordinate[order], return_index=True)
-        new = empty[hit]
-        signature[hit[new]] = dart[order][first[new]]
-        empty[hit] = False
+        # From the highest to the lowest, so that the earliest dart of a coordinate stays.
+        order = np.argsort(-height)
+        hit = np.zeros(k, bool)
+        hit[coordinate] = True
+        lowest = np.zeros(k, np.uint64)
+        lowest[coordinate[order]] = dart[order]
+        new = empty & hit
+        signature[new] = lowest[new]
+        empty &= ~hit
         if not empty.any():
             return signature
         low, high = high, high + max(1, (high - low + 1) // 2)
@@ -112,20 +126,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in batch.column(1).to_pylist():
                 words = known.of(text or "")
                 if not len(words):
-                    out.append((None, None))
+                    out.append((None, None, None))
                     continue
                 found, weights = weighted_shingles(words, size, counted)
-                keys = band_keys(dart_signature(found, weights, bands * rows), bands, rows)
-                out.append((xxhash.xxh3_128_digest(words.tobytes()), keys))
-            same, keys = zip(*out, strict=True) if out else ([], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                                             ["id", "same", "bands"])
+                signature = dart_signature(found, weights, bands * rows)
+                out.append((xxhash.xxh3_128_digest(words.tobytes()), band_keys(signature, bands, rows),
+                            (signature >> np.uint64(8)).astype(np.uint8).tobytes()))
+            same, keys, bytes_ = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                                              pa.array(bytes_, pa.binary())], ["id", "same", "bands", "signature"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = written(map_arrow(texts, sketch, "id long, same binary, bands array<long>"), "sketches")
+    sketches = written(map_arrow(texts, sketch, "id long, same binary, bands array<long>, signature binary"), "sketches")
     with_words = sketches.where("id is not null and same is not null")
-    firsts = written(with_words.groupBy("same").agg(F.min(F.struct("id", "bands")).alias("first"))
-                     .select("same", "first.id", "first.bands"), "firsts")
+    firsts = written(with_words.groupBy("same").agg(F.min(F.struct("id", "bands", "signature")).alias("first"))
+                     .select("same", "first.*"), "firsts")
     links = near_links(texts, firsts, size, similarity, counted)
     # A text's first id may be that of other rows too, when ids repeat: their texts share a class.
     again = (with_words.join(firsts.select("same", F.col("id").alias("b")), "same").where("id <> b")
@@ -147,12 +162,46 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return rows.unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def screen(batches, least: float):
+    """Pairs (id, lead) whose signatures agree in a share of at least ``least`` of their bytes.
+
+    Rows (band, i, j, first, id, signature) come sorted; a group of one (band,
+    i, j) holds the bucket's blocks i and j, ``first`` telling block i's rows.
+    """
+    def pairs(rows):
+        ids = np.array([r[1] for r in rows])
+        signatures = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        first = np.array([r[0] for r in rows], bool)
+        whole = first.all()  # one block with itself
+        other = np.arange(len(rows)) if whole else np.flatnonzero(~first)
+        for at in range(0, len(rows), 64):
+            some = np.arange(at, min(at + 64, len(rows)))
+            some = some[first[some]]
+            if not len(some) or not len(other):
+                continue
+            agree = (signatures[some][:, None, :] == signatures[other][None, :, :]).mean(axis=2)
+            x, y = np.nonzero(agree >= least)
+            x, y = some[x], other[y]
+            keep = (x < y) if whole else (ids[x] != ids[y])
+            a, b = ids[x[keep]], ids[y[keep]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["id", "lead"])
+
+    group, rows = None, []
+    for batch in batches:
+        for *own, first, key, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != group:
+                yield from pairs(rows) if rows else ()
+                group, rows = own, []
+            rows.append((first, key, signature))
+    yield from pairs(rows) if rows else ()
+
+
 def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float, counted: bool) -> DataFrame:
-    """Verified links (a, b) between the different texts' first documents (id, bands)."""
+    """Verified links (a, b) between the different texts' first documents (id, bands, signature)."""
     banded = firsts.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(banded.join(shared.select("band", "lead"), "band").where("id <> lead"), "members")
-    everyone = members.select("id").unionByName(members.select(F.col("lead").alias("id"))).distinct()
+    shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = written(banded.join(shared, "band"), "members")
 
     def sets(batches):
         known = WordHashes()
@@ -163,7 +212,8 @@ def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float
                  pa.array([w.astype(np.float32).tobytes() if counted else None for _, w in found], pa.binary())],
                 ["id", "s", "w"])
 
-    wanted = texts.join(everyone, "id", "left_semi").dropna()
+    # The number of documents in buckets has no bound, so they are not broadcast to the texts.
+    wanted = texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi").dropna()
     found = written(map_arrow(wanted, sets, "id long, s binary, w binary").dropDuplicates(["id"]), "shingles")
 
     def verify(batches):
@@ -174,19 +224,35 @@ def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float
                 wa = np.frombuffer(w, np.float32) if counted else np.ones(len(a))
                 wb = np.frombuffer(w2, np.float32) if counted else np.ones(len(b))
                 ok.append(jaccard(a, wa, b, wb) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["id", "lead", "ok"])
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    links = None
-    while True:
-        pairs = members.select("id", "lead").distinct()
-        checked = pairs.join(found, "id").join(
+    def checked(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(found, "id").join(
             found.select(F.col("id").alias("lead"), F.col("s").alias("s2"), F.col("w").alias("w2")), "lead")
-        checked = written(map_arrow(checked.select("id", "lead", "s", "w", "s2", "w2"), verify,
-                                    "id long, lead long, ok boolean"), "checked")
-        good = checked.where("ok").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-        links = good if links is None else links.unionByName(good)
-        left = members.join(checked.where("not ok"), ["id", "lead"], "left_semi").select("band", "id")
-        shared = left.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = written(left.join(shared.select("band", "lead"), "band").where("id <> lead"), "members")
-        if members.isEmpty():
-            return links
+        return written(map_arrow(sides.select("id", "lead", "s", "w", "s2", "w2"), verify, "id long, lead long"), "links")
+
+    ends = [F.col("id").alias("a"), F.col("lead").alias("b")]
+    links = checked(members.where("id <> lead").select("id", "lead").distinct())
+    left = members.where("id <> lead").join(links, ["id", "lead"], "left_anti").select("band", "id")
+    several = left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Blocks of a bucket: each pair of blocks is a group of its own.
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    left = written(left.join(several, "band").join(firsts.select("id", "signature"), "id")
+                   .select("band", "id", "signature", blocks.alias("blocks")).withColumn("block", block), "left")
+    if left.isEmpty():
+        return links.select(*ends)
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    groups = (left.select("band", "id", "signature", "block", F.explode(others).alias("other"))
+              .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                      (F.col("block") <= F.col("other")).alias("first"), "id", "signature"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "first", "id")
+    coordinates = left.select(F.length("signature").alias("k")).first()["k"]
+    least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / coordinates)
+    pairs = map_arrow(groups, lambda batches: screen(batches, least), "id long, lead long").distinct()
+    classes = written(components(links.select(*ends)), "classes")
+    pairs = (pairs.join(classes.select(F.col("node").alias("id"), F.col("root").alias("r1")), "id", "left")
+             .join(classes.select(F.col("node").alias("lead"), F.col("root").alias("r2")), "lead", "left")
+             .where(~F.coalesce(F.col("r1") == F.col("r2"), F.lit(False))).select("id", "lead"))
+    return links.unionByName(checked(pairs)).select(*ends)

@@ -77,8 +77,8 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     width = min(size, n)
     out = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[k : n - width + 1 + k])
-    return out
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : n - width + 1 + k]
+    return mix(out)
 
 
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picks: np.ndarray):
@@ -97,7 +97,7 @@ class ChunkTable(dict):
     starts anew once it holds ``limit`` chunks.
     """
 
-    def __init__(self, encode, limit: int = 700_000):
+    def __init__(self, encode, limit: int = 500_000):
         super().__init__()
         self.encode, self.limit = encode, limit
         self.reset()
@@ -130,17 +130,17 @@ class ChunkTable(dict):
 
 
 #: Bytes of text whose chunks are looked up together.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 
-def groups(texts: pa.Array):
-    """Slices of a text column of about GROUP_BYTES, null texts as empty."""
+def groups(texts: pa.Array, size: int = GROUP_BYTES):
+    """Slices of a text column of about ``size`` bytes, null texts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = pc.binary_length(texts).to_numpy()
     at, held = 0, 0
-    for k, size in enumerate(sizes):
-        held += int(size)
-        if held >= GROUP_BYTES:
+    for k, own in enumerate(sizes):
+        held += int(own)
+        if held >= size:
             yield texts[at : k + 1]
             at, held = k + 1, 0
     if at < len(texts):
