@@ -91,8 +91,10 @@ def test_near_classes_equal_brute_force(spark):
     assert minhash.near_classes(nothing(spark)).count() == 0
 
 
-def test_buckets_of_unlike_members_lose_no_link(spark):
+@pytest.mark.parametrize("block", [7, 1000])
+def test_buckets_of_unlike_members_lose_no_link(spark, monkeypatch, block):
     """Documents that share a core but are unlike each other, with like pairs among them."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rnd = random.Random(5)
     core = words(rnd, 60, 9000)
     rows = []
@@ -202,13 +204,14 @@ def test_blocks_and_batches_do_not_change_the_spans():
     rows = []
     for key in range(40):
         for _ in range(rnd.randrange(1, 6)):
-            rows.append((rnd.randrange(6), bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(3, 12))), key, 0, rnd.randrange(50)))
+            piece = bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(3, 12)))
+            rows.append((rnd.randrange(6), piece, key, 0, rnd.randrange(50), len(piece)))
     rows = sorted(set(rows))
 
     def run(size, block):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*rows[i : i + size], strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
-            ["anchor", "piece", "id", "th", "at"]) for i in range(0, len(rows), size)]
+            zip(*rows[i : i + size], strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)],
+            ["anchor", "piece", "id", "th", "at", "size"]) for i in range(0, len(rows), size)]
         covered = defaultdict(set)
         for out in suffix_dedup.match_pieces(batches, 4, block):
             for k, _, a, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
