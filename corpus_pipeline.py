@@ -33,11 +33,11 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose strings of 50 bytes that an earlier document holds; documents that lose all go."""
-    named = docs.where("doc_id is not null")
-    cut = suffix_dedup.remove_repeats(named).where("n_removed = 0 or n_removed < n_bytes")
-    rest = named.select("doc_id", *(F.col(c) for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
-    cut = cut.select("doc_id", F.col("kept_text").alias("text"), F.length("kept_text").cast("long").alias("n_chars"))
-    return rest.join(cut, "doc_id").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    others = {c: f"x{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    named = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(x) for c, x in others.items()))
+    cut = suffix_dedup.remove_repeats(named, carry=tuple(others.values())).where("n_removed = 0 or n_removed < n_bytes")
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return cut.select(*(made[c] if c in made else F.col(others[c]) for c in docs.columns)).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ so only anchors that two documents hold can lie in a match:
    document alone are dropped.
 3. Around each remaining anchor, the bytes that a match through it can reach are
    dealt out by the anchor. Equal surroundings are one piece, owned by the smallest
-   id; every other holder of the piece loses it. The different pieces of
+   id; every other holder of the piece loses it. That is settled within each task
+   first, so a passage of very many documents is dealt out once a task. The different pieces of
    neighbouring anchors form a block of bounded size, whose run-length index
    gives the matching statistics and the long matches.
 4. The matched spans return to their documents.
@@ -29,15 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from loadcast.llm.anchors import anchors
+from loadcast.llm.anchors import SPARE, anchors
 from loadcast.llm.run_length_index import matched_spans
-from loadcast.llm.text import ragged_take
+from loadcast.llm.text import mix, ragged_take
 from loadcast.llm.workers import map_arrow
 
 LENGTH = 50
 
 #: Bytes of pieces that are indexed together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -52,7 +53,9 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def match_pieces(batches, length: int = LENGTH, block: int = BLOCK):
-    """Spans (id, th, first, end) from rows (anchor, piece, id, th, at) sorted by all of them.
+    """Spans (id, th, first, end) from rows (anchor, piece, id, th, at, size) sorted by all of them.
+
+    A row without a piece is a span that a smaller id is known to hold.
 
     A piece's owner is its first, smallest id. Later ids lose the whole piece
     at once and are forgotten; what is kept of an anchor are its different
@@ -75,7 +78,11 @@ def match_pieces(batches, length: int = LENGTH, block: int = BLOCK):
         return spans(ids[rows], table.column("th").to_numpy()[rows], at + np.repeat(first, n), at + np.repeat(end, n))
 
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        known = batch.filter(pc.is_null(batch.column(1)))
+        if known.num_rows:
+            ids, th, at, size = (known.column(k).to_numpy() for k in (2, 3, 4, 5))
+            yield spans(ids, th, at, at + size)
+        table = pa.Table.from_batches([batch.filter(pc.is_valid(batch.column(1)))])
         if not table.num_rows:
             continue
         if left is not None:
@@ -118,10 +125,13 @@ def spans(ids, th, first, end) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["id", "th", "first", "end"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, kept binary, kept_text, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     ``kept_text`` are the kept bytes without characters of which a part was removed.
+    The columns named by ``carry`` come along; of rows with the same id and text the
+    smallest one's. They meet the texts where these are already dealt out by id.
 
     A null text counts as empty; texts shorter than ``length`` bytes keep all.
     Strings are judged on the input. Rows with the same id do not remove from
@@ -164,25 +174,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def piece_rows(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                out = [[], [], [], [], []]
-                for key, raw, th, mine in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(),
-                                              part.column(3), strict=True):
-                    hashes, first, end = anchors(np.frombuffer(raw, np.uint8), length)
-                    keep = np.isin(hashes, mine.values.to_numpy())
-                    first = first[keep].tolist()
-                    out[0].append(hashes[keep])
-                    out[1] += [raw[a:b] for a, b in zip(first, end[keep].tolist(), strict=True)]
-                    out[2].append(np.full(len(first), key, np.int64))
-                    out[3].append(np.full(len(first), th, np.int32))
-                    out[4] += first
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), pa.array(np.concatenate(out[2])),
-                     pa.array(np.concatenate(out[3])), pa.array(out[4], pa.int32())], ["anchor", "piece", "id", "th", "at"])
+            anchor, first, end, ids, th, pieces = [], [], [], [], [], []
+            for key, raw, text_hash, mine in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), batch.column(3), strict=True):
+                hashes, a, b = anchors(np.frombuffer(raw, np.uint8), length)
+                keep = np.flatnonzero(np.isin(hashes, mine.values.to_numpy()))
+                anchor.append(hashes[keep])
+                first.append(a[keep])
+                end.append(b[keep])
+                ids.append(np.full(len(keep), key, np.int64))
+                th.append(np.full(len(keep), text_hash, np.int32))
+                pieces += [raw[i:j] for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True)]
+            anchor, first, end, ids, th = (np.concatenate(c) for c in (anchor, first, end, ids, th))
+            # Of a piece that several of these documents hold, the smallest id's alone is dealt out.
+            code = pa.array(pieces, pa.binary()).dictionary_encode().indices.to_numpy()
+            order = np.lexsort((ids, code))
+            heads = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]])) if len(order) else order
+            owner = np.empty(len(code), np.int64)
+            owner[order] = np.repeat(ids[order][heads], np.diff(np.append(heads, len(order))))
+            lost = ids > owner
+            anchor = np.where(lost, (mix((ids * 4099 + first).view(np.uint64)) >> SPARE).astype(np.int64), anchor)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor), pa.array(pieces, pa.binary(), mask=lost), pa.array(ids), pa.array(th),
+                 pa.array(first.astype(np.int32)), pa.array((end - first).astype(np.int32))],
+                ["anchor", "piece", "id", "th", "at", "size"])
 
     pieces = map_arrow(single.join(shared, "id").select("id", "raw", "th", "shared"), piece_rows,
-                       "anchor long, piece binary, id long, th int, at int")
+                       "anchor long, piece binary, id long, th int, at int, size int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor", "piece", "id", "th", "at")
     spans = map_arrow(dealt, lambda batches: match_pieces(batches, length), "id long, th int, first int, end int")
@@ -208,12 +225,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                                         hashlib.sha256(kept).hexdigest()), strict=True):
                         column.append(value)
                 kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))],
-                                                 ["id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), *part.columns[5:]],
+                    ["id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *part.schema.names[5:]])
 
     whole = base.join(spans, "id", "left").select("id", "raw", "th", "copy", "spans")
-    untouched = rows.where(~fit).select("id", "raw", F.lit(0).alias("th"), F.lit(False).alias("copy"),
-                                        F.lit(None).cast("array<struct<th:int,first:int,end:int>>").alias("spans"))
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    key = F.col(id_col).cast("long")
+    there = [F.col(f"c{k}") for k in range(len(carry))]
+    if carry:
+        one = (docs.where(key.isNotNull() & (F.length(body) >= length)).groupBy(key.alias("id"), F.hash(body).alias("h"))
+               .agg(F.min(F.struct(*own)).alias("row")))
+        by_id = one.groupBy("id").agg(F.collect_list(F.struct("h", "row")).alias("rows"))
+        mine = F.filter("rows", lambda x: x["h"] == F.hash("raw"))[0]["row"]
+        whole = whole.join(by_id, "id").select("id", "raw", "th", "copy", "spans", mine.alias("row")).select(
+            "id", "raw", "th", "copy", "spans", "row.*")
+    untouched = docs.select(key.alias("id"), body.alias("raw"), *own).where(~fit).select(
+        "id", "raw", F.lit(0).alias("th"), F.lit(False).alias("copy"),
+        F.lit(None).cast("array<struct<th:int,first:int,end:int>>").alias("spans"), *there)
     whole = whole.unionByName(untouched)
-    return map_arrow(whole, final_rows, "id long, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-                     ).withColumnRenamed("id", id_col)
+
+    schema = "id long, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    kinds = "".join(f", c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    out = map_arrow(whole, final_rows, schema + kinds).withColumnRenamed("id", id_col)
+    return out.withColumnsRenamed({f"c{k}": c for k, c in enumerate(carry)})
