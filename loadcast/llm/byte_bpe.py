@@ -59,7 +59,7 @@ class Vocabulary:
         self.token_lengths = np.array([len(b) for b in by_id], np.int64)
         self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
         self.token_bytes = np.frombuffer(b"".join(by_id), np.uint8)
-        self.table = ChunkTable(self.encode_chunks)
+        self.table = ChunkTable(self.encode_chunks, limit=700_000)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -165,7 +165,7 @@ class Vocabulary:
         after it and a line end stands alone: the parts between blanks are
         looked up with or without a blank. Other texts are cut by CHUNKS.
         """
-        for group in groups(texts):
+        for group in groups(texts, 8 << 20):
             plain = group.to_pylist()
             uneven = {k: t for k, t in enumerate(plain) if UNEVEN.search(t)}
             parts, index, starts = blank_separated(pc.replace_substring(group, "\n", " \n "))
@@ -215,6 +215,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def rows(batches):
         vocab = vocabulary(ranks_path, pattern)
+        try:
+            yield from encoded(vocab, batches)
+        finally:
+            vocab.table.reset()  # the worker may serve other stages next
+
+    def encoded(vocab, batches):
         for batch in batches:
             a, b, c, done = [], [], [], 0
             for ids in vocab.encode(batch.column(1)):

@@ -183,6 +183,12 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 4096, end_id: int
 
     def rows(batches):
         table = word_table(tokenizer_path)
+        try:
+            yield from packed(table, batches)
+        finally:
+            table.reset()  # the worker may serve other stages next
+
+    def packed(table, batches):
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
         keys, ids, held = [], [], 0

@@ -10,13 +10,21 @@ from pyspark.sql import DataFrame
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bounds of what a worker is handed at once; long texts make batches of few rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
 def map_arrow(frame: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with workers that find this package where the driver found it.
+    """``mapInArrow`` in batches of bounded size, with workers that find this package where the driver did.
 
     On a cluster the package is installed or shipped with the job; the path
-    added here then simply does not exist on the executors.
+    added here then simply does not exist on the executors. The batch bounds
+    are set in the session, for they are read when the plan runs.
     """
-    env = frame.sparkSession.sparkContext.environment
+    spark = frame.sparkSession
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+    env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
