@@ -108,8 +108,8 @@ def edited(text: str, follower: str) -> str:
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """Fingerprints of each text, of its edited text and its likeness to both neighbours' prints.
 
-    The next document is the one before it by id (ties by text; null ids come
-    last and after the last the first). Null texts count as empty. Returns
+    The next document is the one before it by id (ties by the text's 64-bit
+    hash; null ids come last and after the last the first). Null texts count as empty. Returns
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint as hex,
     near_edited, near_next), one row per row; a lone document is its own next.
 
@@ -120,10 +120,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("key").desc_nulls_last(), F.col("text")]
+    # Ranges are drawn from a sample of the order's columns at the driver, so texts are not among them.
+    order = [F.col("key").desc_nulls_last(), F.col("th")]
     ranged = (docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-              .repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-              .sortWithinPartitions(*order))
+              .withColumn("th", F.xxhash64("text")).repartitionByRange(parts, *order)
+              .sortWithinPartitions(*order).select("key", "text", F.spark_partition_id().alias("part")))
     fields = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = ["long", "string", "string", "string", "double", "double"]
     schema = ", ".join([f"key {kind}", *(f"{a} {b}" for a, b in zip(fields, types, strict=True))])
