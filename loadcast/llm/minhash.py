@@ -11,10 +11,11 @@ as many rows of the region are thrown as fill all coordinates, about
 Equal texts are one class from the start. Within a bucket of equal bands each
 member is held against the bucket's smallest id by an exact check of the
 similarity, which settles copies and near copies without pairs among them.
-Members that fail are compared within their bucket by their signatures, in
-blocks of bounded size; only pairs that may reach the similarity, and that
-no link has joined yet, are listed and checked exactly. Links are joined to
-classes.
+Members that no chain of links joins to that id are compared with all members
+of their bucket by their signatures, in blocks of bounded size; pairs that may
+reach the similarity, and that no link has joined yet, are listed and checked
+exactly: each member's likest as long as that joins any, then all that are left. Links are joined
+to classes.
 """
 
 from __future__ import annotations
@@ -162,39 +163,79 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return rows.unionByName(docs.where(F.col(id_col).isNull()))
 
 
-def screen(batches, least: float):
-    """Pairs (id, lead) whose signatures agree in a share of at least ``least`` of their bytes.
+def screen(batches, least: float, nearest: bool):
+    """Pairs (id, lead) of different classes whose signatures agree in a share of at least ``least`` of their bytes.
 
-    Rows (band, i, j, first, id, signature) come sorted; a group of one (band,
-    i, j) holds the bucket's blocks i and j, ``first`` telling block i's rows.
+    Rows (band, i, j, first, id, root, signature) come sorted; a group of one
+    (band, i, j) holds the bucket's blocks i and j, ``first`` telling block i's
+    rows. With ``nearest`` each row of a group is paired with its likest only.
     """
     def pairs(rows):
-        ids = np.array([r[1] for r in rows])
-        signatures = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        ids, roots = (np.array([r[k] for r in rows]) for k in (1, 2))
+        signatures = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
         first = np.array([r[0] for r in rows], bool)
         whole = first.all()  # one block with itself
         other = np.arange(len(rows)) if whole else np.flatnonzero(~first)
+        top, likest = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
         for at in range(0, len(rows), 64):
             some = np.arange(at, min(at + 64, len(rows)))
             some = some[first[some]]
             if not len(some) or not len(other):
                 continue
             agree = (signatures[some][:, None, :] == signatures[other][None, :, :]).mean(axis=2)
-            x, y = np.nonzero(agree >= least)
+            agree[(agree < least) | (roots[some][:, None] == roots[other][None, :])] = 0
+            if nearest:
+                for own, others, share in ((some, other, agree), (other, some, agree.T)):
+                    best = share.argmax(axis=1)
+                    most = share[np.arange(len(own)), best]
+                    better = most > top[own]
+                    top[own[better]], likest[own[better]] = most[better], others[best[better]]
+                continue
+            x, y = np.nonzero(agree)
             x, y = some[x], other[y]
             keep = (x < y) if whole else (ids[x] != ids[y])
-            a, b = ids[x[keep]], ids[y[keep]]
+            yield ids[x[keep]], ids[y[keep]]
+        found = np.flatnonzero(top)
+        yield ids[found], ids[likest[found]]
+
+    def listed(rows):
+        for a, b in pairs(rows) if rows else ():
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["id", "lead"])
 
     group, rows = None, []
     for batch in batches:
-        for *own, first, key, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *own, first, key, root, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if own != group:
-                yield from pairs(rows) if rows else ()
+                yield from listed(rows)
                 group, rows = own, []
-            rows.append((first, key, signature))
-    yield from pairs(rows) if rows else ()
+            rows.append((first, key, root, signature))
+    yield from listed(rows)
+
+
+def unlinked(members: DataFrame, firsts: DataFrame, links: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs (id, lead) of a bucket's ``members`` that may reach the similarity and that no chain of ``links`` joins."""
+    classes = written(components(links), "classes")
+    placed = (members.join(classes.withColumnRenamed("node", "id"), "id", "left")
+              .select("band", "id", "lead", F.coalesce("root", "id").alias("root")))
+    heads = placed.where("id = lead").select("band", F.col("root").alias("head"))
+    placed = placed.join(heads, "band").select("band", "id", "root", (F.col("root") == F.col("head")).alias("joined"))
+    mixed = placed.groupBy("band").agg(F.count_if(~F.col("joined")).alias("n"), F.count_if("joined").alias("m")).where("n > 0")
+    # Blocks of a bucket, those of members in the lead's class last; each pair of blocks is a group
+    # of its own. Only pairs of members that are both in the lead's class are not looked at.
+    loose, blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
+    place = F.when(F.col("joined"), loose + F.pmod(F.xxhash64("id"), blocks)).otherwise(F.pmod(F.xxhash64("id"), loose))
+    left = written(placed.join(mixed, "band").join(firsts.select("id", "signature"), "id")
+                   .select("band", "id", "root", "signature", place.cast("int").alias("block"),
+                           F.when(F.col("joined"), loose).otherwise(loose + blocks).alias("others")), "left")
+    groups = (left.select("band", "id", "root", "signature", "block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+              .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                      (F.col("block") <= F.col("other")).alias("first"), "id", "root", "signature"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "first", "id")
+    row = left.select(F.length("signature").alias("k")).first()
+    least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / row["k"]) if row else 1.0
+    return map_arrow(groups, lambda batches: screen(batches, least, nearest), "id long, lead long").distinct()
 
 
 def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float, counted: bool) -> DataFrame:
@@ -232,27 +273,13 @@ def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float
         return written(map_arrow(sides.select("id", "lead", "s", "w", "s2", "w2"), verify, "id long, lead long"), "links")
 
     ends = [F.col("id").alias("a"), F.col("lead").alias("b")]
-    links = checked(members.where("id <> lead").select("id", "lead").distinct())
-    left = members.where("id <> lead").join(links, ["id", "lead"], "left_anti").select("band", "id")
-    several = left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Blocks of a bucket: each pair of blocks is a group of its own.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
-    left = written(left.join(several, "band").join(firsts.select("id", "signature"), "id")
-                   .select("band", "id", "signature", blocks.alias("blocks")).withColumn("block", block), "left")
-    if left.isEmpty():
-        return links.select(*ends)
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    groups = (left.select("band", "id", "signature", "block", F.explode(others).alias("other"))
-              .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                      (F.col("block") <= F.col("other")).alias("first"), "id", "signature"))
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "first", "id")
-    coordinates = left.select(F.length("signature").alias("k")).first()["k"]
-    least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / coordinates)
-    pairs = map_arrow(groups, lambda batches: screen(batches, least), "id long, lead long").distinct()
-    classes = written(components(links.select(*ends)), "classes")
-    pairs = (pairs.join(classes.select(F.col("node").alias("id"), F.col("root").alias("r1")), "id", "left")
-             .join(classes.select(F.col("node").alias("lead"), F.col("root").alias("r2")), "lead", "left")
-             .where(~F.coalesce(F.col("r1") == F.col("r2"), F.lit(False))).select("id", "lead"))
-    return links.unionByName(checked(pairs)).select(*ends)
+    links = checked(members.where("id <> lead").select("id", "lead").distinct()).select(*ends)
+    # Each member's likest as long as that joins any: what is joined makes no pairs when all the others are listed.
+    nearest = True
+    while True:
+        pairs = written(unlinked(members, firsts, links, similarity, nearest), "pairs")
+        more = checked(pairs).select(*ends)
+        links = links.unionByName(more)
+        if not nearest or pairs.isEmpty():
+            return links
+        nearest = not more.isEmpty()

@@ -108,6 +108,42 @@ def test_buckets_of_unlike_members_lose_no_link(spark, monkeypatch, block):
     assert got == exact_classes(rows)
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_chains_through_a_member_that_the_lead_has_joined(spark, monkeypatch, block):
+    """L, A, B with L-A and A-B alike and L-B not; A is nearly L, so that L leads almost all of A's buckets."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rnd = random.Random(11)
+    rows = []
+    for k in range(60):
+        own = words(rnd, 120, 9000).split(" ")
+        near, far = list(own), None
+        near[60] = "edit"  # five of 116 shingles
+        far = list(near)
+        far[18], far[100] = "other", "others"  # ten more: A-B 106/126, L-B 101/131
+        rows += [(3 * k + n, " ".join(t)) for n, t in enumerate((own, near, far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = exact_classes(rows)
+    assert all(want[3 * k + 2] == 3 * k for k in range(60)) and exact_classes([r for r in rows if r[0] % 3 != 1])[2] == 2
+    assert {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()} == want
+
+
+def test_a_screen_of_blocks_lists_every_pair_between_classes():
+    rnd = np.random.default_rng(12)
+    base = rnd.integers(0, 256, 144).astype(np.uint8)
+    prints = [np.where(rnd.random(144) < 0.12, rnd.integers(0, 256, 144), base).astype(np.uint8) for _ in range(90)]
+    roots = [k % 4 for k in range(90)]
+    want = {(a, b) for a in range(90) for b in range(a) if roots[a] != roots[b] and (prints[a] == prints[b]).mean() >= 0.75}
+    for blocks in (1, 3):
+        rows = sorted((7, min(k % blocks, o), max(k % blocks, o), k % blocks <= o, k, roots[k], prints[k].tobytes())
+                      for k in range(90) for o in range(blocks))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                           ["band", "i", "j", "first", "id", "root", "signature"])
+        found = [{p for out in minhash.screen([batch], 0.75, nearest) for p in zip(*out.to_pydict().values(), strict=True)}
+                 for nearest in (False, True)]
+        assert found[0] == want and found[1] <= want and {x for p in found[1] for x in p} == {x for p in want for x in p}
+
+
 def test_one_document_of_each_class_stays(spark):
     docs = awkward(spark)
     kept = minhash.keep_one(docs)
