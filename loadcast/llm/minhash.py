@@ -9,9 +9,9 @@ as many rows of the region are thrown as fill all coordinates, about
 ``k ln k`` darts for a signature of ``k``, however many shingles there are.
 
 Equal texts are one class from the start. Within a bucket of equal bands each
-member is held against the bucket's smallest id by an exact check of the
+member is held against the bucket's first text by an exact check of the
 similarity, which settles copies and near copies without pairs among them.
-Members that no chain of links joins to that id are compared with all members
+Members that no chain of links joins to that text are compared with all members
 of their bucket by their signatures, in blocks of bounded size; pairs that may
 reach the similarity, and that no link has joined yet, are listed and checked
 exactly: each member's likest as long as that joins any, then all that are left. Links are joined
@@ -141,7 +141,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sketches = written(map_arrow(texts, sketch, "id long, same binary, bands array<long>, signature binary"), "sketches")
     with_words = sketches.where("id is not null and same is not null")
     firsts = written(with_words.groupBy("same").agg(F.min(F.struct("id", "bands", "signature")).alias("first"))
-                     .select("same", "first.*"), "firsts")
+                     .select("same", "first.*", F.monotonically_increasing_id().alias("key")), "firsts")
     links = near_links(texts, firsts, size, similarity, counted)
     # A text's first id may be that of other rows too, when ids repeat: their texts share a class.
     again = (with_words.join(firsts.select("same", F.col("id").alias("b")), "same").where("id <> b")
@@ -239,7 +239,12 @@ def unlinked(members: DataFrame, firsts: DataFrame, links: DataFrame, similarity
 
 
 def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float, counted: bool) -> DataFrame:
-    """Verified links (a, b) between the different texts' first documents (id, bands, signature)."""
+    """Verified links (a, b) between the first documents (id, same, key, bands, signature) of the different texts.
+
+    An id may be the first of several texts: up to the links, a text goes by its own key.
+    """
+    keys = firsts.select("id", "same", "key")
+    firsts = firsts.select(F.col("key").alias("id"), "bands", "signature")
     banded = firsts.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = written(banded.join(shared, "band"), "members")
@@ -247,15 +252,19 @@ def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float
     def sets(batches):
         known = WordHashes()
         for batch in batches:
-            found = [weighted_shingles(known.of(t or ""), size, counted) for t in batch.column(1).to_pylist()]
+            words = [known.of(t or "") for t in batch.column(1).to_pylist()]
+            found = [weighted_shingles(w, size, counted) for w in words]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s, _ in found], pa.binary()),
+                [batch.column(0), pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in words], pa.binary()),
+                 pa.array([s.tobytes() for s, _ in found], pa.binary()),
                  pa.array([w.astype(np.float32).tobytes() if counted else None for _, w in found], pa.binary())],
-                ["id", "s", "w"])
+                ["id", "same", "s", "w"])
 
     # The number of documents in buckets has no bound, so they are not broadcast to the texts.
-    wanted = texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi").dropna()
-    found = written(map_arrow(wanted, sets, "id long, s binary, w binary").dropDuplicates(["id"]), "shingles")
+    asked = keys.join(members.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
+    wanted = texts.join(asked.select("id").distinct().hint("merge"), "id", "left_semi").dropna()
+    found = map_arrow(wanted, sets, "id long, same binary, s binary, w binary").dropDuplicates(["id", "same"])
+    found = written(found.join(asked, ["id", "same"]).select(F.col("key").alias("id"), "s", "w"), "shingles")
 
     def verify(batches):
         for batch in batches:
@@ -281,5 +290,7 @@ def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float
         more = checked(pairs).select(*ends)
         links = links.unionByName(more)
         if not nearest or pairs.isEmpty():
-            return links
+            break
         nearest = not more.isEmpty()
+    a, b = (keys.select(F.col("key").alias(k), F.col("id").alias(f"id_{k}")) for k in "ab")
+    return links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))

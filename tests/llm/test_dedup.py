@@ -127,6 +127,18 @@ def test_chains_through_a_member_that_the_lead_has_joined(spark, monkeypatch, bl
     assert {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()} == want
 
 
+def test_every_text_of_a_repeated_id_finds_its_near_copies(spark):
+    rnd = random.Random(13)
+    rows = []
+    for k in range(20):
+        texts = [words(rnd, 80, 9000) for _ in range(3)]
+        rows += [(10 * k, t) for t in texts] + [(10 * k + n + 1, t + " end") for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = exact_classes(rows)
+    assert all(v == k - k % 10 for k, v in want.items())
+    assert {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()} == want
+
+
 def test_a_screen_of_blocks_lists_every_pair_between_classes():
     rnd = np.random.default_rng(12)
     base = rnd.integers(0, 256, 144).astype(np.uint8)
