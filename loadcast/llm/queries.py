@@ -6,7 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadcast.llm import byte_bpe, language, line_dedup, minhash, multi_index, packing, quality, simhash, suffix_dedup, url_filter
+from loadcast.llm import (byte_bpe, conversations, filter_audit, html_text, language, line_dedup, minhash, multi_index, packing, quality,
+                          simhash, suffix_dedup, url_filter)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,31 @@ def op10_language(spark, sf_dir):
         "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous", "runner_up")
 
 
+def damage(rows: DataFrame) -> DataFrame:
+    """Conversations with a tenth of their rows spoilt or more, by crc32(conv_id:turn) % 20; ``present`` is false for dropped rows."""
+    blank = F.lit(" ")
+    role, text = F.coalesce("role", blank), F.coalesce("text", blank)
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    spoilt = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(place.cast("binary")) % 20).alias("kind"))
+    kind = F.col("kind")
+    text = F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1)))
+    return spoilt.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                         (kind != 0).alias("present"), copies.alias("copy")).drop("copy")
+
+
+def op11_conversations(spark, sf_dir):
+    return conversations.repair(damage(table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
+def op12_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_dart_minhash": (op1_dart_minhash, None),
     "op2_multi_index": (op2_multi_index, None),
@@ -78,4 +104,7 @@ QUERIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_url_filter": (op9_url_filter, url_filter.URL_SQL),
     "op10_language": (op10_language, None),
+    "op11_conversations": (op11_conversations, None),
+    "op12_html_text": (op12_html_text, None),
+    "op13_filter_audit": (op13_filter_audit, filter_audit.AUDIT_SQL),
 }

@@ -56,8 +56,8 @@ def test_stages_on_awkward_and_empty_tables(spark):
 def test_queries_are_registered():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
-    assert {"op7_line_dedup", "op9_url_filter"} <= set(entry.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+    assert {"op7_line_dedup", "op9_url_filter", "op13_filter_audit"} <= set(entry.oracle_sql())
 
 
 def test_pipeline_runs_on_a_table(spark, tmp_path):
