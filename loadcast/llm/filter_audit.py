@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +21,25 @@ from loadcast.llm.term_matrix import document_terms, row_sizes
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 200, 50, 3
+SYMBOLS = b"#$%&*|"
+
+
+def measure(texts: pa.Array) -> pa.StructArray:
+    """Flags c and d of texts, from the bytes of the whole array: shares of capitals, and any symbol."""
+    texts = pc.fill_null(texts, "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+    def per_text(kind):
+        running = np.zeros(len(body) + 1, np.int64)
+        np.cumsum(kind[body], out=running[1:])
+        return np.diff(running[offsets - offsets[0]])
+
+    codes = np.arange(256)
+    capitals = per_text((codes >= ord("A")) & (codes <= ord("Z")))
+    points = per_text((codes & 0xC0) != 0x80)  # bytes that begin a code point
+    symbols = per_text(np.isin(codes, np.frombuffer(SYMBOLS, np.uint8)))
+    return pa.StructArray.from_arrays([pa.array(100 * capitals > MAX_CAPITALS * points), pa.array(symbols > 0)], ["c", "d"])
 
 
 def failures(docs: DataFrame) -> DataFrame:
@@ -27,17 +49,14 @@ def failures(docs: DataFrame) -> DataFrame:
     than 3 % of the code points are ``[A-Z]``. D: any of ``#$%&*|``.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    symbols = F.length(F.translate(text, "#$%&*|", "")) < F.length(text)
     read = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
-                       F.unhex(F.sha2(text, 256)).alias("digest"),
-                       (100 * capitals > MAX_CAPITALS * F.length(text)).alias("c"), symbols.alias("d"), text.alias("text"))
-    matrix, _ = document_terms(read)
+                       F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    matrix, _ = document_terms(read, measure=measure, measured="c:boolean,d:boolean")
     sizes = row_sizes(matrix)
     bits = (F.when(F.col("n_words") < MIN_WORDS, 1).otherwise(0)
             + F.when(100 * F.col("n_terms") < MIN_DISTINCT * F.col("n_words"), 2).otherwise(0)
-            + F.when(F.col("doc.c"), 4).otherwise(0) + F.when(F.col("doc.d"), 8).otherwise(0))
-    return sizes.select("doc.id", "doc.part", "doc.digest", bits.alias("fails"))
+            + F.when(F.col("doc.measured.c"), 4).otherwise(0) + F.when(F.col("doc.measured.d"), 8).otherwise(0))
+    return sizes.select("doc.row.id", "doc.row.part", "doc.row.digest", bits.alias("fails"))
 
 
 def tally(flags: DataFrame, labels: DataFrame) -> DataFrame:

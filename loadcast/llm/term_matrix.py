@@ -21,7 +21,7 @@ from loadcast.llm.components import written
 from loadcast.llm.workers import map_arrow
 
 #: Bytes of text in a shard; it ends with the batch that reaches them.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 
 
 def local_rows(texts: pa.Array):
@@ -33,6 +33,8 @@ def local_rows(texts: pa.Array):
     empty = pc.index(words, pa.scalar("", words.type)).as_py()  # where white space begins or ends a text
     if empty >= 0:
         owner, codes = owner[codes != empty], codes[codes != empty]
+        codes -= codes > empty
+        words = pa.concat_arrays([words[:empty], words[empty + 1 :]])
     cells, counts = np.unique(owner * max(1, len(words)) + codes, return_counts=True)
     owner, codes = np.divmod(cells, max(1, len(words)))
     indptr = np.zeros(len(parts) + 1, np.int64)
@@ -40,13 +42,15 @@ def local_rows(texts: pa.Array):
     return words, indptr, codes.astype(np.int32), counts.astype(np.int32)
 
 
-def local_shards(batches, size: int):
-    """Shards of rows (text, doc): see ``shards``."""
+def local_shards(batches, size: int, measure):
+    """Shards of rows (text, doc): see ``document_terms``."""
     number = count(TaskContext.get().partitionId() << 32)
 
     def shard(held):
         texts = pa.concat_arrays([b.column(0).cast(pa.large_string()) for b in held])
         docs = pa.concat_arrays([b.column(1) for b in held])
+        if measure:
+            docs = pa.StructArray.from_arrays([docs, measure(texts)], ["row", "measured"])
         words, indptr, codes, counts = local_rows(texts)
         columns = [pa.array([next(number)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())),
@@ -70,30 +74,38 @@ def with_term_ids(batches):
         for k in range(batch.num_rows):
             docs, indptr, codes, counts, terms = (batch.column(c)[k] for c in range(1, 6))
             starts = np.frombuffer(indptr.as_py(), np.int64)
-            ids = terms.values.to_numpy() if terms.is_valid and len(terms.values) else np.empty(0, np.int64)
-            ids = ids[np.frombuffer(codes.as_py(), np.int32)]
+            codes = np.frombuffer(codes.as_py(), np.int32)
+            ids = terms.values.to_numpy() if terms.is_valid else np.empty(0, np.int64)
+            by_id = np.argsort(ids)
+            rank = np.empty(len(ids), np.int64)
+            rank[by_id] = np.arange(len(ids))
+            cells = np.repeat(np.arange(len(starts) - 1) * max(1, len(ids)), np.diff(starts)) + rank[codes]
+            order = np.argsort(cells)
             numbers = np.frombuffer(counts.as_py(), np.int32)
-            order = np.lexsort((ids, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1),
-                 pa.array([ids[order].tobytes()], pa.binary()), pa.array([numbers[order].tobytes()], pa.binary())],
+                 pa.array([ids[codes[order]].tobytes()], pa.binary()), pa.array([numbers[order].tobytes()], pa.binary())],
                 ["shard", "docs", "indptr", "terms", "counts"])
 
 
-def document_terms(docs: DataFrame, text_col: str = "text", size: int = SHARD_BYTES):
+def document_terms(docs: DataFrame, text_col: str = "text", size: int = SHARD_BYTES, measure=None, measured: str = ""):
     """(matrix, dictionary) of the texts' words, which are runs of characters other than ``\\x20\\x09-\\x0D``.
 
     matrix: (shard, docs, indptr, terms, counts), the other columns of the
     documents as an array of structs and a matrix in compressed sparse rows:
     64-bit row bounds, 64-bit term ids, 32-bit counts. dictionary: (word,
-    term_id). Null and empty texts are rows without entries. Words are case
-    sensitive. Every row of ``docs`` is a row of the matrix, repeated ones too;
-    an empty table has no shards. Column names may be any.
+    term_id). With ``measure``, a function from an array of texts to a struct
+    array of the fields ``measured``, docs are structs (row, measured).
+
+    Null and empty texts are rows without entries. Words are case sensitive.
+    Every row of ``docs`` is a row of the matrix, repeated ones too; an empty
+    table has no shards. Column names may be any.
     """
     others = [c for c in docs.columns if c != text_col]
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc"))
     kind = own.schema["doc"].dataType.simpleString()
-    shards = written(map_arrow(own, lambda b: local_shards(b, size), f"shard long, docs array<{kind}>, words array<string>, "
+    kind = f"struct<row:{kind},measured:struct<{measured}>>" if measure else kind
+    shards = written(map_arrow(own, lambda b: local_shards(b, size, measure), f"shard long, docs array<{kind}>, words array<string>, "
                                "indptr binary, codes binary, counts binary"), "shards")
     dictionary = written(shards.select(F.explode("words").alias("word")).distinct()
                          .select("word", F.monotonically_increasing_id().alias("term_id")), "dictionary")
