@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from loadcast.llm.term_matrix import document_terms, row_sizes
+from loadcast.llm.term_matrix import row_sizes
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 200, 50, 3
@@ -51,8 +51,7 @@ def failures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
                        F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
-    matrix, _ = document_terms(read, measure=measure, measured="c:boolean,d:boolean")
-    sizes = row_sizes(matrix)
+    sizes = row_sizes(read, measure=measure, measured="c:boolean,d:boolean")
     bits = (F.when(F.col("n_words") < MIN_WORDS, 1).otherwise(0)
             + F.when(100 * F.col("n_terms") < MIN_DISTINCT * F.col("n_words"), 2).otherwise(0)
             + F.when(F.col("doc.measured.c"), 4).otherwise(0) + F.when(F.col("doc.measured.d"), 8).otherwise(0))

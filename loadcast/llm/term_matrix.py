@@ -21,7 +21,7 @@ from loadcast.llm.components import written
 from loadcast.llm.workers import map_arrow
 
 #: Bytes of text in a shard; it ends with the batch that reaches them.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 
 def local_rows(texts: pa.Array):
@@ -43,7 +43,7 @@ def local_rows(texts: pa.Array):
 
 
 def local_shards(batches, size: int, measure):
-    """Shards of rows (text, doc): see ``document_terms``."""
+    """Shards of rows (text, doc) by a dictionary of their own."""
     number = count(TaskContext.get().partitionId() << 32)
 
     def shard(held):
@@ -68,39 +68,42 @@ def local_shards(batches, size: int, measure):
         yield shard(held)
 
 
-def with_term_ids(batches):
-    """Shards whose columns are global term ids, ascending within each document."""
+def with_term_ids(indptr: bytes, codes: bytes, counts: bytes, terms):
+    """(row bounds, term ids, counts) of a shard by the global dictionary, ids ascending within each document."""
+    starts, codes, numbers = np.frombuffer(indptr, np.int64), np.frombuffer(codes, np.int32), np.frombuffer(counts, np.int32)
+    ids = terms.values.to_numpy() if terms.is_valid else np.empty(0, np.int64)
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(ids)] = np.arange(len(ids))
+    cells = rank[codes]
+    cells += np.repeat(np.arange(len(starts) - 1) * max(1, len(ids)), np.diff(starts))
+    order = np.argsort(cells)
+    return starts, ids[codes[order]], numbers[order]
+
+
+def whole_shards(batches):
+    """The matrix itself: one row a shard."""
     for batch in batches:
         for k in range(batch.num_rows):
-            docs, indptr, codes, counts, terms = (batch.column(c)[k] for c in range(1, 6))
-            starts = np.frombuffer(indptr.as_py(), np.int64)
-            codes = np.frombuffer(codes.as_py(), np.int32)
-            ids = terms.values.to_numpy() if terms.is_valid else np.empty(0, np.int64)
-            by_id = np.argsort(ids)
-            rank = np.empty(len(ids), np.int64)
-            rank[by_id] = np.arange(len(ids))
-            cells = np.repeat(np.arange(len(starts) - 1) * max(1, len(ids)), np.diff(starts)) + rank[codes]
-            order = np.argsort(cells)
-            numbers = np.frombuffer(counts.as_py(), np.int32)
+            shard, docs, *parts = (batch.column(c)[k] for c in range(6))
+            starts, ids, numbers = with_term_ids(*(x.as_py() for x in parts[:3]), parts[3])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1),
-                 pa.array([ids[codes[order]].tobytes()], pa.binary()), pa.array([numbers[order].tobytes()], pa.binary())],
+                [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), *(pa.array([x.tobytes()], pa.binary()) for x in (starts, ids, numbers))],
                 ["shard", "docs", "indptr", "terms", "counts"])
 
 
-def document_terms(docs: DataFrame, text_col: str = "text", size: int = SHARD_BYTES, measure=None, measured: str = ""):
-    """(matrix, dictionary) of the texts' words, which are runs of characters other than ``\\x20\\x09-\\x0D``.
+def shard_sizes(batches):
+    """Row sums and numbers of entries of the matrix: one row a document."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shard, docs, *parts = (batch.column(c)[k] for c in range(6))
+            starts, ids, numbers = with_term_ids(*(x.as_py() for x in parts[:3]), parts[3])
+            sums = np.concatenate([[0], np.cumsum(numbers, dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([docs.values, pa.array(np.diff(sums[starts])), pa.array(np.diff(starts))],
+                                             ["doc", "n_words", "n_terms"])
 
-    matrix: (shard, docs, indptr, terms, counts), the other columns of the
-    documents as an array of structs and a matrix in compressed sparse rows:
-    64-bit row bounds, 64-bit term ids, 32-bit counts. dictionary: (word,
-    term_id). With ``measure``, a function from an array of texts to a struct
-    array of the fields ``measured``, docs are structs (row, measured).
 
-    Null and empty texts are rows without entries. Words are case sensitive.
-    Every row of ``docs`` is a row of the matrix, repeated ones too; an empty
-    table has no shards. Column names may be any.
-    """
+def encoded_shards(docs: DataFrame, text_col: str, size: int, measure, measured: str):
+    """(shards by their own codes with the term id of each code, dictionary, type of a document)."""
     others = [c for c in docs.columns if c != text_col]
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc"))
     kind = own.schema["doc"].dataType.simpleString()
@@ -112,21 +115,31 @@ def document_terms(docs: DataFrame, text_col: str = "text", size: int = SHARD_BY
     places = shards.select("shard", F.posexplode("words").alias("code", "word")).join(dictionary, "word")
     terms = (places.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("code", "term_id"))).alias("at"))
              .select("shard", F.col("at.term_id").alias("ids")))
-    encoded = shards.drop("words").join(terms, "shard", "left")
-    matrix = map_arrow(encoded, with_term_ids, f"shard long, docs array<{kind}>, indptr binary, terms binary, counts binary")
-    return matrix, dictionary
-
-
-def row_sizes(matrix: DataFrame) -> DataFrame:
-    """(doc, n_words, n_terms): row sums and numbers of entries, one row per document of the matrix."""
-    def sizes(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                starts = np.frombuffer(batch.column(1)[k].as_py(), np.int64)
-                running = np.concatenate([[0], np.cumsum(np.frombuffer(batch.column(2)[k].as_py(), np.int32), dtype=np.int64)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[k].values, pa.array(np.diff(running[starts])), pa.array(np.diff(starts))],
-                    ["doc", "n_words", "n_terms"])
-
-    kind = matrix.schema["docs"].dataType.elementType.simpleString()
-    return map_arrow(matrix.select("docs", "indptr", "counts"), sizes, f"doc {kind}, n_words long, n_terms long")
+    return shards.drop("words").join(terms, "shard", "left"), dictionary, kind
+
+
+def document_terms(docs: DataFrame, text_col: str = "text", size: int = SHARD_BYTES):
+    """(matrix, dictionary) of the texts' words, which are runs of characters other than ``\\x20\\x09-\\x0D``.
+
+    matrix: (shard, docs, indptr, terms, counts), the other columns of the
+    documents as an array of structs and a matrix in compressed sparse rows:
+    64-bit row bounds, 64-bit term ids, 32-bit counts. dictionary: (word,
+    term_id).
+
+    Null and empty texts are rows without entries. Words are case sensitive.
+    Every row of ``docs`` is a row of the matrix, repeated ones too; an empty
+    table has no shards. Column names may be any.
+    """
+    shards, dictionary, kind = encoded_shards(docs, text_col, size, None, "")
+    return map_arrow(shards, whole_shards, f"shard long, docs array<{kind}>, indptr binary, terms binary, counts binary"), dictionary
+
+
+def row_sizes(docs: DataFrame, text_col: str = "text", size: int = SHARD_BYTES, measure=None, measured: str = "") -> DataFrame:
+    """(doc, n_words, n_terms): row sums and numbers of entries of the matrix of ``document_terms``, one row a document.
+
+    ``doc`` is a struct of the other columns. With ``measure``, a function
+    from an array of texts to a struct array of the fields ``measured``, it is
+    a struct (row, measured).
+    """
+    shards, _, kind = encoded_shards(docs, text_col, size, measure, measured)
+    return map_arrow(shards, shard_sizes, f"doc {kind}, n_words long, n_terms long")
