@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from loadcast.session import scratch_path
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, **options) -> DataFrame:
     """The frame as a table in the shared scratch folder; cuts its lineage."""
     path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.parquet(path, **options)
     return frame.sparkSession.read.parquet(path)
 
 

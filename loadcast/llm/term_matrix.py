@@ -1,10 +1,11 @@
 """A sparse document-term matrix in shards, with one dictionary for all of them.
 
 Each task reads documents and encodes their words by a dictionary of its own
-shard. Only the different words of each shard are shuffled: they get the term
-ids of the global dictionary, a distributed table, and go back to their shard
-as one array. A shard is then a matrix in compressed sparse rows whose columns
-are term ids. A word that is in all documents costs one row per shard.
+shard. Only the different words of each shard are shuffled: dealt out and
+sorted by word, they are numbered as they stream by, which is the global
+dictionary, and their numbers go back to their shard as one array. A shard is
+then a matrix in compressed sparse rows whose columns are term ids. A word
+that is in all documents costs one row per shard.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from loadcast.llm.components import written
 from loadcast.llm.workers import map_arrow
 
 #: Bytes of text in a shard; it ends with the batch that reaches them.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
 
 
 def local_rows(texts: pa.Array):
@@ -39,7 +40,16 @@ def local_rows(texts: pa.Array):
     owner, codes = np.divmod(cells, max(1, len(words)))
     indptr = np.zeros(len(parts) + 1, np.int64)
     np.cumsum(np.bincount(owner, minlength=len(parts)), out=indptr[1:])
-    return words, indptr, codes.astype(np.int32), counts.astype(np.int32)
+    return words, indptr, narrow(codes), narrow(counts)
+
+
+def narrow(numbers: np.ndarray) -> np.ndarray:
+    """The numbers in the fewest bytes that hold all of them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
+def widen(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // max(1, n) or 1}")
 
 
 def local_shards(batches, size: int, measure):
@@ -70,7 +80,8 @@ def local_shards(batches, size: int, measure):
 
 def with_term_ids(indptr: bytes, codes: bytes, counts: bytes, terms):
     """(row bounds, term ids, counts) of a shard by the global dictionary, ids ascending within each document."""
-    starts, codes, numbers = np.frombuffer(indptr, np.int64), np.frombuffer(codes, np.int32), np.frombuffer(counts, np.int32)
+    starts = np.frombuffer(indptr, np.int64)
+    codes, numbers = widen(codes, starts[-1]), widen(counts, starts[-1]).astype(np.int32)
     ids = terms.values.to_numpy() if terms.is_valid else np.empty(0, np.int64)
     rank = np.empty(len(ids), np.int64)
     rank[np.argsort(ids)] = np.arange(len(ids))
@@ -102,20 +113,40 @@ def shard_sizes(batches):
                                              ["doc", "n_words", "n_terms"])
 
 
+def numbered(batches):
+    """Rows (word, shard, code), sorted by word, with the id of their word; one task holds all rows of a word."""
+    at = (TaskContext.get().partitionId() << 32) - 1
+    last = None
+    for batch in batches:
+        words = batch.column(0)
+        new = np.ones(len(words), bool)
+        new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+        if len(words):
+            new[0] = words[0].as_py() != last
+            last = words[-1].as_py()
+        ids = at + np.cumsum(new)
+        at = int(ids[-1]) if len(ids) else at
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], [*batch.schema.names, "term_id"])
+
+
 def encoded_shards(docs: DataFrame, text_col: str, size: int, measure, measured: str):
-    """(shards by their own codes with the term id of each code, dictionary, type of a document)."""
+    """(shards by their own codes, (word, shard, code, term_id) of all shards, type of a document)."""
     others = [c for c in docs.columns if c != text_col]
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc"))
     kind = own.schema["doc"].dataType.simpleString()
     kind = f"struct<row:{kind},measured:struct<{measured}>>" if measure else kind
     shards = written(map_arrow(own, lambda b: local_shards(b, size, measure), f"shard long, docs array<{kind}>, words array<string>, "
-                               "indptr binary, codes binary, counts binary"), "shards")
-    dictionary = written(shards.select(F.explode("words").alias("word")).distinct()
-                         .select("word", F.monotonically_increasing_id().alias("term_id")), "dictionary")
-    places = shards.select("shard", F.posexplode("words").alias("code", "word")).join(dictionary, "word")
+                               "indptr binary, codes binary, counts binary"), "shards", compression="zstd")
+    words = shards.select("shard", F.posexplode("words").alias("code", "word")).select("word", "shard", "code")
+    places = map_arrow(words.repartition("word").sortWithinPartitions("word"), numbered, "word string, shard long, code int, term_id long")
+    return shards.drop("words"), places, kind
+
+
+def with_ids(shards: DataFrame, places: DataFrame) -> DataFrame:
+    """The shards with the term ids of their codes, in the order of the codes."""
     terms = (places.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("code", "term_id"))).alias("at"))
              .select("shard", F.col("at.term_id").alias("ids")))
-    return shards.drop("words").join(terms, "shard", "left"), dictionary, kind
+    return shards.join(terms, "shard", "left")
 
 
 def document_terms(docs: DataFrame, text_col: str = "text", size: int = SHARD_BYTES):
@@ -130,8 +161,10 @@ def document_terms(docs: DataFrame, text_col: str = "text", size: int = SHARD_BY
     Every row of ``docs`` is a row of the matrix, repeated ones too; an empty
     table has no shards. Column names may be any.
     """
-    shards, dictionary, kind = encoded_shards(docs, text_col, size, None, "")
-    return map_arrow(shards, whole_shards, f"shard long, docs array<{kind}>, indptr binary, terms binary, counts binary"), dictionary
+    shards, places, kind = encoded_shards(docs, text_col, size, None, "")
+    places = written(places, "places")  # the matrix and the dictionary go by the same numbers
+    matrix = map_arrow(with_ids(shards, places), whole_shards, f"shard long, docs array<{kind}>, indptr binary, terms binary, counts binary")
+    return matrix, places.select("word", "term_id").distinct()
 
 
 def row_sizes(docs: DataFrame, text_col: str = "text", size: int = SHARD_BYTES, measure=None, measured: str = "") -> DataFrame:
@@ -141,5 +174,5 @@ def row_sizes(docs: DataFrame, text_col: str = "text", size: int = SHARD_BYTES,
     from an array of texts to a struct array of the fields ``measured``, it is
     a struct (row, measured).
     """
-    shards, _, kind = encoded_shards(docs, text_col, size, measure, measured)
-    return map_arrow(shards, shard_sizes, f"doc {kind}, n_words long, n_terms long")
+    shards, places, kind = encoded_shards(docs, text_col, size, measure, measured)
+    return map_arrow(with_ids(shards, places), shard_sizes, f"doc {kind}, n_words long, n_terms long")
