@@ -7,13 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from loadcast.session import scratch_path
 
 
-def written(frame: DataFrame, name: str, **options) -> DataFrame:
+def written(frame: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
     """The frame as a table in the shared scratch folder; cuts its lineage."""
-    path = scratch_path(frame.sparkSession, name)
+    path = path or scratch_path(frame.sparkSession, name)
     frame.write.parquet(path, **options)
     return frame.sparkSession.read.parquet(path)
 
 
+def dropped(spark, path: str) -> None:
+    """Delete a table of ``written`` that a later one replaces."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
 
@@ -25,8 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     Self-links and nulls are ignored, repeated edges count once.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "edges")
-    seen = None
+    spark = edges.sparkSession
+    path, seen = scratch_path(spark, "edges"), None
+    edges = written(edges, "edges", path)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -37,7 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                                            F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
                  .select("e.a", "e.b").where("a <> b").distinct())
-        edges = written(small, "edges")
+        before, path = path, scratch_path(spark, "edges")
+        edges = written(small, "edges", path)
+        dropped(spark, before)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if now == seen:
             break

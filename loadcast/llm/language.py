@@ -19,12 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from loadcast.llm.workers import map_arrow
 
 BUCKETS = 8192
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 #: Bytes of a text whose grams are counted at once.

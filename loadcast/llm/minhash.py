@@ -12,10 +12,10 @@ Equal texts are one class from the start. Within a bucket of equal bands each
 member is held against the bucket's first text by an exact check of the
 similarity, which settles copies and near copies without pairs among them.
 Members that no chain of links joins to that text are compared with all members
-of their bucket by their signatures, in blocks of bounded size; pairs that may
-reach the similarity, and that no link has joined yet, are listed and checked
-exactly: each member's likest as long as that joins any, then all that are left. Links are joined
-to classes.
+of their bucket, in blocks of bounded size, whose shingles come along: a task
+counts what the sets of a block share, exactly, and emits a link only where it
+joins two classes, so at most one less than the block has members. No pair of
+a bucket is left out and none is listed. Links are joined to classes.
 """
 
 from __future__ import annotations
@@ -38,12 +38,11 @@ SIMILARITY = 0.8
 #: A pair at similarity 0.8 shares a band with probability 0.9993, one at 0.5 with 0.31.
 BANDS, ROWS = 24, 6
 
-#: Standard deviations below the wanted similarity at which an estimate rules a pair out; a pair
-#: just at it is ruled out wrongly with probability 0.00003.
-MARGIN = 4.0
+#: Members of a bucket that are compared at once, and bytes of their shingles.
+BLOCK, BLOCK_BYTES = 1000, 32 << 20
 
-#: Members of a bucket that are compared at once.
-BLOCK = 1000
+#: Different shingles of a block that are counted at once.
+COLUMNS = 2048
 
 #: Poisson(1) distribution, as 64-bit thresholds: the number of darts in a unit of area.
 DARTS = np.array([int(2**64 * p) for p in np.cumsum([math.exp(-1) / math.factorial(n) for n in range(12)])], np.uint64)
@@ -102,6 +101,19 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def elements(words: np.ndarray, size: int, counted: bool) -> np.ndarray:
+    """The shingles as an ascending set, ``counted`` ones once for each of their occurrences.
+
+    The plain similarity of two such sets is the weighted one of the shingles.
+    """
+    found, counts = weighted_shingles(words, size, counted)
+    if not counted:
+        return found
+    n = counts.astype(np.int64)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.unique(mix(np.repeat(found, n) + nth.astype(np.uint64) * GOLD))
+
+
 def jaccard(a, wa, b, wb) -> float:
     """Weighted Jaccard similarity of two ascending shingle arrays."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -109,6 +121,12 @@ def jaccard(a, wa, b, wb) -> float:
     return float(shared / (wa.sum() + wb.sum() - shared))
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as ascending arrays, reach the similarity."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) >= similarity
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
                  similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
                  counted: bool = False) -> DataFrame:
@@ -127,20 +145,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in batch.column(1).to_pylist():
                 words = known.of(text or "")
                 if not len(words):
-                    out.append((None, None, None))
+                    out.append((None, None))
                     continue
-                found, weights = weighted_shingles(words, size, counted)
-                signature = dart_signature(found, weights, bands * rows)
-                out.append((xxhash.xxh3_128_digest(words.tobytes()), band_keys(signature, bands, rows),
-                            (signature >> np.uint64(8)).astype(np.uint8).tobytes()))
-            same, keys, bytes_ = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                                              pa.array(bytes_, pa.binary())], ["id", "same", "bands", "signature"])
+                signature = dart_signature(*weighted_shingles(words, size, counted), bands * rows)
+                out.append((xxhash.xxh3_128_digest(words.tobytes()), band_keys(signature, bands, rows)))
+            same, keys = zip(*out, strict=True) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                                             ["id", "same", "bands"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = written(map_arrow(texts, sketch, "id long, same binary, bands array<long>, signature binary"), "sketches")
+    sketches = written(map_arrow(texts, sketch, "id long, same binary, bands array<long>"), "sketches")
     with_words = sketches.where("id is not null and same is not null")
-    firsts = written(with_words.groupBy("same").agg(F.min(F.struct("id", "bands", "signature")).alias("first"))
+    firsts = written(with_words.groupBy("same").agg(F.min(F.struct("id", "bands")).alias("first"))
                      .select("same", "first.*", F.monotonically_increasing_id().alias("key")), "firsts")
     links = near_links(texts, firsts, size, similarity, counted)
     # A text's first id may be that of other rows too, when ids repeat: their texts share a class.
@@ -157,95 +173,108 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Of rows with the same id the one of the smallest text stays; rows with a null id all stay.
     """
     kept = near_classes(docs, id_col, text_col, **options).where(F.col("class_id") == F.col(id_col)).select(id_col).distinct()
+    nth = "nth"
+    while nth in docs.columns:
+        nth += "_"
     first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    rows = docs.join(kept, id_col, "left_semi").withColumn("row_of_id", F.row_number().over(first))
-    rows = rows.where("row_of_id = 1").select(*docs.columns)
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.join(kept, id_col, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
+    return rows.unionByName(docs.where(F.col(id_col).isNull())).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def screen(batches, least: float, nearest: bool):
-    """Pairs (id, lead) of different classes whose signatures agree in a share of at least ``least`` of their bytes.
+def block_links(ids: np.ndarray, roots: np.ndarray, sets: list, first: np.ndarray, similarity: float):
+    """Links (a, b) that join classes of a block's members, or of a block (``first``) and another.
 
-    Rows (band, i, j, first, id, root, signature) come sorted; a group of one
-    (band, i, j) holds the bucket's blocks i and j, ``first`` telling block i's
-    rows. With ``nearest`` each row of a group is paired with its likest only.
+    What two sets share is counted over the shingles that more than one member
+    holds. A link is taken only between members whose classes, given by their
+    roots, no earlier link has joined.
     """
-    def pairs(rows):
-        ids, roots = (np.array([r[k] for r in rows]) for k in (1, 2))
-        signatures = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        first = np.array([r[0] for r in rows], bool)
-        whole = first.all()  # one block with itself
-        other = np.arange(len(rows)) if whole else np.flatnonzero(~first)
-        top, likest = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
-        for at in range(0, len(rows), 64):
-            some = np.arange(at, min(at + 64, len(rows)))
-            some = some[first[some]]
-            if not len(some) or not len(other):
-                continue
-            agree = (signatures[some][:, None, :] == signatures[other][None, :, :]).mean(axis=2)
-            agree[(agree < least) | (roots[some][:, None] == roots[other][None, :])] = 0
-            if nearest:
-                for own, others, share in ((some, other, agree), (other, some, agree.T)):
-                    best = share.argmax(axis=1)
-                    most = share[np.arange(len(own)), best]
-                    better = most > top[own]
-                    top[own[better]], likest[own[better]] = most[better], others[best[better]]
-                continue
-            x, y = np.nonzero(agree)
-            x, y = some[x], other[y]
-            keep = (x < y) if whole else (ids[x] != ids[y])
-            yield ids[x[keep]], ids[y[keep]]
-        found = np.flatnonzero(top)
-        yield ids[found], ids[likest[found]]
-
+    side = np.flatnonzero(first)
+    other = side if first.all() else np.flatnonzero(~first)
+    if len(np.unique(roots)) < 2 or not len(other):
+        return []
+    sizes = np.array([len(s) for s in sets])
+    held = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, holders = np.unique(held, return_inverse=True, return_counts=True)
+    common = holders > 1
+    owner, column = owner[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(side), len(other)), np.float32)
+    total = int(common.sum())
+    for low in range(0, total, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        holds = np.zeros((len(sets), min(COLUMNS, total - low)), np.float32)
+        holds[owner[a:b], column[a:b] - low] = 1
+        shared += holds[side] @ holds[other].T
+    both = sizes[side][:, None] + sizes[other][None, :] - shared.astype(np.float64)
+    passed = shared / both >= similarity
+    label, found = roots.copy(), []
+    for x, row in zip(side, passed, strict=True):
+        near = other[row]
+        for y in near[label[near] != label[x]]:
+            if label[y] != label[x]:
+                found.append((ids[x], ids[y]))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def group_links(batches, similarity: float):
+    """Verified links (id, lead) of rows (band, i, j, first, id, root, s), which come sorted by group (band, i, j)."""
     def listed(rows):
-        for a, b in pairs(rows) if rows else ():
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["id", "lead"])
+        first, ids, roots, sets = zip(*rows, strict=True)
+        found = block_links(np.array(ids), np.array(roots), [np.frombuffer(s, np.uint64) for s in sets], np.array(first, bool), similarity)
+        if found:
+            a, b = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["id", "lead"])
 
     group, rows = None, []
     for batch in batches:
-        for *own, first, key, root, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *own, first, key, root, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if own != group:
-                yield from listed(rows)
+                if rows:
+                    yield from listed(rows)
                 group, rows = own, []
-            rows.append((first, key, root, signature))
-    yield from listed(rows)
+            rows.append((first, key, root, s))
+    if rows:
+        yield from listed(rows)
 
 
-def unlinked(members: DataFrame, firsts: DataFrame, links: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs (id, lead) of a bucket's ``members`` that may reach the similarity and that no chain of ``links`` joins."""
+def unjoined(members: DataFrame, found: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (id, lead) between ``members`` of a bucket that no chain of ``links`` joins."""
     classes = written(components(links), "classes")
     placed = (members.join(classes.withColumnRenamed("node", "id"), "id", "left")
               .select("band", "id", "lead", F.coalesce("root", "id").alias("root")))
     heads = placed.where("id = lead").select("band", F.col("root").alias("head"))
-    placed = placed.join(heads, "band").select("band", "id", "root", (F.col("root") == F.col("head")).alias("joined"))
-    mixed = placed.groupBy("band").agg(F.count_if(~F.col("joined")).alias("n"), F.count_if("joined").alias("m")).where("n > 0")
+    sized = found.select("id", F.length("s").alias("bytes"))
+    placed = placed.join(heads, "band").join(sized, "id").select("band", "id", "root", "bytes", (F.col("root") == F.col("head")).alias("joined"))
+
+    def blocks(kind):
+        rows, size = F.count_if(kind), F.sum(F.when(kind, F.col("bytes")).otherwise(0))
+        return F.greatest(F.ceil(rows / BLOCK), F.least(rows, F.ceil(size / BLOCK_BYTES))).cast("int")
+
+    mixed = placed.groupBy("band").agg(blocks(~F.col("joined")).alias("loose"), blocks(F.col("joined")).alias("tied")).where("loose > 0")
     # Blocks of a bucket, those of members in the lead's class last; each pair of blocks is a group
     # of its own. Only pairs of members that are both in the lead's class are not looked at.
-    loose, blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
-    place = F.when(F.col("joined"), loose + F.pmod(F.xxhash64("id"), blocks)).otherwise(F.pmod(F.xxhash64("id"), loose))
-    left = written(placed.join(mixed, "band").join(firsts.select("id", "signature"), "id")
-                   .select("band", "id", "root", "signature", place.cast("int").alias("block"),
-                           F.when(F.col("joined"), loose).otherwise(loose + blocks).alias("others")), "left")
-    groups = (left.select("band", "id", "root", "signature", "block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+    place = F.when(F.col("joined"), F.col("loose") + F.pmod(F.xxhash64("id"), "tied")).otherwise(F.pmod(F.xxhash64("id"), "loose"))
+    others = F.when(F.col("joined"), F.col("loose")).otherwise(F.col("loose") + F.col("tied"))
+    groups = (placed.join(mixed, "band").select("band", "id", "root", place.cast("int").alias("block"), others.alias("others"))
+              .join(found, "id")
+              .select("band", "id", "root", "s", "block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
               .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                      (F.col("block") <= F.col("other")).alias("first"), "id", "root", "signature"))
+                      (F.col("block") <= F.col("other")).alias("first"), "id", "root", "s"))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = groups.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "first", "id")
-    row = left.select(F.length("signature").alias("k")).first()
-    least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / row["k"]) if row else 1.0
-    return map_arrow(groups, lambda batches: screen(batches, least, nearest), "id long, lead long").distinct()
+    return map_arrow(groups, lambda batches: group_links(batches, similarity), "id long, lead long").distinct()
 
 
 def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float, counted: bool) -> DataFrame:
-    """Verified links (a, b) between the first documents (id, same, key, bands, signature) of the different texts.
+    """Verified links (a, b) between the first documents (id, same, key, bands) of the different texts.
 
     An id may be the first of several texts: up to the links, a text goes by its own key.
     """
     keys = firsts.select("id", "same", "key")
-    firsts = firsts.select(F.col("key").alias("id"), "bands", "signature")
-    banded = firsts.select("id", F.explode("bands").alias("band"))
+    banded = firsts.select(F.col("key").alias("id"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = written(banded.join(shared, "band"), "members")
 
@@ -253,44 +282,27 @@ def near_links(texts: DataFrame, firsts: DataFrame, size: int, similarity: float
         known = WordHashes()
         for batch in batches:
             words = [known.of(t or "") for t in batch.column(1).to_pylist()]
-            found = [weighted_shingles(w, size, counted) for w in words]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in words], pa.binary()),
-                 pa.array([s.tobytes() for s, _ in found], pa.binary()),
-                 pa.array([w.astype(np.float32).tobytes() if counted else None for _, w in found], pa.binary())],
-                ["id", "same", "s", "w"])
+                 pa.array([elements(w, size, counted).tobytes() for w in words], pa.binary())], ["id", "same", "s"])
 
     # The number of documents in buckets has no bound, so they are not broadcast to the texts.
     asked = keys.join(members.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
     wanted = texts.join(asked.select("id").distinct().hint("merge"), "id", "left_semi").dropna()
-    found = map_arrow(wanted, sets, "id long, same binary, s binary, w binary").dropDuplicates(["id", "same"])
-    found = written(found.join(asked, ["id", "same"]).select(F.col("key").alias("id"), "s", "w"), "shingles")
+    found = map_arrow(wanted, sets, "id long, same binary, s binary").dropDuplicates(["id", "same"])
+    found = written(found.join(asked, ["id", "same"]).select(F.col("key").alias("id"), "s"), "shingles")
 
     def verify(batches):
         for batch in batches:
-            ok = []
-            for s, w, s2, w2 in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                a, b = np.frombuffer(s, np.uint64), np.frombuffer(s2, np.uint64)
-                wa = np.frombuffer(w, np.float32) if counted else np.ones(len(a))
-                wb = np.frombuffer(w2, np.float32) if counted else np.ones(len(b))
-                ok.append(jaccard(a, wa, b, wb) >= similarity)
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ok = [alike(np.frombuffer(s, np.uint64), np.frombuffer(s2, np.uint64), similarity) for s, s2 in pairs]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(found, "id").join(
-            found.select(F.col("id").alias("lead"), F.col("s").alias("s2"), F.col("w").alias("w2")), "lead")
-        return written(map_arrow(sides.select("id", "lead", "s", "w", "s2", "w2"), verify, "id long, lead long"), "links")
-
+    # Each member against its buckets' first texts: a text has one partner a band at most.
+    pairs = members.where("id <> lead").select("id", "lead").distinct()
+    sides = pairs.join(found, "id").join(found.select(F.col("id").alias("lead"), F.col("s").alias("s2")), "lead")
     ends = [F.col("id").alias("a"), F.col("lead").alias("b")]
-    links = checked(members.where("id <> lead").select("id", "lead").distinct()).select(*ends)
-    # Each member's likest as long as that joins any: what is joined makes no pairs when all the others are listed.
-    nearest = True
-    while True:
-        pairs = written(unlinked(members, firsts, links, similarity, nearest), "pairs")
-        more = checked(pairs).select(*ends)
-        links = links.unionByName(more)
-        if not nearest or pairs.isEmpty():
-            break
-        nearest = not more.isEmpty()
+    links = written(map_arrow(sides.select("id", "lead", "s", "s2"), verify, "id long, lead long"), "links").select(*ends)
+    links = links.unionByName(unjoined(members, found, links, similarity).select(*ends))
     a, b = (keys.select(F.col("key").alias(k), F.col("id").alias(f"id_{k}")) for k in "ab")
     return links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))

@@ -3,10 +3,11 @@
 A piece of n tokens costs ``linear * n + quadratic * n * n``, the work of the
 linear layers and of attention within the piece. Documents are taken in
 descending cost, each going to the sequence of lowest cost that has room for
-it; a document that fits nowhere near is cut.
+it; a document that fits nowhere is cut, and the cheapest sequence takes what
+it has room for.
 
 Spark deals out the documents. A task tokenises its own rows and packs them
-in groups of ``group_tokens``, so ids never cross the network, memory is
+in groups of ``group_tokens``, each in its own descending order, so ids never cross the network, memory is
 bounded by a group, and nothing depends on other tasks. The group's tokens
 decide its sequences: as many of full length as they fill, and the remainder
 in sequences of falling powers of two, which need no padding either.
@@ -33,15 +34,14 @@ PART = "\x02"
 
 GROUP_TOKENS = 2 << 20
 
-#: Cheapest sequences that are tried for a document before it is cut.
-PROBES = 8
+#: Chunks whose ids a worker keeps while it serves one stage.
+KEPT_CHUNKS = 300_000
 
 
 @lru_cache(maxsize=2)
 def word_table(path: str) -> ChunkTable:
     """The chunk table of a tokenizer file, one a worker process."""
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     part_id = np.uint32(tokenizer.encode(PART, add_special_tokens=False).ids[0])
     vocabulary = tokenizer.get_vocab()
     ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -84,9 +84,10 @@ def word_table(path: str) -> ChunkTable:
         marks = [".", ","]
         others, shape = [], []  # a chunk is a word, a word and a mark, or something else
         for chunk in new:
-            if chunk.isalpha():
+            folded = chunk if chunk.isascii() else chunk.lower()  # which may part a letter into one and a mark
+            if folded.isalpha():
                 shape.append((words.setdefault(chunk, len(words)), -1))
-            elif chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            elif folded[-1:] in (".", ",") and folded[:-1].isalpha():
                 shape.append((words.setdefault(chunk[:-1], len(words)), marks.index(chunk[-1])))
             else:
                 shape.append((-1, len(others)))
@@ -105,7 +106,10 @@ def word_table(path: str) -> ChunkTable:
         sizes[there] = n
         return ids, sizes.sum(axis=1)
 
-    return ChunkTable(encode)
+    table = ChunkTable(encode, KEPT_CHUNKS)
+    table.whole = ids_of
+    table.special = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
+    return table
 
 
 def tokenise(texts: pa.Array, table: ChunkTable):
@@ -113,13 +117,19 @@ def tokenise(texts: pa.Array, table: ChunkTable):
 
     Blanks and line ends are white space to the tokenizer, which encodes what
     lies between apart and folds case itself, so parts are looked up with
-    ASCII letters in lower case.
+    ASCII letters in lower case. A text that spells out a special token of the
+    tokenizer is encoded whole, as the tokenizer finds those before all else.
     """
     for group in groups(texts):
-        parts, index, starts = blank_separated(pc.ascii_lower(pc.replace_substring(group, "\n", " ")))
+        lower = pc.ascii_lower(pc.replace_substring(group, "\n", " "))
+        spelt = np.zeros(len(group), bool)
+        for token in table.special:
+            spelt |= pc.match_substring(lower, token).to_numpy(zero_copy_only=False)
+        parts, index, starts = blank_separated(lower)
         ids, lengths = table.take(table.rows(parts)[index])
         ends = np.concatenate([[0], np.cumsum(lengths)])[starts]
-        yield from (ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            yield table.whole([group[k].as_py()]) if spelt[k] else ids[a:b]
 
 
 def sequence_sizes(total: int, longest: int) -> list[int]:
@@ -128,6 +138,48 @@ def sequence_sizes(total: int, longest: int) -> list[int]:
     return [longest] * (total // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+class Room:
+    """Sequences by the room they have left, the cheapest first: a tree of minima over the amounts of room."""
+
+    def __init__(self, longest: int):
+        self.size = 1 << longest.bit_length()
+        self.best = [None] * (2 * self.size)  # (cost, sequence) that is cheapest among a node's amounts
+        self.held = [[] for _ in range(longest + 1)]
+
+    def put(self, room: int, entry):
+        heapq.heappush(self.held[room], entry)
+        self.settle(room)
+
+    def take(self, room: int):
+        """Remove the cheapest sequence of exactly this room."""
+        entry = heapq.heappop(self.held[room])
+        self.settle(room)
+        return entry
+
+    def settle(self, room: int):
+        at = self.size + room
+        self.best[at] = (*self.held[room][0], room) if self.held[room] else None
+        while at > 1:
+            at //= 2
+            a, b = self.best[2 * at], self.best[2 * at + 1]
+            self.best[at] = a if b is None or (a is not None and a < b) else b
+
+    def cheapest(self, least: int):
+        """(cost, sequence, room) of the cheapest with at least this room, or None."""
+        found, low, high = None, self.size + least, 2 * self.size
+        while low < high:
+            if low & 1:
+                if self.best[low] is not None and (found is None or self.best[low] < found):
+                    found = self.best[low]
+                low += 1
+            if high & 1:
+                high -= 1
+                if self.best[high] is not None and (found is None or self.best[high] < found):
+                    found = self.best[high]
+            low, high = low // 2, high // 2
+        return found
+
+
 def assign(lengths, longest: int, linear: float = 1.0, quadratic: float = 1.0 / 4096):
     """Pack documents of the given lengths; yields (document, start, length, sequence, offset).
 
@@ -135,34 +187,21 @@ def assign(lengths, longest: int, linear: float = 1.0, quadratic: float = 1.0 /
     every document lies in exactly one piece and every sequence is full.
     """
     sizes = sequence_sizes(int(sum(lengths)), longest)
-    used = [0] * len(sizes)
-    costs = [0.0] * len(sizes)
-    heap = [(0.0, s) for s in range(len(sizes))]  # sorted, hence a heap
-
-    def cost(n):
-        return linear * n + quadratic * n * n
+    room = Room(longest)
+    for sequence, size in enumerate(sizes):
+        heapq.heappush(room.held[size], (0.0, sequence))
+    for size in set(sizes):
+        room.settle(size)
 
     for doc in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
         start, left = 0, lengths[doc]
         while left:
-            whole = min(left, longest)
-            tried, chosen = [], None
-            while heap and len(tried) < PROBES:
-                entry = heapq.heappop(heap)
-                if sizes[entry[1]] - used[entry[1]] >= whole:
-                    chosen = entry[1]
-                    break
-                tried.append(entry)
-            if chosen is None:  # cut: the cheapest of them takes what it has room for
-                chosen = tried.pop(0)[1]
-            for entry in tried:
-                heapq.heappush(heap, entry)
-            n = min(whole, sizes[chosen] - used[chosen])
-            yield doc, start, n, chosen, used[chosen]
-            used[chosen] += n
-            costs[chosen] += cost(n)
-            if used[chosen] < sizes[chosen]:
-                heapq.heappush(heap, (costs[chosen], chosen))
+            cost, sequence, free = room.cheapest(min(left, longest)) or room.cheapest(1)
+            room.take(free)
+            n = min(left, free)
+            yield doc, start, n, sequence, sizes[sequence] - free
+            if free > n:
+                room.put(free - n, (cost + linear * n + quadratic * n * n, sequence))
             start += n
             left -= n
 
@@ -182,14 +221,8 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 4096, end_id: int
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"]
 
     def rows(batches):
-        table = word_table(tokenizer_path)
-        try:
-            yield from packed(table, batches)
-        finally:
-            table.reset()  # the worker may serve other stages next
-
-    def packed(table, batches):
-        context = TaskContext.get()
+        table, context = word_table(tokenizer_path), TaskContext.get()
+        table.serve(context.stageId() if context else None)
         sequence = (context.partitionId() if context else 0) << 40
         keys, ids, held = [], [], 0
         for batch in batches:

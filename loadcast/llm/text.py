@@ -93,13 +93,13 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picks
 class ChunkTable(dict):
     """Token ids of text chunks: a dictionary into one ragged array of bounded size.
 
-    ``encode`` maps a list of new chunks to (flat ids, lengths). The table
-    starts anew once it holds ``limit`` chunks.
+    ``encode`` maps a list of new chunks to (flat ids, lengths). Once the table
+    holds ``limit`` chunks, the older half of them goes.
     """
 
     def __init__(self, encode, limit: int = 500_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.stage = encode, limit, None
         self.reset()
 
     def reset(self):
@@ -108,15 +108,29 @@ class ChunkTable(dict):
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
 
+    def serve(self, stage):
+        """Start anew for another stage: what the last one looked up is not kept beside it."""
+        if stage != self.stage:
+            self.reset()
+            self.stage = stage
+
+    def halve(self):
+        gone = len(self.starts) // 2
+        at = int(self.starts[gone]) if gone < len(self.starts) else len(self.flat)
+        left = {c: row - gone for c, row in self.items() if row >= gone}
+        self.clear()
+        self.update(left)
+        self.flat, self.starts, self.lengths = self.flat[at:].copy(), self.starts[gone:] - at, self.lengths[gone:].copy()
+
     def rows(self, chunks: list[str]) -> np.ndarray:
         """The rows of different chunks; new ones are encoded."""
         if len(self) > self.limit:
-            self.reset()
+            self.halve()
         found = list(map(self.get, chunks))
         new = [c for c, row in zip(chunks, found, strict=True) if row is None]
         if new:
             flat, lengths = self.encode(new)
-            base = len(self)
+            base = len(self.starts)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])

@@ -3,7 +3,7 @@
 import random
 
 CLASHES = ["key", "text_", "th", "lines", "score", "ids", "class_id", "n_lines", "n_removed", "lang_pred", "ambiguous",
-           "row", "starts", "body", "copy", "raw", "band", "part", "id", "url_", "cell"]
+           "row", "starts", "body", "copy", "raw", "band", "part", "id", "url_", "cell", "row_of_id", "a.b", "nth"]
 
 
 def words(rnd, n, vocabulary=400):

@@ -139,21 +139,46 @@ def test_every_text_of_a_repeated_id_finds_its_near_copies(spark):
     assert {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()} == want
 
 
-def test_a_screen_of_blocks_lists_every_pair_between_classes():
-    rnd = np.random.default_rng(12)
-    base = rnd.integers(0, 256, 144).astype(np.uint8)
-    prints = [np.where(rnd.random(144) < 0.12, rnd.integers(0, 256, 144), base).astype(np.uint8) for _ in range(90)]
-    roots = [k % 4 for k in range(90)]
-    want = {(a, b) for a in range(90) for b in range(a) if roots[a] != roots[b] and (prints[a] == prints[b]).mean() >= 0.75}
+def near_family(n, seed=12):
+    """Sets of up to four edited shingle runs of one text: some alike, some not."""
+    rnd = np.random.default_rng(seed)
+    base, family = rnd.integers(1, 2**62, 116).astype(np.uint64), []
+    for _ in range(n):
+        own = base.copy()
+        for at in rnd.integers(0, 112, rnd.integers(0, 5)):
+            own[at : at + 5] = rnd.integers(1, 2**62, 5)[: len(own[at : at + 5])]
+        family.append(np.unique(own))
+    return family
+
+
+@pytest.mark.parametrize("columns", [16, 2048])
+def test_blocks_emit_a_spanning_set_of_the_links(monkeypatch, columns):
+    monkeypatch.setattr(minhash, "COLUMNS", columns)
+    sets = near_family(120)
+    sets[7] = np.array([5], np.uint64)
+    given = [k % 40 + 1000 if k % 3 == 0 else k for k in range(120)]  # some classes joined before
+    pairs = {(a, b) for a in range(120) for b in range(a) if minhash.alike(sets[a], sets[b], 0.8)}
+    before = [(k, given[k]) for k in range(120) if given[k] >= 1000]
+    want = roots([*pairs, *before])
     for blocks in (1, 3):
-        rows = sorted((7, min(k % blocks, o), max(k % blocks, o), k % blocks <= o, k, roots[k], prints[k].tobytes())
-                      for k in range(90) for o in range(blocks))
+        rows = sorted((7, min(k % blocks, o), max(k % blocks, o), k % blocks <= o, k, given[k], sets[k].tobytes())
+                      for k in range(120) for o in range(blocks))
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                           ["band", "i", "j", "first", "id", "root", "signature"])
-        found = [{p for out in minhash.screen([batch], 0.75, nearest) for p in zip(*out.to_pydict().values(), strict=True)}
-                 for nearest in (False, True)]
-        assert found[0] == want and found[1] <= want and {x for p in found[1] for x in p} == {x for p in want for x in p}
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)],
+                                              ["band", "i", "j", "first", "id", "root", "s"]) for part in (rows[:50], rows[50:])]
+        found = [p for out in minhash.group_links(batches, 0.8) for p in zip(*out.to_pydict().values(), strict=True)]
+        assert set(found) <= pairs and len(found) < 120 * (1 if blocks == 1 else 2 * blocks)
+        assert roots([*found, *before]) == want
+
+
+def test_links_of_a_group_grow_in_proportion():
+    sizes = []
+    for n in (150, 300, 600):
+        sets = near_family(n)
+        found = minhash.block_links(np.arange(n), np.arange(n), sets, np.ones(n, bool), 0.8)
+        assert len(found) < n
+        sizes.append(len(found) / n)
+    assert max(sizes) < 1.5 * min(sizes)
 
 
 def test_one_document_of_each_class_stays(spark):
@@ -165,6 +190,13 @@ def test_one_document_of_each_class_stays(spark):
     assert ids == sorted([*classes, "None", "None"])
 
 
+def test_columns_of_any_name_survive(spark):
+    rows = [(1, "a b c d e f g", "x", "y", "z"), (2, "a b c d e f g", "x", "y", "z"), (3, "other text here", "p", "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_of_id string, `a.b` string, nth string")
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_counted_weights(spark):
     rows = [(1, "a b c d e " * 30), (2, "a b c d e " * 3), (3, "a b c d e " * 29)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from cases import awkward, corpus, nothing
 from loadcast.llm import byte_bpe, packing, simhash
-from loadcast.llm.text import sections
+from loadcast.llm.text import ChunkTable, sections
 
 RANKS, WORDS = public.path("byte_bpe_50k.tiktoken"), public.path("word_bpe_49k.json")
 
@@ -74,16 +74,15 @@ def test_sections_split_like_the_whole_text():
 
 def whole_ids(text):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_chunks_equal_whole_texts():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     rnd = random.Random(2)
     alphabet = "abCé.,'s \n!<|İΣ1ﬁ\x02́"
-    texts = ODD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(400)]
+    texts = ODD + ["İ,", "end <|endoftext|> of", "a<|EndOfText|>b <|startoftext|>", "<|endoftext|", None]
+    texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(4000)]
     table = packing.word_table(WORDS)
     for text, ids in zip(texts, packing.tokenise(pa.array(texts), table), strict=True):
         assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
@@ -109,6 +108,32 @@ def test_sequences_are_full_and_balanced():
             assert at == lengths[doc]
 
 
+def test_documents_go_to_the_cheapest_sequence_with_room():
+    rnd = random.Random(9)
+    lengths = [min(9000, int(rnd.lognormvariate(6, 1))) + 1 for _ in range(600)]
+    sizes, where = packing.sequence_sizes(sum(lengths), 4096), {}
+    used, costs = [0] * len(sizes), [0.0] * len(sizes)
+    for doc, start, n, sequence, offset in packing.assign(lengths, 4096):
+        left = min(4096, lengths[doc] - start)
+        free = [s for s in range(len(sizes)) if sizes[s] - used[s] >= left] or [s for s in range(len(sizes)) if sizes[s] > used[s]]
+        assert sequence == min(free, key=lambda s: (costs[s], s)) and n == min(left, sizes[sequence] - used[sequence])
+        used[sequence] += n
+        costs[sequence] += n + n * n / 4096
+        where.setdefault(doc, []).append(sequence)
+    assert used == sizes and len(where) == 600
+
+
+def test_a_chunk_table_keeps_the_newer_half():
+    table = ChunkTable(lambda new: (np.concatenate([np.full(len(c), int(c), np.uint32) for c in new]), np.array([len(c) for c in new])), 20)
+    for low in range(0, 200, 7):
+        chunks = [str(k) for k in range(low, low + 9)]
+        ids, n = table.take(table.rows(chunks))
+        assert n.tolist() == [len(c) for c in chunks] and ids.tolist() == [int(c) for c in chunks for _ in c]
+        assert len(table) < 40
+    table.serve(3)
+    assert len(table) == 0
+
+
 def test_short_documents_go_where_attention_is_cheapest():
     # Two long documents claim a sequence each; the cheaper sequence takes the next one.
     pieces = list(packing.assign([3000, 2000, 1000, 2192], 4096))
