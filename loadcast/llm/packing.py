@@ -35,7 +35,7 @@ PART = "\x02"
 GROUP_TOKENS = 2 << 20
 
 #: Chunks whose ids a worker keeps while it serves one stage.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 600_000
 
 
 @lru_cache(maxsize=2)
