@@ -14,6 +14,7 @@ from loadcast import schema as S
 from loadcast.catalog import sqlparts as Q
 from loadcast.catalog.common import demand
 from loadcast.operators import changes as ch
+from loadcast.operators import incremental as inc
 from loadcast.sources import ingest as io
 from loadcast.sources.panels import read_table
 from loadcast.session import scratch_path
@@ -85,6 +86,14 @@ def a6_changed_rows(spark, sf):
 A6_SQL = EDIT_SQL + "SELECT o_orderkey, kind, o_totalprice, o_orderpriority, changed_cols FROM diff\n"
 
 
+def a6_changed_by_digest(spark, sf):
+    """The same from digests kept beside the base table: only key buckets that differ are compared."""
+    path = inc.write_with_digests(base_orders(spark, sf), scratch_path(spark, "orders_digests"), KEY, COMPARE, buckets=64, coarse=8)
+    d = inc.changed_by_digest(edited_orders(spark, sf), path, KEY, COMPARE, buckets=64, coarse=8)
+    return d.select(*KEY, "kind", "o_totalprice", "o_orderpriority",
+                    F.array_join("changed", ",").alias("changed_cols"))
+
+
 def a7_changed_columns(spark, sf):
     return ch.changed_columns(_diff(spark, sf))
 
@@ -124,6 +133,33 @@ def a9_upsert_changes(spark, sf):
 A9_SQL = EDIT_SQL + "SELECT * FROM edited\n"
 
 
+def a9_write_changed(spark, sf):
+    """Edits of 1995 saved to a table by month: its rows after that, and whether the month's files are new ones."""
+    period = F.date_format("o_orderdate", "yyyy-MM").alias("period")
+    base = base_orders(spark, sf).withColumn("period", period)
+    path = inc.write_by_period(base, scratch_path(spark, "orders_by_month"), "period")
+
+    def files():
+        named = spark.read.parquet(path).select("period", F.input_file_name().alias("file"))
+        return named.groupBy("period").agg(F.sort_array(F.collect_set("file")).alias("files"))
+
+    before = spark.createDataFrame(files().collect(), files().schema)  # some files a month
+    edited = edited_orders(spark, sf).withColumn("period", period)
+    within = F.year("o_orderdate") == 1995
+    changes = ch.changed_rows(edited.where(within), base.where(within), KEY, [*COMPARE, "period"])
+    inc.write_changes(path, changes, KEY, "period", "period")
+    after = files().withColumnRenamed("files", "now").join(before, "period", "left")
+    marks = after.select("period", (~F.col("files").eqNullSafe(F.col("now"))).alias("rewritten"))
+    return spark.read.parquet(path).join(F.broadcast(marks), "period").select(*ORDER_COLS, "period", "rewritten")
+
+
+A9_WRITE_SQL = EDIT_SQL + """, table_now AS (
+  SELECT * FROM edited WHERE year(o_orderdate) = 1995
+  UNION ALL SELECT * FROM base WHERE year(o_orderdate) <> 1995)
+SELECT *, strftime(o_orderdate, '%Y-%m') AS period, year(o_orderdate) = 1995 AS rewritten FROM table_now
+"""
+
+
 def a5_drop_internal(spark, sf):
     df = demand(spark, sf).withColumn("month", F.month(S.DATE))
     return ch.drop_internal(df)
@@ -353,10 +389,12 @@ QUERIES = {
     "a4_profile_range": (a4_profile_range, A4_SQL),
     "a5_drop_internal": (a5_drop_internal, A5_SQL),
     "a6_changed_rows": (a6_changed_rows, A6_SQL),
+    "a6_changed_by_digest": (a6_changed_by_digest, A6_SQL),
     "a7_changed_columns": (a7_changed_columns, A7_SQL),
     "a8_group_consecutive": (a8_group_consecutive, A8_SQL),
     "a9_upsert": (a9_upsert, A9_SQL),
     "a9_upsert_changes": (a9_upsert_changes, A9_SQL),
+    "a9_write_changed": (a9_write_changed, A9_WRITE_SQL),
     "a10_replace_table": (a10_replace_table, RENDER_SQL),
     "a11_normalize_date_strings": (a11_normalize_date_strings, A11_SQL),
     "a12_render_cell": (a12_render_cell, RENDER_SQL),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadcast import schema as S
+from loadcast.sources.panels import read_table
 from loadcast.catalog import sqlparts as Q
 from loadcast.catalog.common import demand, demand_cal, exact_avg, region_cal
 from loadcast.functions import calendar as cal
@@ -65,7 +66,7 @@ FROM panel
 def b5_holiday_flag(spark, sf):
     """Holiday flag on the sparse region panel, with the holiday dimension joined
     for the holiday name (a bounded table: 8 rows per calendar year)."""
-    df = cal.with_holiday_flag(region_cal(spark, sf).drop(S.IS_HOLIDAY))
+    df = cal.with_holiday_flag(region_cal(spark, sf).drop(S.IS_HOLIDAY), moving=True)
     dim = cal.holiday_calendar(df)
     return (df.join(F.broadcast(dim.withColumnRenamed("name", "holiday_name")),
                     S.DATE, "left")
@@ -82,6 +83,20 @@ FROM cal
 """
 
 
+def b5_lunar_holidays(spark, sf):
+    """Moving holidays of every year in which there are orders, with the orders of each day."""
+    orders = read_table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias(S.DATE))
+    per_day = orders.groupBy(S.DATE).agg(F.count(F.lit(1)).alias("n_orders"))
+    return (cal.moving_holiday_calendar(per_day).join(per_day, S.DATE, "left")
+            .select(S.DATE, "name", F.coalesce("n_orders", F.lit(0)).cast("long").alias("n_orders")))
+
+
+B5_LUNAR_SQL = f"""
+SELECT d AS date, name, (SELECT count(*) FROM orders WHERE o_orderdate::DATE = d) AS n_orders
+FROM ({Q.MOVING_SQL}) m WHERE year(d) IN (SELECT year(o_orderdate) FROM orders)
+"""
+
+
 def b6_business_day(spark, sf):
     return demand_cal(spark, sf).select(*KEYS, S.WEEKDAY_NUM, S.IS_HOLIDAY, S.IS_BUSINESS_DAY)
 
@@ -437,6 +452,7 @@ QUERIES = {
     "b3_calendar_parts": (b3_calendar_parts, B3_SQL),
     "b4_weekday_name": (b4_weekday_name, B4_SQL),
     "b5_holiday_flag": (b5_holiday_flag, B5_SQL),
+    "b5_lunar_holidays": (b5_lunar_holidays, B5_LUNAR_SQL),
     "b6_business_day": (b6_business_day, B6_SQL),
     "b7_day_type_default": (b7_day_type_default, B7_SQL),
     "b8_normalize_day_type": (b8_normalize_day_type, B8_SQL),

