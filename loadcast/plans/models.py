@@ -15,6 +15,8 @@ The forest is Spark ML's ``RandomForestRegressor``. The gas model offers:
   The model is a sum of per-feature monotone step functions, so each signed
   feature is monotone by construction. Prediction is a Catalyst expression
   (bucketize + array lookup), no UDF.
+* ``monotone=True, interactions=True``: trees that keep the directions
+  (:mod:`loadcast.plans.trees`).
 * ``monotone=False``: Spark ML ``GBTRegressor``, with interactions between features.
 """
 
@@ -541,12 +543,19 @@ def impute_missing(df: DataFrame, means: dict[str, float]) -> DataFrame:
 def fit_gas_model(train: DataFrame, features: list[str], label: str = S.GAS_DEMAND,
                   monotone: bool = True, rounds: int = 300, learning_rate: float = 0.05,
                   max_depth: int = 6, min_rows: int = 10,
-                  rows_per_partition: int = ROWS_PER_PARTITION):
+                  rows_per_partition: int = ROWS_PER_PARTITION, interactions: bool = False, **trees):
     """the gas model; signs from :data:`loadcast.schema.GAS_MONOTONE`.
 
-    The constrained model is a sum of monotone steps without interactions;
-    ``monotone=False`` gives trees with interactions and no constraint.
+    The constrained model is a sum of monotone steps; with ``interactions``
+    it is boosted trees that keep the signs, with as many rounds as lower the
+    held-out loss (``trees``: further parameters of
+    :func:`loadcast.plans.trees.fit_monotone_trees`). ``monotone=False`` gives
+    trees with interactions and no constraint.
     """
+    if monotone and interactions:
+        from loadcast.plans.trees import fit_monotone_trees
+        return fit_monotone_trees(train, features, label=label, max_depth=max_depth,
+                                  min_rows=min_rows, **trees)
     if monotone:
         signs = monotone_signs(features)
         return fit_monotone_boost(train, features, signs, label, rounds, learning_rate,
@@ -581,6 +590,6 @@ def predict(model, df: DataFrame, features: list[str] | None = None) -> DataFram
 
 def importances(model, features: list[str]) -> list[tuple[str, float]]:
     """per-feature importance shares summing to 1."""
-    if isinstance(model, (MonotoneBoostModel, BoostedTrees)):
-        return model.importances()
-    return forest_importances(model, features)
+    if isinstance(model, ForestEnsemble):
+        return forest_importances(model, features)
+    return model.importances()

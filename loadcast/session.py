@@ -71,3 +71,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a written table through the file system that its path names."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
