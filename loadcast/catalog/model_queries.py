@@ -10,6 +10,8 @@ queries share one fit.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +48,30 @@ def trained_gas(spark, sf):
     return _CACHE[k]
 
 
+def _train_mean(t):
+    return F.lit(t.table.where(F.col("split") == sp.TRAIN).agg(F.avg(t.label)).first()[0])
+
+
+def trained_trees(spark, sf):
+    """The gas model as monotone trees, over the training table of the additive one."""
+    k = _key(spark, sf, "trees")
+    if k not in _CACHE:
+        t = trained_gas(spark, sf)
+        model = md.fit_gas_model(t.table.where(F.col("split") == sp.TRAIN), t.features, interactions=True,
+                                 max_depth=4, learning_rate=0.2)
+        _CACHE[k] = replace(t, model=model)
+    return _CACHE[k]
+
+
+def tuned_demand(spark, sf):
+    k = _key(spark, sf, "tuned")
+    if k not in _CACHE:
+        table, features = tr.demand_training_table(demand(spark, sf))
+        table = tr.materialize(table)
+        _CACHE[k] = md.tune_forest(table.where(F.col("split") == sp.TRAIN), features, refit=False)
+    return _CACHE[k]
+
+
 def f1_fit_demand_forest(spark, sf):
     """Hold-out rows with their actual demand; a forest predicts means of training labels."""
     t = trained_demand(spark, sf)
@@ -75,9 +101,7 @@ F1_SQL = _DEMAND_ROWS + "SELECT series_id, date, max_demand AS actual, TRUE AS i
 
 def f2_tune_forest(spark, sf):
     """Random search over expanding folds; one row per draw, the best of them chosen."""
-    table, features = tr.demand_training_table(demand(spark, sf))
-    table = tr.materialize(table)
-    res = md.tune_forest(table.where(F.col("split") == sp.TRAIN), features, refit=False)
+    res = tuned_demand(spark, sf)
     best = min(t["mean_mae"] for t in res.trials)
     schema = T.StructType([
         T.StructField("draw", T.IntegerType()), T.StructField("num_trees", T.IntegerType()),
@@ -97,6 +121,15 @@ F2_SQL = "SELECT * FROM (VALUES " + ", ".join(
     ") t(draw, num_trees, max_depth, min_rows_per_leaf, scored, best_is_chosen)\n"
 
 
+def f2_tuning_errors(spark, sf):
+    """The mean MAE over the time folds of every draw, and its rank (no twin: a model's result)."""
+    trials = sorted(tuned_demand(spark, sf).trials, key=lambda t: (t["mean_mae"], t["draw"]))
+    rows = [(t["draw"], t["numTrees"], t["maxDepth"] or md.UNLIMITED_DEPTH, t["minInstancesPerNode"],
+             float(t["mean_mae"]), i) for i, t in enumerate(trials, 1)]
+    return spark.createDataFrame(rows, "draw int, num_trees int, max_depth int, min_rows_per_leaf int, "
+                                       "mean_mae double, rank int")
+
+
 def f3_fit_gas_model(spark, sf):
     """Hold-out rows of the gas model with their actual values."""
     return tr.holdout_predictions(trained_gas(spark, sf)).select(
@@ -123,6 +156,53 @@ F3_TREES_SQL = _GAS_ROWS + """SELECT series_id, date, day(date) % 10 = 3 AS lack
 """
 
 
+def f3_monotone_trees(spark, sf):
+    """Hold-out rows of the monotone trees with their actual values; per series, whether the trees'
+    MAE is no worse than that of the training mean."""
+    t = trained_trees(spark, sf)
+    scored = tr.holdout_predictions(t)
+    better = scored.groupBy(S.SERIES).agg(
+        (F.avg(F.abs(F.col("actual") - F.col("prediction")))
+         <= F.avg(F.abs(F.col("actual") - _train_mean(t)))).alias("no_worse_than_mean"))
+    return scored.join(better, S.SERIES).select(S.SERIES, S.DATE, F.round("actual", 4).alias("actual"),
+                                                "no_worse_than_mean")
+
+
+F3_MONOTONE_SQL = _GAS_ROWS + """SELECT series_id, date, ROUND(gas_demand, 4) AS actual, TRUE AS no_worse_than_mean FROM ho
+"""
+GRID_POINTS = 6
+
+
+def f4_monotone_trees(spark, sf):
+    """Every hold-out row with each signed feature moved over a grid of its cut points, the other
+    features as they are: steps against the direction, and steps compared. The grid of a row and
+    feature has ``GRID_POINTS`` points; predictions are made once, over all of them."""
+    t = trained_trees(spark, sf)
+    model, signed = t.model, [(f, s) for f, s in zip(t.features, t.model.signs) if s]
+    points = []
+    for f, sign in signed:
+        edges = model.edges[t.features.index(f)]
+        points += [F.struct(F.lit(f).alias("feature"), F.lit(sign).alias("sign"), F.lit(k).alias("point"),
+                            F.lit(float(edges[k * (len(edges) - 1) // (GRID_POINTS - 1)])).alias("x"))
+                   for k in range(GRID_POINTS)]
+    grid = (t.table.where(F.col("split") == sp.TEST)
+            .select(S.SERIES, S.DATE, *t.features, F.explode(F.array(*points)).alias("_g")))
+    moved = {f: F.when(F.col("_g.feature") == f, F.col("_g.x")).otherwise(F.col(f)) for f, _ in signed}
+    scored = model.transform(grid, overrides=moved)
+    line = F.sort_array(F.collect_list(F.struct("_g.point", "prediction")))["prediction"]
+    lines = scored.groupBy(S.SERIES, S.DATE, "_g.feature", "_g.sign").agg(line.alias("p"))
+    steps = F.zip_with(F.slice("p", 1, GRID_POINTS - 1), F.slice("p", 2, GRID_POINTS - 1),
+                       lambda a, b: (b - a) * F.col("sign"))
+    return lines.groupBy("feature", "sign").agg(
+        F.sum(F.size(steps)).alias("n_steps"),
+        F.sum(F.size(F.filter(steps, lambda d: d < -1e-9))).alias("n_violations"))
+
+
+F4_TREES_SQL = _GAS_ROWS + f"""SELECT feature, CAST(sign AS INTEGER) AS sign, COUNT(*) * {GRID_POINTS - 1} AS n_steps, 0::BIGINT AS n_violations
+FROM ho, (VALUES """ + ", ".join(f"('{f}', {d})" for f, d in S.GAS_MONOTONE.items() if d) \
+    + ") v(feature, sign) GROUP BY 1, 2\n"
+
+
 def f4_monotone_map(spark, sf):
     """Property check: raising a signed feature never moves the prediction the
     wrong way, over every hold-out row (base and raised predictions are
@@ -353,6 +433,20 @@ def f9_feature_importance(spark, sf):
     return spark.createDataFrame(rows, schema)
 
 
+def f9_importance_shares(spark, sf):
+    """The shares themselves, with their rank within a model (no twin: a model's result)."""
+    rows = []
+    for name, t in _models(spark, sf):
+        shares = sorted(md.importances(t.model, t.features), key=lambda p: (-p[1], p[0]))
+        rows += [(name, f, float(v), i) for i, (f, v) in enumerate(shares, 1)]
+    return spark.createDataFrame(rows, "model string, feature string, share double, rank int")
+
+
+def _models(spark, sf):
+    return (("demand_forest", trained_demand(spark, sf)), ("gas_boost", trained_gas(spark, sf)),
+            ("gas_trees", trained_trees(spark, sf)))
+
+
 F9_SQL = "SELECT model, feature, TRUE AS is_share, 1.0::DOUBLE AS model_total FROM (VALUES " + ", ".join(
     [f"('demand_forest', '{f}')" for f in S.DEMAND_BASE_FEATURES + S.DEMAND_TEMP_EXTRAS + S.DOW_COLUMNS]
     + [f"('gas_boost', '{f}')" for f in S.GAS_FEATURES]) + ") t(model, feature)\n"
@@ -373,6 +467,19 @@ def f10_evaluate(spark, sf):
     return out
 
 
+def f10_metrics(spark, sf):
+    """Hold-out MAE and R2 per model and series, beside the MAE of the training mean (no twin: a
+    model's result). The mean is that of all training rows, as no model knows the series."""
+    out = None
+    for name, t in _models(spark, sf):
+        base = (t.table.where(F.col("split") == sp.TEST).groupBy(S.SERIES)
+                .agg(F.avg(F.abs(F.col(t.label) - _train_mean(t))).alias("constant_mae")))
+        m = tr.evaluate(t).join(base, S.SERIES).select(F.lit(name).alias("model"), S.SERIES, "n", "mae",
+                                                       "r2", "constant_mae")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 F10_SQL = _DEMAND_ROWS + """
 , gs AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date) AS rn,
                 COUNT(*) OVER (PARTITION BY series_id) AS n
@@ -388,7 +495,12 @@ QUERIES = {
     "f1_fit_demand_forest": (f1_fit_demand_forest, F1_SQL),
     "f2_tune_forest": (f2_tune_forest, F2_SQL),
     "f3_fit_gas_model": (f3_fit_gas_model, F3_SQL),
+    "f2_tuning_errors": (f2_tuning_errors, None),
     "f3_gas_trees": (f3_gas_trees, F3_TREES_SQL),
+    "f3_monotone_trees": (f3_monotone_trees, F3_MONOTONE_SQL),
+    "f4_monotone_trees": (f4_monotone_trees, F4_TREES_SQL),
+    "f9_importance_shares": (f9_importance_shares, None),
+    "f10_metrics": (f10_metrics, None),
     "f4_monotone_map": (f4_monotone_map, F4_SQL),
     "f5_forecast_demand": (f5_forecast_demand, F5_FORECAST_SQL),
     "f5_forecast_feature_rows": (f5_forecast_feature_rows, F5_SQL),
