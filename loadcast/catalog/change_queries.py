@@ -382,7 +382,36 @@ FROM orders, (SELECT unnest(['csv', 'parquet']) AS fmt) f
 """
 
 
+def a1_bad_records(spark, sf):
+    """Orders as text with lines cut short (keys ``% 101 = 7``) or one cell too long (``% 89 = 3``):
+    every quarantined line, and the good rows by status."""
+    k = F.col("o_orderkey")
+    cells = [k.cast("string"), F.col("o_orderstatus"), F.when(k % 101 != 7, F.col("o_orderpriority")),
+             F.when(k % 89 == 3, F.lit("extra"))]
+    path, quarantine = scratch_path(spark, "lines"), scratch_path(spark, "quarantine")
+    header = "o_orderkey,o_orderstatus,o_orderpriority"
+    lines = base_orders(spark, sf).select(F.concat_ws(",", *cells).alias(header))
+    lines.write.option("header", True).option("sep", "\u0001").csv(path)
+    good = io.read_with_quarantine(spark, path, quarantine)
+    bad = spark.read.parquet(quarantine)
+    return (bad.groupBy(F.lit("bad").alias("kind"), "line").agg(F.count(F.lit(1)).alias("n"))
+            .unionByName(good.groupBy(F.lit("good").alias("kind"), F.col("o_orderstatus").alias("line"))
+                         .agg(F.count("o_orderpriority").alias("n"))))
+
+
+A1_BAD_SQL = """
+WITH l AS (SELECT o_orderkey AS k, o_orderstatus AS s,
+                  CASE WHEN o_orderkey % 101 <> 7 THEN o_orderpriority END AS p,
+                  CASE WHEN o_orderkey % 89 = 3 THEN 'extra' END AS x FROM orders),
+m AS (SELECT *, (p IS NULL) <> (x IS NOT NULL) AS bad FROM l)
+SELECT 'bad' AS kind, concat_ws(',', CAST(k AS VARCHAR), s, p, x) AS line, COUNT(*) AS n FROM m WHERE bad GROUP BY 2
+UNION ALL
+SELECT 'good', s, COUNT(*) FROM m WHERE NOT bad GROUP BY 2
+"""
+
+
 QUERIES = {
+    "a1_bad_records": (a1_bad_records, A1_BAD_SQL),
     "a1_read_table": (a1_read_table, A1_SQL),
     "a2_coerce_numeric": (a2_coerce_numeric, A2_SQL),
     "a3_coerce_date": (a3_coerce_date, A3_SQL),

@@ -24,7 +24,8 @@ from loadcast.plans import models as md
 def demand_feature_rows(targets: DataFrame, history: DataFrame,
                         extra_holidays: DataFrame | None = None, lag_by: str = "rows",
                         last_year_mode: str = "per_row",
-                        day_type_override: bool = True) -> DataFrame:
+                        day_type_override: bool = True,
+                        month_weekday: DataFrame | None = None) -> DataFrame:
     """F5 feature rows for ``targets`` (series_id, date [, in_low, in_high, in_feels]).
 
     * temperatures: observed on the date (E3), else supplied (B25);
@@ -36,6 +37,9 @@ def demand_feature_rows(targets: DataFrame, history: DataFrame,
       else the 7th latest, which on a series without gaps is the row lag;
       ``calendar``: the value dated 7 days before only);
     * cooling / heating / diurnal range and weekday one-hots as in training.
+
+    ``month_weekday`` is a kept D1 table; with it (mode ``per_row``) the prior
+    year's means come from there and ``history`` needs its latest rows only.
     """
     keys = [S.SERIES]
     t = targets
@@ -66,7 +70,7 @@ def demand_feature_rows(targets: DataFrame, history: DataFrame,
     lag7 = lk.same_dow_last_week(tk, hist) if lag_by == "rows" else _week_before(tk, hist)
     t = (t.join(lag1.select(*keys, S.DATE, "_lag1"), keys + [S.DATE], "left")
          .join(lag7, keys + [S.DATE], "left"))
-    t = _last_year_mean(t, cal.calendar_parts(cal.with_weekday(hist)), last_year_mode)
+    t = _last_year_mean(t, cal.calendar_parts(cal.with_weekday(hist)), last_year_mode, month_weekday)
     t = t.withColumns({
         S.DEMAND_LAG1: F.coalesce("_lag1", F.lit(0.0)),
         S.DEMAND_LAG7: F.coalesce("demand_last_week", F.lit(0.0)),
@@ -87,12 +91,14 @@ def _week_before(targets: DataFrame, hist: DataFrame) -> DataFrame:
     return targets.join(value, [S.SERIES, S.DATE], "left")
 
 
-def _last_year_mean(t: DataFrame, hcal: DataFrame, mode: str) -> DataFrame:
+def _last_year_mean(t: DataFrame, hcal: DataFrame, mode: str,
+                    month_weekday: DataFrame | None = None) -> DataFrame:
     """``_ly`` for targets with year, month and weekday, by the mode training used."""
     if mode == "disabled":
         return t.withColumn("_ly", F.lit(0.0))
     if mode == "per_row":
-        mw = fe.month_weekday_table(hcal).select(
+        known = fe.month_weekday_table(hcal) if month_weekday is None else month_weekday
+        mw = known.select(
             S.SERIES, (F.col(S.YEAR) + 1).alias(S.YEAR), S.MONTH, S.WEEKDAY_NUM,
             F.col("mean_max_demand").alias("_ly"))
         return t.join(mw, [S.SERIES, S.YEAR, S.MONTH, S.WEEKDAY_NUM], "left")

@@ -38,6 +38,41 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv",
     return df
 
 
+BAD_LINE = "_bad_line"
+
+
+def read_with_bad_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A1 for text tables that may hold bad lines: ``(good rows, bad lines)``.
+
+    A line is bad if it has fewer or more cells than the header. Such a line
+    loses or shifts cells without notice in :func:`read_table`; here it is no
+    row but comes back as ``(file, line)`` with its whole text. Every file
+    starts with the same header line, blank lines are none, cells are text; a
+    quoted line break ends a line. Both tables are lazy and read the files
+    once each.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, BAD_LINE]])
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    first = text.where(F.trim("line") != "").select("line").first()
+    data = text.where((F.trim("line") != "") & (F.col("line") != F.lit(first[0] if first else "")))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE, "columnPruning": "false"}
+    cells = data.withColumn("_c", F.from_csv("line", schema.toDDL(), options))
+    bad = F.col(f"_c.{BAD_LINE}").isNotNull()
+    return cells.where(~bad).select(*[F.col("_c")[c].alias(c) for c in names]), cells.where(bad).select("file", "line")
+
+
+def read_with_quarantine(spark: SparkSession, path: str, quarantine: str) -> DataFrame:
+    """The good rows of a text table; its bad lines are written to ``quarantine`` (Parquet) first.
+
+    The folder is overwritten, so a repeated run leaves the same lines. An
+    empty one says that no line was bad.
+    """
+    good, bad = read_with_bad_lines(spark, path)
+    bad.write.mode("overwrite").parquet(quarantine)
+    return good
+
+
 def to_number(c: Column) -> Column:
     """Text -> double; anything that is not a plain number (incl. NaN) -> null."""
     s = c.cast("string")
