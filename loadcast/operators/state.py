@@ -151,8 +151,10 @@ def last_two_gas(state: DataFrame) -> DataFrame:
 
 # --- from a change set --------------------------------------------------------------
 
-def calendar_rows(df: DataFrame) -> DataFrame:
-    return cal.calendar_parts(cal.prepare_calendar(df))
+def calendar_rows(df: DataFrame, extra_holidays: DataFrame | None = None,
+                  day_type_override: bool = True) -> DataFrame:
+    """Rows with the calendar columns that the cells are keyed by; options as in training."""
+    return cal.calendar_parts(cal.prepare_calendar(df, extra_holidays, day_type_override))
 
 
 def old_and_new(changes: DataFrame, old: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

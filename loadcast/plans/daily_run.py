@@ -10,7 +10,8 @@ F6) and the gas for the hold-out scenarios (F7) -> write everything.
 
 Outputs (Parquet unless noted): ``profile``, ``metrics``, ``forecast_demand``
 (with the week around the date last year), ``forecast_gas``, ``importances``,
-``models/demand`` (and ``models/gas.json``).
+``models`` and ``state`` (read by :mod:`loadcast.plans.scoring`, which forecasts
+without a fit or a scan of the history).
 
 Saving edits is a job of its own (:func:`save_edits`): the edited table is
 compared with the base by key, and the changes, their ranges and the merged
@@ -31,8 +32,10 @@ from loadcast.operators import changes as ch
 from loadcast.operators import lookup as lk
 from loadcast.operators import profile as pr
 from loadcast.operators import split as sp
+from loadcast.operators import state as st
 from loadcast.plans import forecast as fc
 from loadcast.plans import models as md
+from loadcast.plans import scoring
 from loadcast.plans import training as tr
 from loadcast.sources import ingest as io
 
@@ -91,7 +94,8 @@ def save_edits(spark: SparkSession, table: str, edited: str, out: str, fmt: str
 
 def run(spark: SparkSession, table: str, out: str, fmt: str = "csv", tune: bool = True,
         gas_cutoff: str | None = DEFAULT_GAS_CUTOFF, holidays: str | None = None,
-        day_type_override: bool = True) -> dict:
+        day_type_override: bool = True, gas_interactions: bool = False) -> dict:
+    """The whole flow; models and state are kept under ``out`` for :mod:`loadcast.plans.scoring`."""
     daily = load_daily(spark, table, fmt)
     extra = load_holidays(spark, holidays) if holidays else None
     shared = {"extra_holidays": extra, "day_type_override": day_type_override}
@@ -103,14 +107,14 @@ def run(spark: SparkSession, table: str, out: str, fmt: str = "csv", tune: bool
     targets = lk.next_target_date(daily)
     fc.forecast_demand(targets, daily, demand.model, demand.features, with_last_year=True,
                        **shared).write.mode("overwrite").parquet(f"{out}/forecast_demand")
-    demand.model.save(f"{out}/models/demand")
+    gas = None
     has_gas = all(c in daily.columns for c in S.GAS_INPUTS) and \
         daily.where(F.col(S.GAS_DEMAND).isNotNull()).take(1)
     if has_gas and gas_cutoff:
         has_gas = daily.where((F.col(S.DATE) >= F.to_date(F.lit(gas_cutoff)))
                               & F.col(S.GAS_DEMAND).isNotNull()).take(1)
     if has_gas:
-        gas = tr.train_gas(daily, cutoff=gas_cutoff, **shared)
+        gas = tr.train_gas(daily, cutoff=gas_cutoff, interactions=gas_interactions, **shared)
         gmetrics = tr.evaluate(gas).withColumn("model", F.lit("gas_boost"))
         metrics = metrics.unionByName(gmetrics)
         overall = tr.evaluate(gas, keys=[]).first()
@@ -124,6 +128,10 @@ def run(spark: SparkSession, table: str, out: str, fmt: str = "csv", tune: bool
         if isinstance(gas.model, md.MonotoneBoostModel):
             spark.createDataFrame([(gas.model.to_json(),)], "model string") \
                 .write.mode("overwrite").text(f"{out}/models/gas.json")
+    scoring.save_models(f"{out}/models", demand, gas)
+    absent = [c for c in st.RECENT if c not in daily.columns]
+    scoring.save_state(daily.withColumns({c: F.lit(None).cast("double") for c in absent}), f"{out}/state",
+                       **shared)
     metrics.write.mode("overwrite").parquet(f"{out}/metrics")
     spark.createDataFrame(importances, "model string, feature string, importance double") \
         .write.mode("overwrite").parquet(f"{out}/importances")
@@ -139,6 +147,8 @@ def main(argv: list[str] | None = None) -> None:
                     help="fit the plain 100-tree forest instead of the tuned one")
     ap.add_argument("--gas-cutoff", default=DEFAULT_GAS_CUTOFF,
                     help="first date of gas training rows ('' for all rows)")
+    ap.add_argument("--gas-interactions", action="store_true",
+                    help="fit the gas model as monotone trees with interactions")
     ap.add_argument("--holidays", help="table with the dates of further holidays (CSV)")
     ap.add_argument("--ignore-day-type", dest="day_type", action="store_false",
                     help="business days by the calendar alone, whatever day type is given")
@@ -151,7 +161,7 @@ def main(argv: list[str] | None = None) -> None:
         print(save_edits(spark, args.table, args.edited, args.out, args.format))
         return
     print(run(spark, args.table, args.out, args.format, args.tune, args.gas_cutoff or None,
-              args.holidays, args.day_type))
+              args.holidays, args.day_type, args.gas_interactions))
 
 
 if __name__ == "__main__":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loadcast.plans import daily_run
 from loadcast.plans import forecast as fc
+from loadcast.plans import scoring
 from loadcast.plans import training as tr
 
 
@@ -43,6 +44,14 @@ def test_daily_run_writes_all_outputs(spark, tmp_path):
     imp = spark.read.parquet(f"{out}/importances").collect()
     assert abs(sum(r.importance for r in imp if r.model == "gas_boost") - 1) < 1e-9
     assert spark.read.parquet(f"{out}/profile").first().n_rows == 840
+    # The kept models and state give the run's own forecast.
+    days = spark.createDataFrame([(r.series_id, r.date) for r in fd], "series_id string, date date")
+    kept = {r.series_id: r for r in scoring.score_demand(spark, f"{out}/models", f"{out}/state", days).collect()}
+    assert all(math.isclose(kept[r.series_id].prediction, r.prediction) and
+               math.isclose(kept[r.series_id].demand_last_week, r.demand_last_week) for r in fd)
+    scen = days.withColumns({"max_demand": F.lit(1200.0), "solar_max": F.lit(150.0)})
+    gas = scoring.score_gas(spark, f"{out}/models", f"{out}/state", scen, refreshed_ratios=True).collect()
+    assert len(gas) == 2 and all(0 < r.gas_prediction < 1200 for r in gas)
 
 
 def test_gas_model_skipped_when_cutoff_leaves_no_rows(spark, tmp_path):
