@@ -138,6 +138,29 @@ FROM f WHERE blk > 0 AND rn < st + blk
 """
 
 
+def c8_fold_blocks(spark, sf):
+    """Every row once with its test block, from the small table of bounds."""
+    return sp.fold_blocks(region_cal(spark, sf), method="dates").select(*KEYS, "block")
+
+
+def c8_fold_bounds(spark, sf):
+    bounds = sp.fold_bounds(region_cal(spark, sf))
+    return bounds.select("series_id", F.posexplode("starts").alias("fold", "test_start"))
+
+
+C8_BLOCKS_CTE = Q.REGION + f"""
+, b AS (SELECT series_id, date, ROW_NUMBER() {W_SQL} - 1 AS rn,
+               COUNT(*) OVER (PARTITION BY series_id) AS n,
+               COUNT(*) OVER (PARTITION BY series_id) // 4 AS blk FROM panel)
+, k AS (SELECT series_id, date, CASE WHEN rn < n - 3 * blk THEN -1 ELSE (rn - n + 3 * blk) // blk END AS block
+        FROM b WHERE blk > 0)
+"""
+C8_BLOCKS_SQL = C8_BLOCKS_CTE + "SELECT series_id, date, CAST(block AS INTEGER) AS block FROM k\n"
+C8_BOUNDS_SQL = C8_BLOCKS_CTE + """SELECT series_id, CAST(block AS INTEGER) AS fold, MIN(date) AS test_start
+FROM k WHERE block >= 0 GROUP BY ALL
+"""
+
+
 def c9_ranked_importances(spark, sf):
     """Top-2 features per series by |corr(feature, demand)| as the importance."""
     df = demand_cal(spark, sf)
@@ -334,6 +357,8 @@ QUERIES = {
     "c6_last_two_gas": (c6_last_two_gas, C6_SQL),
     "c7_chronological_split": (c7_chronological_split, C7_SQL),
     "c8_expanding_folds": (c8_expanding_folds, C8_SQL),
+    "c8_fold_blocks": (c8_fold_blocks, C8_BLOCKS_SQL),
+    "c8_fold_bounds": (c8_fold_bounds, C8_BOUNDS_SQL),
     "c7_split_rank": (c7_split_rank, C7_SQL),
     "c8_folds_rank": (c8_folds_rank, C8_SQL),
     "c9_ranked_importances": (c9_ranked_importances, C9_SQL),

@@ -8,6 +8,8 @@ per day, which bounds each window partition.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,27 +56,69 @@ def chronological_split(df: DataFrame, test_fraction: float = 0.2,
             .drop("_rn", "_n"))
 
 
-def expanding_folds(df: DataFrame, n_splits: int = 3, keys: list[str] | None = None,
-                    order: str | list[str] = S.DATE, method: str = "window") -> DataFrame:
-    """Time-series folds; block = n // (n_splits + 1).
+def fold_blocks(df: DataFrame, n_splits: int = 3, keys: list[str] | None = None,
+                order: str | list[str] = S.DATE, out: str = "block", method: str = "window") -> DataFrame:
+    """C8 without copies: every row once, with the number of its test block.
 
-    Fold i (0-based) tests rows [n - (n_splits - i) * block, + block) and trains
-    on every row before them. Output is long: one row per (row, fold) in which
-    the row takes part, with ``role`` = train / test. A series with block = 0
-    yields no fold rows.
+    A series of n rows ends with ``n_splits`` blocks of ``n // (n_splits + 1)``
+    rows, numbered from 0; rows before them have -1. Fold i trains on
+    ``block < i`` and tests on ``block == i``. Rows of a series that is too
+    short for a block are left out.
+
+    ``window`` and ``rank`` count rows (see :func:`_positions`). ``dates``
+    joins the rows to :func:`fold_bounds`: the rows themselves are neither
+    sorted nor gathered by series, and a date is never cut in two. On one row
+    a date all three are equal; there ``order`` is one column.
     """
     keys = keys or [S.SERIES]
     order = [order] if isinstance(order, str) else list(order)
-    base = _positions(df, keys, order, method).withColumn("_rn", F.col("_rn") - 1)
-    base = base.withColumn("_b", F.floor(F.col("_n") / (n_splits + 1)).cast("long"))
-    folds = F.array(*[F.lit(i) for i in range(n_splits)])
-    x = base.withColumn("fold", F.explode(folds))
-    start = F.col("_n") - (F.lit(n_splits) - F.col("fold")) * F.col("_b")
-    role = (F.when(F.col("_rn") < start, F.lit(TRAIN))
-            .when(F.col("_rn") < start + F.col("_b"), F.lit(TEST)))
-    return (x.withColumn("role", role)
-            .where((F.col("_b") > 0) & F.col("role").isNotNull())
-            .drop("_rn", "_n", "_b"))
+    if method == "dates":
+        bounds = fold_bounds(df, n_splits, keys, order[0])
+        own = [F.col(f"_k{i}").eqNullSafe(F.col(f"`{k}`")) for i, k in enumerate(keys)]
+        bounds = bounds.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), F.col("starts").alias("_starts"))
+        # A null date comes before all others, as in a sort.
+        begun = F.size(F.filter("_starts", lambda x: x <= F.col(f"`{order[0]}`")))
+        block = F.when(F.col(f"`{order[0]}`").isNull(), F.lit(-1)).otherwise(begun - 1)
+        return (df.join(bounds, reduce(lambda a, b: a & b, own)).withColumn(out, block.cast("int"))
+                .drop("_starts", *(f"_k{i}" for i in range(len(keys)))))
+    base = _positions(df, keys, order, method)
+    base = base.withColumn("_b", F.floor(F.col("_n") / (n_splits + 1)).cast("long")).where("_b > 0")
+    first = F.col("_n") - F.lit(n_splits) * F.col("_b")
+    block = F.floor((F.col("_rn") - 1 - first) / F.col("_b"))
+    return base.withColumn(out, F.greatest(F.lit(-1), block).cast("int")).drop("_rn", "_n", "_b")
+
+
+def fold_bounds(df: DataFrame, n_splits: int = 3, keys: list[str] | None = None,
+                order: str = S.DATE) -> DataFrame:
+    """One row a series, ``starts``: the first dates of its test blocks, ascending.
+
+    Rows are counted by date first, on the map side, and only these counts are
+    sorted for their running total. A block starts with the first date that
+    has as many rows before it; where several blocks would start with one date
+    it begins them all. Series too short for a block have no row.
+    """
+    keys = keys or [S.SERIES]
+    by = [F.col(f"`{k}`") for k in keys]
+    daily = df.groupBy(*by, F.col(f"`{order}`").alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by)
+    before = F.sum("_c").over(w.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1))
+    placed = (daily.withColumns({"_rn": F.coalesce(before, F.lit(0)), "_n": F.sum("_c").over(w)})
+              .withColumn("_b", F.floor(F.col("_n") / (n_splits + 1)).cast("long")).where("_b > 0"))
+    start = [F.min(F.when(F.col("_rn") >= F.col("_n") - F.lit(n_splits - i) * F.col("_b"), F.col("_d"))) for i in range(n_splits)]
+    return placed.groupBy(*by).agg(F.array_compact(F.array(*start)).alias("starts"))
+
+
+def expanding_folds(df: DataFrame, n_splits: int = 3, keys: list[str] | None = None,
+                    order: str | list[str] = S.DATE, method: str = "window") -> DataFrame:
+    """The folds of :func:`fold_blocks` as one row per (row, fold) with ``role`` = train / test.
+
+    A row is repeated for each fold that it takes part in. For a fit use the
+    blocks, which repeat none.
+    """
+    blocks = fold_blocks(df, n_splits, keys, order, "_block", method)
+    folds = F.sequence(F.greatest(F.col("_block"), F.lit(0)), F.lit(n_splits - 1))
+    role = F.when(F.col("_block") < F.col("fold"), F.lit(TRAIN)).otherwise(F.lit(TEST))
+    return blocks.withColumn("fold", F.explode(folds)).withColumn("role", role).drop("_block")
 
 
 def split_by_day_kind(df: DataFrame, min_rows: int = 20, test_fraction: float = 0.2,

@@ -60,6 +60,8 @@ def load_daily(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 # The reference's defaults: the tuned forest, and gas rows from this date on.
 DEFAULT_GAS_CUTOFF = "2024-12-01"
+# Nodes of a tree of the demand forest; all trees are on the driver (100 of them: some 300 MB at most).
+MAX_NODES = 16_383
 
 
 def load_holidays(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -94,13 +96,14 @@ def save_edits(spark: SparkSession, table: str, edited: str, out: str, fmt: str
 
 def run(spark: SparkSession, table: str, out: str, fmt: str = "csv", tune: bool = True,
         gas_cutoff: str | None = DEFAULT_GAS_CUTOFF, holidays: str | None = None,
-        day_type_override: bool = True, gas_interactions: bool = False) -> dict:
+        day_type_override: bool = True, gas_interactions: bool = False,
+        max_nodes: int | None = MAX_NODES) -> dict:
     """The whole flow; models and state are kept under ``out`` for :mod:`loadcast.plans.scoring`."""
     daily = load_daily(spark, table, fmt)
     extra = load_holidays(spark, holidays) if holidays else None
     shared = {"extra_holidays": extra, "day_type_override": day_type_override}
     pr.profile_range(daily).write.mode("overwrite").parquet(f"{out}/profile")
-    demand = tr.train_demand(daily, tune=tune, **shared)
+    demand = tr.train_demand(daily, tune=tune, max_nodes=max_nodes, **shared)
     metrics = tr.evaluate(demand).withColumn("model", F.lit("demand_forest"))
     importances = [("demand_forest", f, v) for f, v in md.importances(demand.model,
                                                                       demand.features)]
@@ -149,6 +152,8 @@ def main(argv: list[str] | None = None) -> None:
                     help="first date of gas training rows ('' for all rows)")
     ap.add_argument("--gas-interactions", action="store_true",
                     help="fit the gas model as monotone trees with interactions")
+    ap.add_argument("--max-nodes", type=int, default=MAX_NODES,
+                    help="most nodes of a tree of the demand forest (0: as many as the rows ask for)")
     ap.add_argument("--holidays", help="table with the dates of further holidays (CSV)")
     ap.add_argument("--ignore-day-type", dest="day_type", action="store_false",
                     help="business days by the calendar alone, whatever day type is given")
@@ -161,7 +166,7 @@ def main(argv: list[str] | None = None) -> None:
         print(save_edits(spark, args.table, args.edited, args.out, args.format))
         return
     print(run(spark, args.table, args.out, args.format, args.tune, args.gas_cutoff or None,
-              args.holidays, args.day_type, args.gas_interactions))
+              args.holidays, args.day_type, args.gas_interactions, args.max_nodes or None))
 
 
 if __name__ == "__main__":

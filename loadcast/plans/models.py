@@ -68,6 +68,17 @@ def forest(num_trees: int = 100, max_depth: int | None = None, min_rows: int = 1
         maxMemoryInMB=max_memory_mb, checkpointInterval=10)
 
 
+def depth_within(max_depth: int | None, max_nodes: int | None) -> int | None:
+    """The depth at which a binary tree cannot hold more than ``max_nodes`` nodes, or ``max_depth`` if less.
+
+    ``max_nodes`` is 3 or more. Spark ML grows trees level by level and keeps their nodes on the driver;
+    with this depth they are bounded by the parameter, whatever the rows.
+    """
+    if max_nodes is None:
+        return max_depth
+    return min(max_depth or UNLIMITED_DEPTH, max(1, (max_nodes + 1).bit_length() - 2))
+
+
 def assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
 
@@ -154,9 +165,13 @@ def fit_demand_forest(train: DataFrame, features: list[str], label: str = S.MAX_
                       num_trees: int = 100, sub_forests: int = SUB_FORESTS,
                       parallelism: int | None = None,
                       rows_per_partition: int = ROWS_PER_PARTITION,
-                      max_memory_mb: int = TASK_HISTOGRAM_MB, **params) -> ForestEnsemble:
+                      max_memory_mb: int = TASK_HISTOGRAM_MB, max_nodes: int | None = None,
+                      **params) -> ForestEnsemble:
     """fit a forest on the training rows, as ``sub_forests`` smaller ones.
 
+    ``max_nodes`` bounds the nodes of a tree (:func:`depth_within`); without it
+    trees grow with the rows.
+
     Tree induction is latency-bound on small data (each level is one small
     task plus a driver round trip), so sub-forests with distinct seeds are
     fitted side by side. Their number, their seeds and the input partitions
@@ -168,6 +183,7 @@ def fit_demand_forest(train: DataFrame, features: list[str], label: str = S.MAX_
     data = fit_input(train, features, label, rows_per_partition=rows_per_partition) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     sizes = split_trees(num_trees, sub_forests)
+    params["max_depth"] = depth_within(params.get("max_depth"), max_nodes)
 
     def run(i):
         return forest(label=label, num_trees=sizes[i], max_memory_mb=max_memory_mb, **params) \
@@ -239,13 +255,13 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
                 keys: list[str] | None = None, refit: bool = True,
                 sub_forests: int = SUB_FORESTS,
                 rows_per_partition: int = ROWS_PER_PARTITION,
-                max_memory_mb: int = TASK_HISTOGRAM_MB) -> TuningResult:
+                max_memory_mb: int = TASK_HISTOGRAM_MB, max_nodes: int | None = None) -> TuningResult:
     """random search over :data:`FOREST_GRID` with expanding time folds.
 
-    Folds come from :func:`loadcast.operators.split.expanding_folds` (train
+    Folds come from :func:`loadcast.operators.split.fold_blocks` (train
     on everything before each test block, per series), not from
-    ``CrossValidator`` which would train on future folds. The fold table is
-    assembled once and persisted. Every (candidate, fold) forest is split into
+    ``CrossValidator`` which would train on future folds. The table holds each
+    row once with its block, is assembled once and persisted. Every (candidate, fold) forest is split into
     ``sub_forests`` seed-distinct sub-forests (as in :func:`fit_demand_forest`),
     and all sub-fits run from one thread pool, largest first, so Spark keeps
     every core busy. A candidate's fold MAE is scored on the tree-weighted mean of its
@@ -255,8 +271,8 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
     """
     keys = keys or [S.SERIES]
     spark = train.sparkSession
-    folds = sp.expanding_folds(train, n_splits=n_splits, keys=keys)
-    folded = fit_input(folds, features, label, ["fold", "role"], rows_per_partition) \
+    folds = sp.fold_blocks(train, n_splits=n_splits, keys=keys)
+    folded = fit_input(folds, features, label, ["block"], rows_per_partition) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     if folded.isEmpty():
         folded.unpersist()
@@ -265,12 +281,12 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
     slots = fit_slots(spark, parallelism)
 
     def rows(fold: int, role: str) -> DataFrame:
-        return folded.where((F.col("fold") == fold) & (F.col("role") == role))
+        return folded.where(F.col("block") < fold if role == sp.TRAIN else F.col("block") == fold)
 
     def fit(job):
         i, fold, sub, n_trees = job
         p = draws[i]
-        model = forest(label=label, num_trees=n_trees, max_depth=p["maxDepth"],
+        model = forest(label=label, num_trees=n_trees, max_depth=depth_within(p["maxDepth"], max_nodes),
                        min_rows=p["minInstancesPerNode"], max_memory_mb=max_memory_mb) \
             .setSeed(SEED + sub).fit(rows(fold, sp.TRAIN))
         return (i, fold), model
@@ -302,7 +318,7 @@ def tune_forest(train: DataFrame, features: list[str], label: str = S.MAX_DEMAND
                               max_depth=params["maxDepth"],
                               min_rows=params["minInstancesPerNode"], sub_forests=sub_forests,
                               parallelism=parallelism, rows_per_partition=rows_per_partition,
-                              max_memory_mb=max_memory_mb) if refit else None
+                              max_memory_mb=max_memory_mb, max_nodes=max_nodes) if refit else None
     return TuningResult(params, model, trials)
 
 

@@ -90,9 +90,11 @@ class Trained:
     ratios: DataFrame | None = None
 
 
-def train_demand(panel: DataFrame, tune: bool = False, **kw) -> Trained:
+def train_demand(panel: DataFrame, tune: bool = False, max_nodes: int | None = None, **kw) -> Trained:
     """F1 / F2: fit the peak-demand forest on the training split.
 
+    ``max_nodes`` bounds the nodes of each tree, and with them the driver's memory.
+
     With ``tune=True`` the tuned forest is used. Series that are too short for
     the time folds leave nothing to tune on; then the plain 100-tree forest is
     fitted and ``note`` says so. Any other failure is raised.
@@ -102,11 +104,11 @@ def train_demand(panel: DataFrame, tune: bool = False, **kw) -> Trained:
     train = table.where(F.col("split") == sp.TRAIN)
     if tune:
         try:
-            return Trained(md.tune_forest(train, features).model, features, table, S.MAX_DEMAND)
+            return Trained(md.tune_forest(train, features, max_nodes=max_nodes).model, features, table, S.MAX_DEMAND)
         except md.NoFoldRows as err:
-            plain = md.fit_demand_forest(train, features)
+            plain = md.fit_demand_forest(train, features, max_nodes=max_nodes)
             return Trained(plain, features, table, S.MAX_DEMAND, note=f"not tuned: {err}")
-    return Trained(md.fit_demand_forest(train, features), features, table, S.MAX_DEMAND)
+    return Trained(md.fit_demand_forest(train, features, max_nodes=max_nodes), features, table, S.MAX_DEMAND)
 
 
 def train_gas(panel: DataFrame, cutoff: str | None = None, monotone: bool = True,

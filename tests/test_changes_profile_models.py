@@ -298,3 +298,16 @@ def test_tune_forest_scores_every_draw_on_time_folds(spark):
     assert all(np.isfinite(t["mean_mae"]) and t["mean_mae"] < 5 for t in res.trials)
     best = min(res.trials, key=lambda t: (t["mean_mae"], t["draw"]))
     assert res.best_params == {k: best[k] for k in md.FOREST_GRID}
+
+
+@pytest.mark.parametrize("n", [500, 20000])
+def test_nodes_of_a_tree_stay_within_their_bound(spark, n):
+    df = spark.range(n).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("max_demand"))
+    m = md.fit_demand_forest(df, ["a", "b"], num_trees=4, sub_forests=2, max_nodes=63)
+    counts = [t.numNodes for f in m.forests for t in f.trees]
+    assert len(counts) == 4 and 31 < max(counts) <= 63
+
+
+def test_depth_within_a_number_of_nodes():
+    assert [md.depth_within(None, n) for n in (3, 6, 7, 62, 63, 16383)] == [1, 1, 2, 4, 5, 13]
+    assert md.depth_within(None, None) is None and md.depth_within(4, 16383) == 4 and md.depth_within(20, 63) == 5

@@ -8,6 +8,7 @@ import re
 
 from loadcast.operators import features as fe
 from loadcast.operators import lookup as lk
+from loadcast.operators import split as sp
 from loadcast.sources import panels
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,13 @@ def test_region_panel_broadcasts_checked_nation_and_prunes_scans(spark):
     assert {"n_nationkey", "n_regionkey"} in schemas
     assert {"c_custkey", "c_nationkey"} in schemas
     assert {"o_custkey", "o_orderdate", "o_totalprice"} in schemas
+
+
+def test_folds_repeat_no_row_and_move_no_row_by_series(spark):
+    panel = panels.demand_panel(spark, SF)
+    text = plan_text(sp.fold_blocks(panel, method="dates"))
+    assert nodes(text, "Generate") == 0
+    assert nodes(plan_text(sp.fold_blocks(panel)), "Generate") == 0
+    # Windows run over the counts by date only: below the bounds' aggregate, never above the join.
+    tree = text.split("\n\n")[0]
+    assert tree.index("Join") < tree.index("Window")

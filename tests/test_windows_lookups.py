@@ -167,6 +167,34 @@ def test_rank_method_matches_window_method(spark):
     assert fa == fb
 
 
+def test_fold_blocks_by_every_method(spark):
+    rnd = random.Random(12)
+    data = [("hot", day(i), 1) for i in range(1, 300)] + [("short", day(i), 1) for i in range(3)] + \
+           [(f"s{j}", day(i), j) for j in range(4) for i in rnd.sample(range(1, 60), 9 + j)] + [(None, day(i), 1) for i in range(8)]
+    df = spark.createDataFrame(data, "series_id string, date date, _x int").repartition(5)
+    want = {}
+    for key in {d[0] for d in data}:
+        own = sorted(d[1] for d in data if d[0] == key)
+        size = len(own) // 4
+        for at, d in enumerate(own):
+            if size:
+                want[key, d] = max(-1, (at - len(own) + 3 * size) // size)
+    for method in ("window", "rank", "dates"):
+        got = sp.fold_blocks(df, method=method)
+        assert got.columns == [*df.columns, "block"]
+        assert {(r.series_id, r.date): r.block for r in got.collect()} == want
+    assert sp.fold_blocks(df.limit(0), method="dates").count() == 0
+
+
+def test_fold_bounds_do_not_cut_a_date(spark):
+    # 13 rows, blocks of 3 from the rows 4, 7 and 10: the second one would start within day 2, the third within day 3.
+    days = [1] * 3 + [2] * 5 + [3] * 2 + [4, 5]
+    df = spark.createDataFrame([("s", day(d)) for d in days] + [("s", None)], "series_id string, date date")
+    blocks = {r.date: r.block for r in sp.fold_blocks(df, method="dates").collect()}
+    assert blocks == {None: -1, day(1): -1, day(2): 0, day(3): 1, day(4): 2, day(5): 2}
+    assert sp.fold_blocks(df, method="dates").distinct().count() == 6
+
+
 def test_top_k_without_keys(spark):
     from loadcast.operators import metrics as me
     df = spark.createDataFrame([(f"f{i}", float(i % 7)) for i in range(50)], "f string, v double")
