@@ -6,7 +6,8 @@ so only anchors that two documents hold can lie in a match:
 
 1. Texts equal to one with a smaller id are copies and removed as a whole.
 2. The other texts' anchors are shuffled as (hash, id) and those of one
-   document alone are dropped.
+   document alone are dropped. Anchors that a task sees in two documents are known
+   to be shared there, so a hot one meets the others as one row a task.
 3. Around each remaining anchor, the bytes that a match through it can reach are
    dealt out by the anchor. Equal surroundings are one piece, owned by the smallest
    id; every other holder of the piece loses it. That is settled within each task
@@ -37,6 +38,11 @@ from loadcast.llm.workers import map_arrow
 
 LENGTH = 50
 
+#: Anchors have 48 bits; the salts of rows known to be shared lie above them.
+ANCHOR_BITS = 64 - int(SPARE)
+ANCHOR = (1 << ANCHOR_BITS) - 1
+SALTS = 30_000
+
 #: Bytes of pieces that are indexed together.
 BLOCK = 1 << 20
 
@@ -52,6 +58,51 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def anchor_rows(batches, length: int = LENGTH, part: int = 2000, most: int = 1 << 20):
+    """(anchor, id) rows that tell which anchors several ids hold, few of them for a hot anchor.
+
+    An anchor that two ids of a part of ``part`` documents hold is known to be
+    shared. Its rows carry a salt by id in the bits above the anchor, so
+    they are spread over the tasks that come next and wait for no other row;
+    one more row, of the least id and without salt, stands for all of them
+    where the anchor's other documents meet. A task sends it once for as
+    long as it remembers the anchor (the last ``most`` shared ones).
+    """
+    told, fresh = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, part):
+            ids, found = [], []
+            for key, raw in zip(batch.column(0)[at : at + part].to_pylist(), batch.column(1)[at : at + part], strict=True):
+                own = np.unique(anchors(np.frombuffer(raw.as_buffer(), np.uint8), length)[0])
+                ids.append(np.full(len(own), key, np.int64))
+                found.append(own)
+            ids, found = np.concatenate(ids), np.concatenate(found)
+            order = np.lexsort((ids, found))
+            ids, found = ids[order], found[order]
+            # Rows of one id and anchor are one; a group of them with different ids is shared.
+            new = np.concatenate([[True], (found[1:] != found[:-1]) | (ids[1:] != ids[:-1])])[: len(ids)]
+            ids, found = ids[new], found[new]
+            heads = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(ids)])
+            sizes = np.diff(np.append(heads, len(ids)))
+            before = within(found[heads], told) | within(found[heads], fresh)
+            known = np.repeat((sizes > 1) | before, sizes)
+            first = heads[(sizes > 1) & ~before]
+            fresh = np.union1d(fresh, found[first])
+            if len(fresh) > most // 2:
+                told, fresh = fresh, told[:0]
+            salt = (mix(ids[known].view(np.uint64)) % np.uint64(SALTS)).astype(np.int64) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([found[~known], found[first], found[known] | salt << ANCHOR_BITS])),
+                 pa.array(np.concatenate([ids[~known], ids[first], ids[known]]))], ["anchor", "id"])
+
+
+def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values an ascending array holds."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def match_pieces(batches, length: int = LENGTH, block: int = BLOCK):
     """Spans (id, th, first, end) from rows (anchor, piece, id, th, at, size) sorted by all of them.
 
@@ -156,21 +207,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     F.coalesce(F.array_contains("copies", th), F.lit(False)).alias("copy")))
     single = base.where(~F.col("copy"))
 
-    def anchor_rows(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, found = [], []
-                for key, raw in zip(batch.column(0)[at : at + 500].to_pylist(), batch.column(1)[at : at + 500], strict=True):
-                    own = np.unique(anchors(np.frombuffer(raw.as_buffer(), np.uint8), length)[0])
-                    ids.append(np.full(len(own), key, np.int64))
-                    found.append(own)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))],
-                                                 ["anchor", "id"])
-
-    held = map_arrow(single.select("id", "raw"), anchor_rows, "anchor long, id long")
+    held = map_arrow(single.select("id", "raw"), lambda batches: anchor_rows(batches, length), "anchor long, id long")
     over = Window.partitionBy("anchor")
     shared = (held.select("anchor", "id", F.min("id").over(over).alias("low"), F.max("id").over(over).alias("high"))
-              .where("low < high").groupBy("id").agg(F.collect_set("anchor").alias("shared")))
+              .where((F.col("low") < F.col("high")) | (F.col("anchor") > ANCHOR))
+              .groupBy("id").agg(F.collect_set(F.col("anchor").bitwiseAND(ANCHOR)).alias("shared")))
 
     def piece_rows(batches):
         for batch in batches:

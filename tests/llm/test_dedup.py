@@ -279,6 +279,31 @@ def test_removed_bytes_equal_brute_force(spark):
     assert suffix_dedup.remove_repeats(nothing(spark)).count() == 0
 
 
+@pytest.mark.parametrize("part, most", [(7, 1 << 20), (50, 1 << 20), (50, 64)])
+def test_a_hot_anchor_meets_the_others_as_one_row_a_task(part, most):
+    rnd = random.Random(8)
+    passage = words(rnd, 60, 5000)
+    texts = [(k // 2 if k % 9 == 0 else k, f"{words(rnd, 9, 4000)} {passage if k % 3 else ''} {words(rnd, 9, 4000)}".encode())
+             for k in range(400)]
+    holders = defaultdict(set)
+    for key, raw in texts:
+        for anchor in anchors(np.frombuffer(raw, np.uint8), 50)[0].tolist():
+            holders[anchor].add(key)
+    want = {(a, k) for a, ids in holders.items() if len(ids) > 1 for k in ids}
+    seen, alone = defaultdict(set), []
+    for task in (texts[:170], texts[170:]):
+        batches = [pa.record_batch([pa.array([k for k, _ in b], pa.int64()), pa.array([t for _, t in b], pa.binary())], ["id", "raw"])
+                   for b in (task[:90], task[90:], [])]
+        for out in suffix_dedup.anchor_rows(batches, 50, part, most):
+            for anchor, key in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                seen[anchor].add(key)
+                alone.append(anchor)
+    got = {(a & suffix_dedup.ANCHOR, k) for a, ids in seen.items() for k in ids if a > suffix_dedup.ANCHOR or len(ids) > 1}
+    assert got == want
+    hot = max((len(ids), a) for a, ids in holders.items())
+    assert hot[0] > 250 and (most < 1000 or alone.count(hot[1]) <= 4)
+
+
 def test_blocks_and_batches_do_not_change_the_spans():
     rnd = random.Random(8)
     rows = []
