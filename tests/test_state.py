@@ -37,6 +37,45 @@ def same(a, b):
     return sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
 
 
+
+def counted(spark, df):
+    """The rows of ``df``, and how many of them have been computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), seen
+
+
+def test_an_update_computes_its_change_set_once(spark, tmp_path):
+    old = panel(4)
+    o = frame(spark, old)
+    n = frame(spark, {k: (v[0], 5.0, 1.0) for k, v in old.items() if k[1].day != 9})
+    changes = ch.changed_rows(n, o, KEY).where(F.col("kind") != ch.SAME).coalesce(1)
+    wanted = changes.count()
+    changes, seen = counted(spark, changes)
+    before, after = str(tmp_path / "before"), str(tmp_path / "after")
+    scoring.save_state(o, before)
+    scoring.update_state(spark, before, after, changes, o, n)
+    assert seen.value == wanted > 0
+
+
+def test_queries_of_kept_state_sum_up_the_raw_rows_once(spark, monkeypatch):
+    from loadcast.catalog import state_queries as sq
+    from loadcast.sources import panels
+
+    cells = frame(spark, panel(5)).replace(float("nan"), None).withColumns(
+        {c: F.lit(20.0) for c in (S.TEMP_HIGH, S.TEMP_LOW, S.FEELS_LIKE, S.TEMP_AVG)})
+    wanted, (cells, seen) = cells.count(), counted(spark, cells)
+    monkeypatch.setattr(panels, "demand_panel", lambda spark, sf: cells)
+    assert sq.d1_state_after_changes(spark, "no such folder").count() > 0
+    assert sq.c6_state_after_changes(spark, "no such folder").count() == 2
+    assert seen.value == wanted
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_updated_state_equals_fresh_state(spark, tmp_path, seed):
     r = random.Random(seed)
