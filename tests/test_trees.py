@@ -100,3 +100,34 @@ def test_leaves_are_bounded_and_gains_decide(spark):
     m = tr.fit_monotone_trees(planted(spark, 1500), ["a", "b", "c"], [1, -1, 0], label="y", learning_rate=0.5,
                               max_depth=4, max_leaves=3, patience=2)
     assert m.trees and all(sum(f >= 0 for f in t.feature) <= 2 for t in m.trees)
+
+
+def test_a_pass_is_one_job_of_one_stage_and_sums_up_all_rows(spark, tmp_path):
+    model = tr.MonotoneTrees(["a", "b"], [1, 0], [[0.5], [0.2, 0.7]], 2.0, label="y")
+    few = planted(spark, 300).select("a", "b", "y").repartition(2)
+    tr.pack(few, model, 0.0).coalesce(1).write.parquet(str(tmp_path / "packed"))
+    packed = tr.blocks(spark.read.parquet(str(tmp_path / "packed")), 2)
+    spark.sparkContext.setJobGroup("one pass", "")
+    try:
+        counts, sums, loss = tr.level_histogram(packed, 2.0, [], tr.Tree.stump(2), {0: 0}, model.missing, True)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        packed.unpersist()
+    tracker = spark.sparkContext.statusTracker()
+    jobs = tracker.getJobIdsForGroup("one pass")
+    assert len(jobs) == 1 and len(tracker.getJobInfo(jobs[0]).stageIds) == 1
+    rows = [(r.a, r.b, r.y) for r in few.collect()]
+    assert loss == pytest.approx(sum((y - 2.0) ** 2 for _, _, y in rows))
+    for j, edges in enumerate(model.edges):
+        at = np.searchsorted(edges, [r[j] for r in rows], side="right")
+        assert list(counts[0, j]) == list(np.bincount(at, minlength=counts.shape[2]))
+        assert sums[0, j] == pytest.approx(np.bincount(at, [r[2] - 2.0 for r in rows], counts.shape[2]))
+
+
+def test_histograms_of_tasks_add_up():
+    a = (np.array([0, 3]), np.array([1.0, 2.0]), np.array([0.5, 1.0]), 2.0)
+    b = (np.array([1, 3]), np.array([4.0, 1.0]), np.array([-1.0, 0.25]), 0.5)
+    cells, n, r, loss = tr.add_histograms(a, b)
+    assert [list(cells), list(n), list(r), loss] == [[0, 1, 3], [1.0, 4.0, 3.0], [0.5, -1.0, 1.25], 2.5]
+    empty = (np.empty(0, np.int64), np.empty(0), np.empty(0), 1.0)
+    assert [len(x) for x in tr.add_histograms(empty, empty)[:3]] == [0, 0, 0] and tr.add_histograms(a, empty)[3] == 3.0
