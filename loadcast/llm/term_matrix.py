@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from loadcast.llm.components import written
 from loadcast.llm.workers import map_arrow
@@ -43,6 +44,17 @@ def local_rows(texts: pa.Array):
     return words, indptr, narrow(codes), narrow(counts)
 
 
+def joined_rows(parts: list):
+    """The rows of several ``local_rows`` by one dictionary."""
+    coded = pa.concat_arrays([p[0].cast(pa.large_string()) for p in parts]).dictionary_encode()
+    code_of, at, codes, bounds, n = coded.indices.to_numpy(), 0, [], [np.zeros(1, np.int64)], 0
+    for words, indptr, own, _ in parts:
+        codes.append(code_of[at : at + len(words)][own])
+        bounds.append(indptr[1:] + n)
+        at, n = at + len(words), n + int(indptr[-1])
+    return coded.dictionary, np.concatenate(bounds), narrow(np.concatenate(codes)), narrow(np.concatenate([p[3] for p in parts]))
+
+
 def narrow(numbers: np.ndarray) -> np.ndarray:
     """The numbers in the fewest bytes that hold all of them."""
     return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
@@ -53,15 +65,16 @@ def widen(raw: bytes, n: int) -> np.ndarray:
 
 
 def local_shards(batches, size: int, measure):
-    """Shards of rows (text, doc) by a dictionary of their own."""
+    """Shards of rows (text, doc) by a dictionary of their own.
+
+    Texts are encoded batch by batch, so that the lists of all their words are
+    there for one batch at a time.
+    """
     number = count(TaskContext.get().partitionId() << 32)
 
     def shard(held):
-        texts = pa.concat_arrays([b.column(0).cast(pa.large_string()) for b in held])
-        docs = pa.concat_arrays([b.column(1) for b in held])
-        if measure:
-            docs = pa.StructArray.from_arrays([docs, measure(texts)], ["row", "measured"])
-        words, indptr, codes, counts = local_rows(texts)
+        docs = pa.concat_arrays([d for d, _ in held])
+        words, indptr, codes, counts = joined_rows([rows for _, rows in held])
         columns = [pa.array([next(number)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())),
                    *(pa.array([x.tobytes()], pa.binary()) for x in (indptr, codes, counts))]
@@ -69,7 +82,10 @@ def local_shards(batches, size: int, measure):
 
     held, n = [], 0
     for batch in batches:
-        held.append(batch)
+        texts, docs = batch.column(0).cast(pa.large_string()), batch.column(1)
+        if measure:
+            docs = pa.StructArray.from_arrays([docs, measure(texts)], ["row", "measured"])
+        held.append((docs, local_rows(texts)))
         n += batch.column(0).nbytes
         if n >= size:
             yield shard(held)
@@ -133,10 +149,13 @@ def encoded_shards(docs: DataFrame, text_col: str, size: int, measure, measured:
     """(shards by their own codes, (word, shard, code, term_id) of all shards, type of a document)."""
     others = [c for c in docs.columns if c != text_col]
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc"))
-    kind = own.schema["doc"].dataType.simpleString()
-    kind = f"struct<row:{kind},measured:struct<{measured}>>" if measure else kind
-    shards = written(map_arrow(own, lambda b: local_shards(b, size, measure), f"shard long, docs array<{kind}>, words array<string>, "
-                               "indptr binary, codes binary, counts binary"), "shards", compression="zstd")
+    kind = own.schema["doc"].dataType  # names may hold dots, so it is kept as a type
+    if measure:
+        kind = StructType().add("row", kind).add("measured", StructType.fromDDL(measured))
+    schema = StructType().add("shard", "long").add("docs", ArrayType(kind)).add("words", ArrayType(StringType()))
+    for part in ("indptr", "codes", "counts"):
+        schema = schema.add(part, "binary")
+    shards = written(map_arrow(own, lambda b: local_shards(b, size, measure), schema), "shards", compression="zstd")
     words = shards.select("shard", F.posexplode("words").alias("code", "word")).select("word", "shard", "code")
     places = map_arrow(words.repartition("word").sortWithinPartitions("word"), numbered, "word string, shard long, code int, term_id long")
     return shards.drop("words"), places, kind
@@ -163,7 +182,10 @@ def document_terms(docs: DataFrame, text_col: str = "text", size: int = SHARD_BY
     """
     shards, places, kind = encoded_shards(docs, text_col, size, None, "")
     places = written(places, "places")  # the matrix and the dictionary go by the same numbers
-    matrix = map_arrow(with_ids(shards, places), whole_shards, f"shard long, docs array<{kind}>, indptr binary, terms binary, counts binary")
+    schema = StructType().add("shard", "long").add("docs", ArrayType(kind))
+    for part in ("indptr", "terms", "counts"):
+        schema = schema.add(part, "binary")
+    matrix = map_arrow(with_ids(shards, places), whole_shards, schema)
     return matrix, places.select("word", "term_id").distinct()
 
 
@@ -175,4 +197,4 @@ def row_sizes(docs: DataFrame, text_col: str = "text", size: int = SHARD_BYTES,
     a struct (row, measured).
     """
     shards, places, kind = encoded_shards(docs, text_col, size, measure, measured)
-    return map_arrow(with_ids(shards, places), shard_sizes, f"doc {kind}, n_words long, n_terms long")
+    return map_arrow(with_ids(shards, places), shard_sizes, StructType().add("doc", kind).add("n_words", "long").add("n_terms", "long"))

@@ -318,3 +318,21 @@ def test_matrix_of_terms(spark):
     assert got == {0: {"a": 1, "b": 2}, 1: {}, 2: {}, 3: {"a": 1, "c": 2}, 4: {"a": 1}, 5: {"a": 1, "b": 2}}
     empty, none = term_matrix.document_terms(nothing(spark))
     assert empty.count() == none.count() == 0
+
+
+def test_a_shard_encodes_its_texts_batch_by_batch(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    texts = [["b a b", None], ["", "c  a\tc"], ["a"]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array([{"id": k}] * len(t))], ["text", "doc"])
+               for k, t in enumerate(texts)]
+    sizes, encode = [], term_matrix.local_rows
+    monkeypatch.setattr(term_matrix, "local_rows", lambda t: sizes.append(len(t)) or encode(t))
+    monkeypatch.setattr(term_matrix.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    (shard,) = term_matrix.local_shards(batches, 1 << 20, None)
+    assert sizes == [2, 2, 1]
+    words, starts = shard["words"][0].as_py(), np.frombuffer(shard["indptr"][0].as_py(), np.int64)
+    codes, counts = (term_matrix.widen(shard[c][0].as_py(), starts[-1]) for c in ("codes", "counts"))
+    assert sorted(words) == ["a", "b", "c"] and len(shard["docs"][0]) == 5
+    got = [{words[c]: int(n) for c, n in zip(codes[a:b], counts[a:b], strict=True)} for a, b in itertools.pairwise(starts)]
+    assert got == [{"a": 1, "b": 2}, {}, {}, {"a": 1, "c": 2}, {"a": 1}]
