@@ -48,7 +48,8 @@ def word_table(path: str) -> ChunkTable:
     ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def ids_of(texts: list[str]) -> np.ndarray:
-        return np.array(tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, np.uint32)
+        # The batch call of one text is the one that spares the places of the tokens in it.
+        return np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
 
     def encode_words(words: list[str]):
         """Words of letters are one unit each, which its last token ends."""

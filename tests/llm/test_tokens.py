@@ -238,3 +238,38 @@ def test_edited_texts_follow_the_order_of_ids(spark, parts):
 def test_half_edited_texts_stay_nearer_than_other_texts(spark):
     got = simhash.compare_with_next(corpus(spark, 200, seed=9)).where("n_chars > 300").toPandas()
     assert got.near_edited.mean() > got.near_next.mean() + 0.1
+
+
+def test_what_a_task_has_freed_goes_back_at_its_end(monkeypatch):
+    from loadcast.llm import workers
+    back = []
+    monkeypatch.setattr(workers, "give_back", lambda: back.append(1))
+    task = workers.lean(lambda batches: (b + 1 for b in batches))
+    assert list(task([1, 2])) == [2, 3] and back == [1]
+    first = task([1, 2])
+    next(first)
+    first.close()  # a task that reads no further
+    assert back == [1, 1]
+
+
+def test_different_parts_become_strings_in_one_call():
+    import time
+
+    import pyarrow as pa
+
+    from loadcast.llm.text import blank_separated
+    texts = pa.array([" ".join(f"wort{k}é{n}" for k in range(2000)) for n in range(100)] + ["", "a  a"], pa.large_string())
+
+    def least(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    words, index, starts = blank_separated(texts)
+    assert len(words) == 200_002 and all(type(w) is str for w in words)
+    assert [words[k] for k in index[starts[100] : starts[102]]] == ["", "a", "", "a"]
+    column = pa.array(words, pa.large_string())
+    assert least(lambda: blank_separated(texts)) < least(column.to_pylist)
